@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.bpe import encode
 from quillon.llm.exact_dedup import exact_repeats
+from quillon.llm.mil import quality_scores
 from quillon.llm.mixing import mix_sources
+from quillon.llm.simhash import near_groups
 from quillon.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +22,10 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id is not null").groupBy("doc_id").agg(F.when(F.max("quality") == 1, 2.0).when(F.max("quality") == 0, 0.5).otherwise(1.0).alias("weight"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_repeats(table(spark, sf_dir, "documents"))
 
@@ -29,6 +36,14 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "n_tokens", "copies")
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
 def _shipped(f: Query) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -37,7 +52,7 @@ def _shipped(f: Query) -> Query:
     return query
 
 
-QUERIES: dict[str, Query] = {f.__name__: _shipped(f) for f in (op3_exact_dedup, op4_mix_sources)}
+QUERIES: dict[str, Query] = {f.__name__: _shipped(f) for f in (op2_quality_classifier, op3_exact_dedup, op4_mix_sources, op7_simhash_near_dedup, op10_bpe)}
 
 SQL: dict[str, str] = {
     "op3_exact_dedup": """

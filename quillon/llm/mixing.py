@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.names import fresh
+from quillon.session import materialize
 
 #: Runs in which each source is sorted.
 RUNS = 4096
@@ -33,49 +34,58 @@ def sampling_key(doc_id: Column, weight: Column, seed: int) -> Column:
     return -F.log((bits.cast("double") + 0.5) / float(1 << 52)) / weight
 
 
+def _unit(text: Column) -> list[Column]:
+    """96 bits that name a document: its id, source and text, with nulls told apart."""
+    parts = [F.col("doc_id"), F.col("doc_id").isNull(), F.col("source"), F.col("source").isNull(), text]
+    return [F.xxhash64(*parts), F.hash(*parts)]
+
+
+def choose(docs: DataFrame, shares: Mapping[str, float] | None = None, budget: int | None = None, quality: DataFrame | None = None, seed: int = 7) -> DataFrame:
+    """(unit, unit2, doc_id, source, n_tokens, copies) of the chosen documents; texts are read, not shuffled."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    rows = rows.select(*(c.alias(n) for c, n in zip(_unit(F.col("text")), ("unit", "unit2"), strict=True)), "doc_id", "source", token_count(F.col("text")).alias("n"))
+    rows = rows.groupBy("unit", "unit2").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.sum("n").alias("n"))
+    if quality is not None:
+        given = quality.select(F.col("doc_id").alias("own"), F.col("weight").cast("double").alias("w")).groupBy("own").agg(F.max("w").alias("w"))
+        rows = rows.join(given, F.col("doc_id") == F.col("own"), "left").drop("own").withColumn("w", F.when(F.col("w") > 0, F.col("w")).otherwise(1.0))
+    else:
+        rows = rows.withColumn("w", F.lit(1.0))
+    rows = rows.withColumns({"src": F.coalesce("source", F.lit(_NONE)), "k": sampling_key(F.col("doc_id"), F.col("w"), seed)})
+    rows = rows.withColumn("run", F.least(F.floor((1 - F.exp(-F.col("k"))) * RUNS), F.lit(RUNS - 1)).cast("int"))
+    rows, _ = materialize(rows, "sampling-keys")
+    sums = rows.groupBy("src", "run").agg(F.sum("n").alias("part"))
+    sums = sums.withColumns({"before": F.sum("part").over(Window.partitionBy("src").orderBy("run")) - F.col("part"), "total": F.sum("part").over(Window.partitionBy("src"))})
+    totals = rows.groupBy("src").agg(F.sum("n").alias("total"))
+    if shares is None:
+        totals = totals.withColumn("share", F.lit(1.0))
+    else:
+        totals = totals.join(docs.sparkSession.createDataFrame([(str(k), float(v)) for k, v in shares.items()], "src string, share double"), "src")
+    whole = rows.agg(F.sum("n").alias("quota")) if budget is None else docs.sparkSession.range(1).select(F.lit(int(budget)).cast("long").alias("quota"))
+    totals = totals.crossJoin(whole.crossJoin(totals.agg(F.sum("share").alias("shares"))))  # one row
+    totals = totals.filter("total > 0").withColumn("quota", F.floor(F.col("quota") * (F.col("share") / F.col("shares"))).cast("long"))
+    totals = totals.select("src", F.expr("quota div total").alias("epochs"), F.expr("quota % total").alias("left"))
+    sums = sums.select("src", "run", "before").join(totals, "src")
+    within = Window.partitionBy("src", "run").orderBy("k", "doc_id", "n", "unit", "unit2").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(sums, ["src", "run"]).withColumn("prefix", F.col("before") + F.sum("n").over(within))
+    taken = F.col("epochs") + F.when((F.col("n") > 0) & (F.col("prefix") <= F.col("left")), 1).otherwise(0)
+    return rows.withColumn("copies", taken).filter("copies > 0").select("unit", "unit2", "doc_id", "source", F.col("n").alias("n_tokens"), "copies")
+
+
 def mix_sources(docs: DataFrame, shares: Mapping[str, float] | None = None, budget: int | None = None, quality: DataFrame | None = None, seed: int = 7) -> DataFrame:
-    """The chosen rows of docs (doc_id, text, source and others), with n_tokens and copies.
+    """The chosen rows of docs (doc_id, text, source and others), each as often as it is to be read.
 
     shares: a target weight for each source, scaled to sum to one over the sources at hand
     (a source without one gets nothing; None: all equal). budget: tokens in all (None: as many
     as docs has). quality: (doc_id, weight) rows, weight > 0; where absent or null 1.
 
-    copies is the number of complete epochs, plus one for rows in the fractional prefix. A
-    null source is a source of its own; a null text has no tokens; rows that share an id are
-    ordered by tokens, then by text; an empty table gives an empty result. Callers' columns
-    keep their names; where docs has n_tokens or copies, the new ones get a trailing "_".
+    A row comes once for each complete epoch of its source, and once more if it is in the
+    fractional prefix. A null source is a source of its own; a null or empty text has no tokens
+    and comes with complete epochs alone; a source without tokens gives nothing. Rows that
+    repeat id, source and text are one document, whose tokens are those of all its rows;
+    equal keys are ordered by id, then by tokens. An empty table gives an empty result. docs
+    keeps its columns, whatever their names; texts are shuffled once.
     """
-    n, copies, src, w, key, run, before, part, total, share, sources, quota, left, own = fresh(docs, "n_tokens", "copies", "mix_source", "mix_weight", "mix_key", "mix_run", "mix_before", "mix_part", "mix_total", "mix_share", "mix_sources", "mix_quota", "mix_left", "mix_own")
-    rows = docs.withColumns({n: token_count(F.col("text")), src: F.coalesce(F.col("source").cast("string"), F.lit(_NONE))})
-    if quality is not None:
-        given = quality.select(F.col("doc_id").alias(own), F.col("weight").cast("double").alias(w)).groupBy(own).agg(F.max(w).alias(w))
-        rows = rows.join(given, rows["doc_id"] == given[own], "left").drop(own).withColumn(w, F.when(F.col(w) > 0, F.col(w)).otherwise(1.0))
-    else:
-        rows = rows.withColumn(w, F.lit(1.0))
-    rows = rows.withColumn(key, sampling_key(F.col("doc_id"), F.col(w), seed))
-    rows = rows.withColumn(run, F.least(F.floor((1 - F.exp(-F.col(key))) * RUNS), F.lit(RUNS - 1)).cast("int"))
-    sums = rows.groupBy(src, run).agg(F.sum(n).alias(part))
-    in_order = Window.partitionBy(src).orderBy(run)
-    sums = sums.withColumns({before: F.sum(part).over(in_order) - F.col(part), total: F.sum(part).over(Window.partitionBy(src))})
-    totals = sums.groupBy(src).agg(F.first(total).alias(total))
-    if shares is None:
-        totals = totals.withColumn(share, F.lit(1.0))
-    else:
-        given = docs.sparkSession.createDataFrame([(str(k), float(v)) for k, v in shares.items()], f"`{src}` string, `{share}` double")
-        totals = totals.join(given, src)
-    tokens = sums.agg(F.sum(part).alias(quota)) if budget is None else docs.sparkSession.range(1).select(F.lit(int(budget)).cast("long").alias(quota))
-    whole = totals.agg(F.sum(share).alias(sources)).crossJoin(tokens)
-    totals = totals.crossJoin(whole).withColumn(quota, F.floor(F.col(quota) * (F.col(share) / F.col(sources))).cast("long"))
-    epochs = F.when(F.col(total) > 0, F.expr(f"`{quota}` div `{total}`")).otherwise(F.lit(0).cast("long"))
-    totals = totals.select(src, epochs.alias(copies), F.when(F.col(total) > 0, F.expr(f"`{quota}` % `{total}`")).otherwise(0).alias(left))
-    sums = sums.select(src, run, before).join(totals, src)
-    within = Window.partitionBy(src, run).orderBy(key, "doc_id", n, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(sums, [src, run]).withColumn(before, F.col(before) + F.sum(n).over(within))
-    taken = F.col(copies) + F.when((F.col(n) > 0) & (F.col(before) <= F.col(left)), 1).otherwise(0)
-    return rows.withColumn(copies, taken).filter(F.col(copies) > 0).select(*docs.columns, n, copies)
-
-
-def repeat_rows(mixed: DataFrame, docs: DataFrame) -> DataFrame:
-    """docs' columns, each row of a mix as often as its copies."""
-    copies = [c for c in mixed.columns if c not in docs.columns][-1]
-    return mixed.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
+    u, v, copies, one = fresh(docs, "mix_unit", "mix_unit2", "mix_copies", "mix_copy")
+    chosen = choose(docs, shares, budget, quality, seed).select(F.col("unit").alias(u), F.col("unit2").alias(v), F.col("copies").alias(copies))
+    typed = docs.select("*", *(c.alias(n) for c, n in zip(_unit(F.col("text").cast("string")), (u, v), strict=True)))
+    return typed.join(chosen, [u, v]).withColumn(one, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

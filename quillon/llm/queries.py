@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon.llm.bpe import encode
 from quillon.llm.exact_dedup import exact_repeats
 from quillon.llm.mil import quality_scores
-from quillon.llm.mixing import mix_sources
+from quillon.llm.mixing import choose
 from quillon.llm.simhash import near_groups
 from quillon.session import ship, table
 
@@ -31,9 +31,8 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mix_sources(docs, quality=quality_weights(table(spark, sf_dir, "labels")))
-    return mixed.select("doc_id", "source", "n_tokens", "copies")
+    chosen = choose(table(spark, sf_dir, "documents"), quality=quality_weights(table(spark, sf_dir, "labels")))
+    return chosen.select("doc_id", "source", "n_tokens", "copies")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm.bpe import encode
 from quillon.llm.exact_dedup import drop_repeats
 from quillon.llm.mil import keep_good
-from quillon.llm.mixing import mix_sources, repeat_rows
+from quillon.llm.mixing import mix_sources
 from quillon.llm.queries import quality_weights
 from quillon.llm.simhash import drop_near_copies
 from quillon.session import discard, materialize, ship, table
@@ -40,7 +40,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many tokens as came in, the same for each source: whole epochs, then a weighted sample."""
     ship(spark)
-    return repeat_rows(mix_sources(docs, quality=quality_weights(table(spark, sf_dir, "labels"))), docs)
+    return mix_sources(docs, quality=quality_weights(table(spark, sf_dir, "labels")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

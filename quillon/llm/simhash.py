@@ -2,8 +2,9 @@
 
 A document's 92-bit SimHash (distinct words, weight sqrt(count)) is four segments of 23
 bits. Each segment is decoded to the indices of nearby Golay codewords, one or six keys,
-such that segments at most 2 bits apart share one. A key of the join is a pair of
-segments with one index each (24 bits, six pairs). Fingerprints at most 8 bits apart have
+such that segments at most 2 bits apart share one. Two fingerprints meet where a pair of
+segments shares an index each: they are sent by an index of the first (or of both, for
+many points) and matched by the second there. Fingerprints at most 8 bits apart have
 at most two segments with 3 or more errors, so another pair of segments always meets:
 up to 8 bits the search is exact. Up to MOST_BITS it finds most of the rest.
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import textnp as X
 from quillon.llm.components import connected_components
-from quillon.llm.golay import BITS, near_indices
+from quillon.llm.golay import BITS, MESSAGE, near_indices
 from quillon.llm.names import fresh
 from quillon.session import materialize
 
@@ -34,7 +35,8 @@ SKETCH = 48
 #: Least estimated Jaccard similarity of two near copies' word sets.
 LEAST_JACCARD = 0.45
 _PAIRS = [(i, j) for i in range(SEGMENTS) for j in range(i + 1, SEGMENTS)]
-_HALF = 2 * BITS
+#: Points of a group up to which it is not split.
+GROUP_POINTS = 1 << 15
 _SMALL = 48  # buckets up to this size compare all pairs at once
 
 
@@ -86,24 +88,59 @@ def _segments(hi: np.ndarray, lo: np.ndarray) -> list[np.ndarray]:
     return [(x & low).astype(np.int32) for x in (hi >> BITS, hi, lo >> BITS, lo)]
 
 
-def join_keys(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) for every pair of segments and of their indices."""
+def groups(hi: np.ndarray, lo: np.ndarray, split: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, group): where a fingerprint is sent to.
+
+    A group is a segment and one of its indices; all second segments are paired with it
+    there. With split bits, a group is a pair of segments, one index of the first and the
+    leading bits of one of the second, so that groups stay small for any number of points.
+    """
     near = [near_indices(x) for x in _segments(hi, lo)]
-    rows, keys = [], []
+    rows, found = [], []
+    if not split:
+        for i in range(SEGMENTS - 1):
+            row, x = np.nonzero(near[i] >= 0)
+            rows.append(row)
+            found.append((i << MESSAGE | near[i][row, x]).astype(np.int64))
+        return np.concatenate(rows), np.concatenate(found)
     for p, (i, j) in enumerate(_PAIRS):
-        a, b = near[i][:, :, None], near[j][:, None, :]
-        row, x, y = np.nonzero((a >= 0) & (b >= 0))
-        rows.append(row)
-        keys.append(p << 24 | near[i][row, x] << 12 | near[j][row, y])
-    return np.concatenate(rows), np.concatenate(keys).astype(np.int32)
-
-
-def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hi, lo = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        for i in range(0, len(hi), 2000):
-            row, key = join_keys(hi[i : i + 2000], lo[i : i + 2000])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(hi[i : i + 2000][row]), pa.array(lo[i : i + 2000][row])], ["key", "hi", "lo"])
+        row, x, y = np.nonzero((near[i] >= 0)[:, :, None] & (near[j] >= 0)[:, None, :])
+        group = (p << MESSAGE | near[i][row, x]).astype(np.int64) << split | near[j][row, y] >> MESSAGE - split
+        both = np.unique(np.stack([row, group]), axis=1)
+        rows.append(both[0])
+        found.append(both[1])
+    return np.concatenate(rows), np.concatenate(found)
+
+
+def _group_batches(split: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hi, lo = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for i in range(0, len(hi), 2000):
+                row, group = groups(hi[i : i + 2000], lo[i : i + 2000], split)
+                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(hi[i : i + 2000][row]), pa.array(lo[i : i + 2000][row])], ["g", "hi", "lo"])
+
+    return run
+
+
+def second_keys(group: np.ndarray, hi: np.ndarray, lo: np.ndarray, split: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): rows of a group that share an index of a second segment too have equal keys."""
+    ordinal = np.cumsum(np.append(False, group[1:] != group[:-1]))
+    segments, first = _segments(hi, lo), group >> MESSAGE + split
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for j in range(1, SEGMENTS):
+        if split:
+            own = np.flatnonzero(np.isin(first, [p for p, (_, y) in enumerate(_PAIRS) if y == j]))
+        else:
+            own = np.flatnonzero(first < j)
+        near = near_indices(segments[j][own])
+        good = near >= 0
+        if split:
+            good &= near >> MESSAGE - split == (group[own] & (1 << split) - 1)[:, None]
+        row, x = np.nonzero(good)
+        rows.append(own[row])
+        keys.append((ordinal[own[row]] * SEGMENTS + j) << MESSAGE | near[row, x])
+    return np.concatenate(rows), np.concatenate(keys)
 
 
 def distance(a_hi: np.ndarray, a_lo: np.ndarray, b_hi: np.ndarray, b_lo: np.ndarray) -> np.ndarray:
@@ -142,30 +179,40 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def _edge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for key, hi, lo in _sorted_groups(batches):
-        start = np.flatnonzero(np.diff(key, prepend=-1))
-        size = np.diff(np.append(start, len(key)))
-        found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-        group = np.repeat(np.arange(len(start)), size)
-        small = np.flatnonzero((size[group] > 1) & (size[group] <= _SMALL))
-        g = group[small]
-        for shift in range(1, int(size[g].max()) if len(g) else 1):
-            a, b = small[:-shift], small[shift:]
-            same = g[:-shift] == g[shift:]
-            a, b = a[same], b[same]
-            near = distance(hi[a], lo[a], hi[b], lo[b]) <= MOST_BITS
-            found.append(np.stack([a[near], b[near]], 1))
-        for k in np.flatnonzero(size > _SMALL):
-            s = slice(start[k], start[k] + size[k])
-            found.append(np.array(forest(hi[s], lo[s]), np.int64).reshape(-1, 2) + start[k])
-        e = np.concatenate(found)
-        if len(e):
-            a, b = e[:, 0], e[:, 1]
-            swap = (hi[a] > hi[b]) | ((hi[a] == hi[b]) & (lo[a] > lo[b]))
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            unique = np.unique(np.stack([hi[a], lo[a], hi[b], lo[b]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(unique[:, k]) for k in range(4)], ["a_hi", "a_lo", "b_hi", "b_lo"])
+def bucket_edges(key: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """(n, 2) rows within MOST_BITS that span the groups of each run of equal keys."""
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(key)))
+    found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+    group = np.repeat(np.arange(len(start)), size)
+    small = np.flatnonzero((size[group] > 1) & (size[group] <= _SMALL))
+    g = group[small]
+    for shift in range(1, int(size[g].max()) if len(g) else 1):
+        same = g[:-shift] == g[shift:]
+        a, b = small[:-shift][same], small[shift:][same]
+        near = distance(hi[a], lo[a], hi[b], lo[b]) <= MOST_BITS
+        found.append(np.stack([a[near], b[near]], 1))
+    for k in np.flatnonzero(size > _SMALL):
+        own = slice(start[k], start[k] + size[k])
+        found.append(np.array(forest(hi[own], lo[own]), np.int64).reshape(-1, 2) + start[k])
+    return np.concatenate(found)
+
+
+def _edge_batches(split: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, hi, lo in _sorted_groups(batches):
+            row, key = second_keys(group, hi, lo, split)
+            order = np.argsort(key)
+            row = row[order]
+            e = row[bucket_edges(key[order], hi[row], lo[row])]
+            if len(e):
+                a, b = e[:, 0], e[:, 1]
+                swap = (hi[a] > hi[b]) | ((hi[a] == hi[b]) & (lo[a] > lo[b]))
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+                unique = np.unique(np.stack([hi[a], lo[a], hi[b], lo[b]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(unique[:, k]) for k in range(4)], ["a_hi", "a_lo", "b_hi", "b_lo"])
+
+    return run
 
 
 def _alike_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +224,9 @@ def _alike_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def near_pairs(points: DataFrame) -> DataFrame:
     """Edges (a_hi, a_lo, b_hi, b_lo) among distinct fingerprints (hi, lo) that span each bucket's groups."""
-    keys = points.select("hi", "lo").mapInArrow(_key_batches, "key int, hi long, lo long")
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(_edge_batches, "a_hi long, a_lo long, b_hi long, b_lo long").distinct()
+    split = max(0, (points.count() // GROUP_POINTS).bit_length() - 11)  # a group has 1 / 773 of the points, or 1 / (773 * 2**split) in pairs
+    sent = points.select("hi", "lo").mapInArrow(_group_batches(min(split, MESSAGE)), "g long, hi long, lo long")
+    return sent.repartition("g").sortWithinPartitions("g").mapInArrow(_edge_batches(min(split, MESSAGE)), "a_hi long, a_lo long, b_hi long, b_lo long").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -146,7 +146,7 @@ def _encode_batches(folder: str, shards: int, vocabulary: str):  # noqa: ANN202
             first = np.append(0, np.cumsum(count))
             step = 0
             while step < batch.num_rows:
-                stop = max(step + 1, int(np.searchsorted(first, first[step] + 400_000, "right")) - 1)
+                stop = max(step + 1, int(np.searchsorted(first, first[step] + 150_000, "right")) - 1)
                 at = offsets[first[step] : first[stop] + 1]
                 unique, inverse = np.unique(word_hash(data[at[0] : at[-1]], at - at[0]), return_inverse=True)
                 flat, begins = _join(folder, shards, unique)

@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import encode
+from quillon.llm.chat import format_chats
 from quillon.llm.exact_dedup import exact_repeats
 from quillon.llm.mil import quality_scores
 from quillon.llm.mixing import choose
+from quillon.llm.paragraphs import repeated_paragraphs
+from quillon.llm.repetition import repetition
 from quillon.llm.simhash import near_groups
+from quillon.llm.suffixes import repeated_spans
+from quillon.llm.toxicity import toxicity
 from quillon.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +27,10 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id is not null").groupBy("doc_id").agg(F.when(F.max("quality") == 1, 2.0).when(F.max("quality") == 0, 0.5).otherwise(1.0).alias("weight"))
 
 
+def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,10 +44,26 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("doc_id", "source", "n_tokens", "copies")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op9_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
@@ -51,7 +76,8 @@ def _shipped(f: Query) -> Query:
     return query
 
 
-QUERIES: dict[str, Query] = {f.__name__: _shipped(f) for f in (op2_quality_classifier, op3_exact_dedup, op4_mix_sources, op7_simhash_near_dedup, op10_bpe)}
+_ALL = (op1_paragraph_dedup, op2_quality_classifier, op3_exact_dedup, op4_mix_sources, op5_toxicity, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_chat_format, op9_repetition_rules, op10_bpe)
+QUERIES: dict[str, Query] = {f.__name__: _shipped(f) for f in _ALL}
 
 SQL: dict[str, str] = {
     "op3_exact_dedup": """

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 128
 
@@ -63,13 +64,13 @@ def unpack(data: bytes, width: int) -> np.ndarray:
     return bits.astype(np.uint64) @ (np.uint64(1) << np.arange(width, dtype=np.uint64))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def varint_bytes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in parts:
         yield part.map(lambda v: None if v is None else varint_encode(np.asarray(v)))
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def varint_numbers(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in parts:
         yield part.map(lambda v: None if v is None else varint_decode(bytes(v)).astype(np.int64).tolist())

@@ -66,7 +66,7 @@ class _Parser:
 
     def repeated(self, depth: int) -> tuple:
         node = self.single(depth)
-        while (c := self.peek()) in b"*+?{" and c >= 0:
+        while (c := self.peek()) in tuple(b"*+?{"):
             self.take()
             low, high = {ord("*"): (0, None), ord("+"): (1, None), ord("?"): (0, 1)}.get(c) or self.bounds()
             node = ("times", node, low, high)

@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters, digits and underscore of ASCII, Latin-1, Latin Extended A and B, Greek and Coptic, Cyrillic, and CJK ideographs.
 WORD_CLASS = r"A-Za-z0-9_\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{370}-\x{3FF}\x{400}-\x{4FF}\x{4E00}-\x{9FFF}"
@@ -96,7 +97,7 @@ def json_escape(text: Column) -> Column:
     return F.substring(quoted, F.lit(7), F.length(quoted) - 8)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def url_decode(texts: pd.Series, in_query: pd.Series) -> pd.Series:
     """%HH where both digits are hexadecimal, anything else as it is; + is a blank in a query only."""
 

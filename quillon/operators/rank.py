@@ -78,7 +78,7 @@ def _scored(index: Index, terms: DataFrame, gaps: bool) -> DataFrame:
 def _phrases(index: Index, found: DataFrame, gaps: bool) -> DataFrame:
     """Positions are shifted to where the phrase would begin; a beginning that all terms share is a match."""
     place = "place" if gaps else "slot"
-    begins = found.select("query_id", "ord", "n", "slot", "length", "doc_freq", (F.explode("positions") - F.col(place)).alias("begin"))
+    begins = found.select("query_id", "ord", "n", "slot", "length", "doc_freq", F.explode(F.transform("positions", lambda x: x - F.col(place))).alias("begin"))
     whole = begins.groupBy("query_id", "ord", "n", "begin").agg(F.countDistinct("slot").alias("have"), F.first("length").alias("length"), F.sort_array(F.collect_list("doc_freq")).alias("freqs")).filter("have = n")
     matches = whole.groupBy("query_id", "ord").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.first("freqs").alias("freqs"))
     both = matches.crossJoin(F.broadcast(index.index_stats))  # one row

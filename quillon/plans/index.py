@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import porter
 from quillon.functions.text import STOPWORDS, is_stopword, word_list
+from quillon.session import materialize
 
 K1, B, BLOCK = 0.9, 0.4, 128
 VERSION = 1
@@ -93,6 +94,7 @@ class Index:
     def build(corpus: DataFrame, stemming: bool = True, stopwords: frozenset[str] = STOPWORDS, k1: float = K1, b: float = B) -> Index:
         tokens = analyzed(corpus, stemming, stopwords)
         raw = tokens.groupBy("term", "ord").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+        raw, _ = materialize(raw, "raw-postings")
         lengths = raw.groupBy("ord").agg(F.sum("tf").alias("n"))
         bytes_of = F.octet_length(F.col("title")) + F.octet_length(F.col("text"))
         doc_stats = corpus.join(lengths, "ord", "left").select("ord", "ext_id", F.coalesce("n", F.lit(0)).cast("long").alias("length"), bytes_of.cast("long").alias("bytes"))

@@ -10,7 +10,7 @@ from quillon.functions.porter import _STEP2, _STEP3, _STEP4
 _M0 = "^[^aeiouy]*[aeiouy]+[^aeiouy]"
 _M1 = "^[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]+[^aeiouy]"
 _DOUBLE = "(" + "|".join(c * 2 for c in "bcdfghjkmnpqrtvwx0123456789_") + "|yY)$"
-_SHORT = "[^aeiouy][aeiouy][^aeiouywxY]$"
+_SHORT = r"[^aeiouy][aeiouy][^aeiouywxY\x{80}-\x{10FFFF}]$"  # a character of several bytes is several consonants
 
 
 def _has(word: str, pattern: str) -> str:

@@ -433,7 +433,7 @@ def substring_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_DOCS}, s AS (SELECT ord, strlen(text) AS bytes FROM docs), r AS (SELECT ord, sum(bytes) OVER (ORDER BY ord) - bytes AS a, sum(bytes) OVER (ORDER BY ord) AS b FROM s),
-o AS (SELECT item_id * 1009 AS at FROM benchmark) SELECT at, ord FROM o JOIN r ON at >= a AND at < b""")
+o AS (SELECT item_id * 1009 AS "at" FROM benchmark) SELECT "at", ord FROM o JOIN r ON "at" >= a AND "at" < b""")
 def offset_to_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select((F.col("item_id") * 1009).alias("at"))
     return patterns.offset_to_doc(index_for(spark, sf_dir).offsets(), asked)

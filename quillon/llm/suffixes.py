@@ -25,7 +25,7 @@ from quillon.session import materialize
 
 LENGTH, GRAM = 50, 16
 #: Documents from which splitters are sampled, and documents to a bucket.
-SAMPLE_DOCS, BUCKET_DOCS = 2000, 4000
+SAMPLE_DOCS, BUCKET_DOCS = 2000, 2000
 
 
 def anchors(word_hash: np.ndarray, first: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -193,8 +193,9 @@ def _bucket(table: pa.Table) -> pa.Table:
     unit, doc, s, e, p = (x[new].astype(np.int64) for x in (unit, doc, s, e, p))
     text = table.column("words").combine_chunks()
     data, offsets = X.string_buffer(text.cast(pa.string()))
-    w = X.words(data[offsets[0] : offsets[-1]], offsets - offsets[0])
-    record, start, later = repeated_runs(w.hash, w.first, s, e, p)
+    parts = [X.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in X.slices(offsets)]
+    first = np.append(0, np.cumsum(np.concatenate([np.diff(w.first) for w in parts])))
+    record, start, later = repeated_runs(np.concatenate([w.hash for w in parts]), first, s, e, p)
     by = np.lexsort((start, later, record))
     record, start, later = record[by], start[by], later[by]
     head = np.flatnonzero(np.append(True, (record[1:] != record[:-1]) | (later[1:] != later[:-1]) | (start[1:] != start[:-1] + 1))) if len(record) else np.zeros(0, np.int64)

@@ -152,10 +152,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> t
                 own = pa.array(doc[first] + i)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "label", "features"])
 
-    got = rows.mapInArrow(encode, "doc_id long, label int, features binary").toPandas().sort_values("doc_id", kind="stable")
-    bags = [np.frombuffer(x, np.float16).reshape(-1, DIMENSIONS) for x in got["features"]]
+    got = rows.mapInArrow(encode, "doc_id long, label int, features binary").toArrow().sort_by("doc_id")
+    bags = [np.frombuffer(x, np.float16).reshape(-1, DIMENSIONS) for x in got["features"].to_pylist()]
     sizes = np.array([len(x) for x in bags], np.int64)
-    return (np.concatenate(bags).astype(np.float32) if bags else np.zeros((0, DIMENSIONS), np.float32)), np.cumsum(sizes) - sizes, got["label"].to_numpy(np.int64)
+    return (np.concatenate(bags).astype(np.float32) if bags else np.zeros((0, DIMENSIONS), np.float32)), np.cumsum(sizes) - sizes, got["label"].to_numpy().astype(np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | None:

@@ -13,6 +13,8 @@ from quillon.plans.index import Index, bm25, idf
 from quillon.plans.parser import ParsedQuery, parse
 
 DIGITS = 6
+#: Terms up to which a lookup is a predicate, too.
+MOST_PUSHED = 500
 _TERMS = "query_id long, kind string, role string, slot int, place int, n int, raw string, stemmed string"
 _HITS = "query_id long, rank int, ord long, score double"
 
@@ -30,13 +32,23 @@ def query_terms(index: Index, queries: Sequence[tuple[int, ParsedQuery]]) -> Dat
     return index.corpus.sparkSession.createDataFrame(rows, _TERMS)
 
 
-def resolve(index: Index, terms: DataFrame) -> DataFrame:
+def _only(table: DataFrame, names: set[str] | None) -> DataFrame:
+    """table's rows of some terms, as a predicate that reaches the Parquet scan (sorted by term) if they are few."""
+    return table.filter(F.col("term").isin(sorted(names))) if names and len(names) <= MOST_PUSHED else table
+
+
+def _names(queries: Sequence[tuple[int, ParsedQuery]]) -> set[str]:
+    words = {t for _, q in queries for t in (*q.positive, *q.negative, *q.phrase)}
+    return words | {stem(fold_py(t)) for t in words}
+
+
+def resolve(index: Index, terms: DataFrame, names: set[str] | None = None) -> DataFrame:
     """terms with the index's term: as it is, else stemmed once more; unknown ones are left out."""
     if not index.stemming:
-        known = terms.join(index.lexicon.select(F.col("term").alias("raw"), F.lit(True).alias("known")), "raw", "left_semi")
+        known = terms.join(_only(index.lexicon, names).select(F.col("term").alias("raw"), F.lit(True).alias("known")), "raw", "left_semi")
         return known.withColumn("term", F.col("raw"))
     words = terms.select(F.explode(F.array_distinct(F.array("raw", "stemmed"))).alias("term")).distinct()
-    have = F.broadcast(index.lexicon.join(F.broadcast(words), "term", "left_semi").select("term"))  # at most the queries' words
+    have = F.broadcast(_only(index.lexicon, names).join(F.broadcast(words), "term", "left_semi").select("term"))  # at most the queries' words
     direct = have.select(F.col("term").alias("raw"), F.col("term").alias("hit1"))
     again = have.select(F.col("term").alias("stemmed"), F.col("term").alias("hit2"))
     return terms.join(direct, "raw", "left").join(again, "stemmed", "left").withColumn("term", F.coalesce("hit1", "hit2")).drop("hit1", "hit2").filter("term is not null")
@@ -52,13 +64,15 @@ def evaluate(index: Index, queries: Sequence[tuple[int, str | ParsedQuery]], k:
     parsed = [(i, q if isinstance(q, ParsedQuery) else parse(q, index.stemming, index.stopwords)) for i, q in queries]
     if strict_phrase:
         extra = [(i, q._replace(positive=[])) for i, q in parsed if q.phrase and q.positive]
-    terms = resolve(index, query_terms(index, parsed))
-    hits = _scored(index, terms, gaps)
+    names = _names(parsed)
+    terms = resolve(index, query_terms(index, parsed), names)
+    hits = _scored(index, terms, gaps, names, {q.kind for _, q in parsed})
     if strict_phrase and extra:
-        hits = hits.join(_scored(index, resolve(index, query_terms(index, extra)), gaps).select("query_id", "ord"), ["query_id", "ord"], "left_semi").union(hits.join(F.broadcast(index.corpus.sparkSession.createDataFrame([(i,) for i, _ in extra], "query_id long")), "query_id", "left_anti"))  # a row for each query
-    out = terms.filter("role = '-'").select("query_id", "term")
-    excluded = index.postings.select("term", "ord").join(F.broadcast(out), "term").select("query_id", "ord")  # the queries' terms
-    hits = hits.join(excluded, ["query_id", "ord"], "left_anti")
+        hits = hits.join(_scored(index, resolve(index, query_terms(index, extra)), gaps, names).select("query_id", "ord"), ["query_id", "ord"], "left_semi").union(hits.join(F.broadcast(index.corpus.sparkSession.createDataFrame([(i,) for i, _ in extra], "query_id long")), "query_id", "left_anti"))  # a row for each query
+    if any(q.negative for _, q in parsed):
+        out = terms.filter("role = '-'").select("query_id", "term")
+        excluded = _only(index.postings, names).select("term", "ord").join(F.broadcast(out), "term").select("query_id", "ord")  # the queries' terms
+        hits = hits.join(excluded, ["query_id", "ord"], "left_anti")
     return top_k(hits, k)
 
 
@@ -67,12 +81,16 @@ def top_k(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "ord", "score")
 
 
-def _scored(index: Index, terms: DataFrame, gaps: bool) -> DataFrame:
+def _scored(index: Index, terms: DataFrame, gaps: bool, names: set[str], kinds: set[str] | None = None) -> DataFrame:
     wanted = F.broadcast(terms.filter("role = '+'").select("query_id", "kind", "slot", "place", "n", "term"))  # the queries' terms
-    found = index.postings.join(wanted, "term")
+    found = _only(index.postings, names).join(wanted, "term")
     words = found.filter("kind <> 'phrase'").select("query_id", "kind", "ord", "n", "term", "slot", "score").groupBy("query_id", "kind", "ord", "n").agg(F.sum("score").alias("score"), F.count("*").alias("have"))
     words = words.filter("kind = 'or' or have = n").select("query_id", "ord", F.round("score", DIGITS).alias("score"))
-    return words.unionByName(_phrases(index, found.filter("kind = 'phrase'"), gaps))
+    kinds = kinds or {"or", "and", "phrase"}
+    if "phrase" not in kinds:
+        return words
+    phrases = _phrases(index, found.filter("kind = 'phrase'"), gaps)
+    return words.unionByName(phrases) if kinds - {"phrase", "none"} else phrases
 
 
 def _phrases(index: Index, found: DataFrame, gaps: bool) -> DataFrame:
@@ -95,12 +113,12 @@ def disjunction_pruned(index: Index, terms: list[str], k: int) -> DataFrame:
     that covers it; blocks whose own bound plus the other terms' greatest overlapping bounds stay
     below the threshold are dropped before postings are read.
     """
-    spark = index.corpus.sparkSession
-    wanted = resolve(index, query_terms(index, [(0, ParsedQuery(terms, [], [], [], True))])).select("term").distinct()
-    names = F.broadcast(wanted)  # the query's terms
-    blocks = index.blocks.join(names, "term")
+    asked = [(0, ParsedQuery(terms, [], [], [], True))]
+    pushed = _names(asked)
+    names = F.broadcast(resolve(index, query_terms(index, asked), pushed).select("term").distinct())  # the query's terms
+    blocks = _only(index.blocks, pushed).join(names, "term")
     top = blocks.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("block_max_score"), "block_no"))).filter(F.col("r") <= 4)
-    postings = index.postings.join(names, "term").select("term", "ord", "score")
+    postings = _only(index.postings, pushed).join(names, "term").select("term", "ord", "score")
     seen = postings.join(F.broadcast(top.select("term", "min_ord", "max_ord")), "term").filter("ord between min_ord and max_ord").select("ord").distinct()  # 4 blocks of each term
     real = postings.join(F.broadcast(seen), "ord", "left_semi").groupBy("ord").agg(F.sum("score").alias("score"))  # 512 documents of each term
     least = real.orderBy(F.desc("score")).limit(k).agg(F.min("score").alias("least"), F.count("*").alias("n")).first()

@@ -26,9 +26,11 @@ def substring_search(corpus: DataFrame, pattern: str, k: int = 10, straddling: b
         return corpus.select("ord", F.lit(0).cast("long").alias("score")).filter("false")
     whole = F.concat("title", "text")
     if straddling:
-        # a document shorter than the pattern hands on the beginning of the one after it
-        after = F.substring(F.concat_ws("", F.collect_list(F.substring(whole, 1, len(pattern) - 1)).over(Window.orderBy("ord").rowsBetween(1, len(pattern)))), 1, len(pattern) - 1)
-        rows = corpus.select("ord", F.concat(whole, after).alias("t"))
+        # every document hands its beginning to as many before it as a match can reach back over
+        heads = corpus.select("ord", F.substring(whole, 1, len(pattern) - 1).alias("head"), F.explode(F.sequence(F.lit(1), F.lit(max(1, len(pattern) - 1)))).alias("j"))
+        after = heads.groupBy((F.col("ord") - F.col("j")).alias("ord")).agg(F.array_sort(F.collect_list(F.struct("j", "head"))).alias("x"))
+        after = after.select("ord", F.substring(F.array_join(F.transform("x", lambda x: x["head"]), ""), 1, len(pattern) - 1).alias("after"))
+        rows = corpus.join(after, "ord", "left").select("ord", F.concat(whole, F.coalesce("after", F.lit(""))).alias("t"))
     else:
         rows = corpus.select("ord", whole.alias("t"))
     rows = rows.filter(F.contains("t", F.lit(pattern))).select("ord", overlapping(F.col("t"), pattern).cast("long").alias("score"))

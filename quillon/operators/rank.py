@@ -15,6 +15,8 @@ from quillon.plans.parser import ParsedQuery, parse
 DIGITS = 6
 #: Terms up to which a lookup is a predicate, too.
 MOST_PUSHED = 500
+#: Ranges of documents for which bounds are summed.
+CELLS = 1024
 _TERMS = "query_id long, kind string, role string, slot int, place int, n int, raw string, stemmed string"
 _HITS = "query_id long, rank int, ord long, score double"
 
@@ -109,9 +111,10 @@ def disjunction_pruned(index: Index, terms: list[str], k: int) -> DataFrame:
     """The best k documents that hold any of the terms, by two phases that lose nothing.
 
     The blocks with the highest bounds give k real scores, of which the least is a threshold.
-    A document's score is at most the sum, over the terms, of the greatest bound of a block
-    that covers it; blocks whose own bound plus the other terms' greatest overlapping bounds stay
-    below the threshold are dropped before postings are read.
+    The documents are cut into CELLS ranges; in each, a document's score is at most the sum, over
+    the terms, of the greatest bound of a block that reaches into the range. Blocks whose own bound
+    plus the other terms' in each of their ranges stay below the threshold are dropped before
+    postings are read.
     """
     asked = [(0, ParsedQuery(terms, [], [], [], True))]
     pushed = _names(asked)
@@ -123,10 +126,13 @@ def disjunction_pruned(index: Index, terms: list[str], k: int) -> DataFrame:
     real = postings.join(F.broadcast(seen), "ord", "left_semi").groupBy("ord").agg(F.sum("score").alias("score"))  # 512 documents of each term
     least = real.orderBy(F.desc("score")).limit(k).agg(F.min("score").alias("least"), F.count("*").alias("n")).first()
     low = float(least["least"]) if least["n"] == k else 0.0
-    other = blocks.select(F.col("term").alias("t2"), F.col("min_ord").alias("lo2"), F.col("max_ord").alias("hi2"), F.col("block_max_score").alias("s2"))
-    overlap = blocks.join(other, (F.col("t2") != F.col("term")) & (F.col("lo2") <= F.col("max_ord")) & (F.col("hi2") >= F.col("min_ord")), "left")
-    bound = overlap.groupBy("term", "block_no", "min_ord", "max_ord", "block_max_score", "t2").agg(F.max("s2").alias("s2")).groupBy("term", "block_no", "min_ord", "max_ord", "block_max_score").agg((F.col("block_max_score") + F.coalesce(F.sum("s2"), F.lit(0.0))).alias("bound"))
-    keep = bound.filter(F.col("bound") >= low - 1e-9).select("term", "min_ord", "max_ord")
+    width = F.expr(f"(total_docs + {CELLS - 1}) div {CELLS}")
+    spread = blocks.crossJoin(F.broadcast(index.index_stats.select(width.alias("width"))))  # one row
+    spread = spread.withColumn("cell", F.explode(F.expr("sequence(min_ord div width, max_ord div width)")))
+    cells = spread.groupBy("term", "cell").agg(F.max("block_max_score").alias("top"))
+    whole = cells.groupBy("cell").agg(F.sum("top").alias("sum"))
+    bound = spread.join(cells, ["term", "cell"]).join(whole, "cell").withColumn("bound", F.col("block_max_score") + F.col("sum") - F.col("top"))
+    keep = bound.filter(F.col("bound") >= low - 1e-9).select("term", "min_ord", "max_ord").distinct()
     rest = postings.join(keep, "term").filter("ord between min_ord and max_ord").select("term", "ord", "score")
     hits = rest.groupBy("ord").agg(F.sum("score").alias("score")).select(F.lit(0).cast("long").alias("query_id"), "ord", F.round("score", DIGITS).alias("score"))
     return top_k(hits, k)

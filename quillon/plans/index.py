@@ -149,5 +149,9 @@ class Index:
 
     def offsets(self) -> DataFrame:
         """(ord, start, end): the bytes of title and text in the concatenation of all documents."""
-        end = F.sum("bytes").over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-        return self.doc_stats.select("ord", (end - F.col("bytes")).alias("start"), end.alias("end"))
+        runs = self.doc_stats.select("ord", "bytes", F.expr(f"ord div {RUN_ROWS}").alias("run"))
+        before = F.sum("n").over(Window.orderBy("run")) - F.col("n")
+        totals = runs.groupBy("run").agg(F.sum("bytes").alias("n")).select("run", before.alias("before"))
+        within = F.sum("bytes").over(Window.partitionBy("run").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+        placed = runs.join(F.broadcast(totals), "run").withColumn("end", F.col("before") + within)  # a row for each run
+        return placed.select("ord", (F.col("end") - F.col("bytes")).alias("start"), "end")

@@ -12,8 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
+#: Arrow batches for Python are cut at this size unless the session asks for another than Spark's 64 MB: texts are long.
+BATCH_BYTES, _SPARK_BATCH_BYTES = 8 << 20, 64 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Put this repository on the Python workers' path (a cluster has the package at the same place)."""
+    """Put this repository on the Python workers' path (a cluster has the package at the same place), and set their batches' size."""
+    if spark.conf.get(_BATCH_CONF, "").rstrip("b") == str(_SPARK_BATCH_BYTES):
+        spark.conf.set(_BATCH_CONF, f"{BATCH_BYTES}b")
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):

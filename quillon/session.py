@@ -19,7 +19,7 @@ _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def ship(spark: SparkSession) -> None:
     """Put this repository on the Python workers' path (a cluster has the package at the same place), and set their batches' size."""
-    if spark.conf.get(_BATCH_CONF, "").rstrip("b") == str(_SPARK_BATCH_BYTES):
+    if spark.conf.get(_BATCH_CONF).rstrip("b") == str(_SPARK_BATCH_BYTES):
         spark.conf.set(_BATCH_CONF, f"{BATCH_BYTES}b")
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -82,12 +83,19 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held.filter(pa.array([before is not None and held.column(0)[0].as_py() == before])).select([1, 2, 3, 4])
 
 
-def _cut(splitters: list[bytes]):  # noqa: ANN202
-    """The text of each anchor's words, and the bucket of its head."""
+def _cut(splitters: list[bytes], buckets: int):  # noqa: ANN202
+    """The text of each anchor's words, and the bucket of its head.
+
+    Of equal texts a task sends the first two to the bucket, and then only such as lie before
+    all others so far; the rest are known to be later occurrences and pass by (bucket < 0)
+    without their words. A passage in any number of documents so brings a few rows a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, list] = {}
         for batch in batches:
             data, offsets = X.string_buffer(batch.column(2))
+            units, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             runs = batch.column(3)
             flat, count = runs.flatten(), np.asarray(runs.value_lengths(), np.int64)
             s, e, p = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
@@ -101,11 +109,20 @@ def _cut(splitters: list[bytes]):  # noqa: ANN202
                 begin, head = w.start[base + s[k]], w.start[base + p[k]]
                 head_end, end = w.end[base + p[k] + GRAM - 1], w.end[base + e[k] + LENGTH - 1]
                 raw = own.tobytes()
-                heads = [b" ".join(raw[a:b].split()) for a, b in zip(head, head_end, strict=True)]
-                bucket = np.array([bisect_right(splitters, h) for h in heads], np.int32)
-                words = pa.array([raw[a:b] for a, b in zip(begin, end, strict=True)], pa.binary())
+                bucket, words = np.empty(len(k), np.int32), []
+                for n, (a, b, c, d, place) in enumerate(zip(begin.tolist(), end.tolist(), head.tolist(), head_end.tolist(), zip(ids[doc].tolist(), units[doc].tolist(), s[k].tolist()))):
+                    text = raw[a:b]
+                    known = seen.setdefault(blake2b(text + bytes([c - a & 255, c - a >> 8 & 255, c - a >> 16 & 255]), digest_size=16).digest(), [0, place])
+                    known[0] += 1
+                    if known[0] > 2 and place >= known[1]:
+                        bucket[n] = -1 - place[1] % buckets
+                        words.append(b"")
+                        continue
+                    known[1] = min(known[1], place)
+                    bucket[n] = bisect_right(splitters, b" ".join(raw[c:d].split()))
+                    words.append(text)
                 index = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(0).take(index), batch.column(1).take(index), *(pa.array(x[k].astype(np.int32)) for x in (s, e, p)), words], ["bucket", "unit", "doc_id", "s", "e", "p", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(0).take(index), batch.column(1).take(index), *(pa.array(x[k].astype(np.int32)) for x in (s, e, p)), pa.array(words, pa.binary())], ["bucket", "unit", "doc_id", "s", "e", "p", "words"])
 
     return run
 
@@ -186,6 +203,9 @@ def repeated_runs(hashes: np.ndarray, first: np.ndarray, s: np.ndarray, e: np.nd
 
 
 def _bucket(table: pa.Table) -> pa.Table:
+    if table.num_rows and table.column("bucket")[0].as_py() < 0:
+        end = np.asarray(table.column("e")) + LENGTH
+        return pa.table({"unit": table["unit"], "doc_id": table["doc_id"], "start_word": table["s"], "end_word": pa.array(end.astype(np.int32)), "later": pa.array(np.ones(len(end), bool))})
     table = table.sort_by([("doc_id", "ascending"), ("unit", "ascending"), ("s", "ascending")]).combine_chunks()
     unit, doc, s, e, p = (table.column(k).to_numpy() for k in ("unit", "doc_id", "s", "e", "p"))
     new = np.append(True, (unit[1:] != unit[:-1]) | (doc[1:] != doc[:-1]) | (s[1:] != s[:-1]))
@@ -223,7 +243,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     heads = [bytes(r[0]) for r in rows.select("text").sample(min(1.0, SAMPLE_DOCS / max(n, 1)), seed=3).mapInArrow(_heads, "head binary").collect()] if buckets > 1 else []  # about SAMPLE_DOCS documents
     heads.sort()
     splitters = sorted({heads[len(heads) * k // buckets] for k in range(1, buckets)}) if heads else []
-    cut = rows.join(again, "unit").select("unit", "doc_id", "text", "runs").mapInArrow(_cut(splitters), "bucket int, unit long, doc_id long, s int, e int, p int, words binary")
+    cut = rows.join(again, "unit").select("unit", "doc_id", "text", "runs").mapInArrow(_cut(splitters, buckets), "bucket int, unit long, doc_id long, s int, e int, p int, words binary")
     runs, _ = materialize(cut.groupBy("bucket").applyInArrow(_bucket, "unit long, doc_id long, start_word int, end_word int, later boolean"), "repeated-runs")
     own = Window.partitionBy("doc_id", "unit", "later").orderBy("start_word", "end_word")
     before = F.max("end_word").over(own.rowsBetween(Window.unboundedPreceding, -1))

@@ -381,6 +381,16 @@ def test_suffixes_against_brute_force(spark, monkeypatch):
     assert got == brute_spans(rows, suffixes.LENGTH) and len(got) > 40
 
 
+def test_suffixes_of_a_hot_passage(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BUCKET_DOCS", 40)
+    rng = random.Random(10)
+    hot = sentence(rng, 120)
+    rows = [(i, f"{sentence(rng, rng.randrange(0, 9))} {hot} {sentence(rng, 3)}", "s") for i in range(300)]
+    rng.shuffle(rows)
+    got = sorted(tuple(r) for r in suffixes.repeated_spans(frame(spark, rows)).collect())
+    assert got == brute_spans(rows, suffixes.LENGTH)
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(3)
     keys = rng.integers(0, 3, (6, 400)).astype(np.uint64)

@@ -132,7 +132,7 @@ def brute_toxicity(docs, labels):
                     near[w].update(x for x in ws[max(0, k - toxicity.WINDOW) : k] + ws[k + 1 : k + 1 + toxicity.WINDOW] if x in known)
         new = defaultdict(lambda: np.zeros(2))
         for a in active:
-            ppmi = {b: math.log(m * total / (count[a] * count[b] * 2 * toxicity.WINDOW)) for b, m in near[a].items() if m >= 3 and b != a}
+            ppmi = {b: math.log(m * total / (count[a] * count[b] * 2 * toxicity.WINDOW)) for b, m in near[a].items() if m >= max(3, toxicity.LEAST_EDGE * count[a] * 2 * toxicity.WINDOW) and b != a}
             ppmi = {b: v for b, v in ppmi.items() if v > 0}
             for b, v in ppmi.items():
                 new[b] += moving[a] * v / sum(ppmi.values())

@@ -25,8 +25,8 @@ from quillon.llm import textnp as X
 from quillon.session import materialize
 
 LENGTH, GRAM = 50, 16
-#: Documents from which splitters are sampled, and documents to a bucket.
-SAMPLE_DOCS, BUCKET_DOCS = 2000, 2000
+#: Documents from which splitters are sampled (one for each bucket above that, at most 500,000), and documents to a bucket.
+SAMPLE_DOCS, BUCKET_DOCS = 2000, 500
 
 
 def anchors(word_hash: np.ndarray, first: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -240,7 +240,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = found.mapInArrow(_repeated, "unit long, s int, e int, p int").groupBy("unit").agg(F.collect_list(F.struct("s", "e", "p")).alias("runs"))
     n = rows.count()
     buckets = max(1, -(-n // BUCKET_DOCS))
-    heads = [bytes(r[0]) for r in rows.select("text").sample(min(1.0, SAMPLE_DOCS / max(n, 1)), seed=3).mapInArrow(_heads, "head binary").collect()] if buckets > 1 else []  # about SAMPLE_DOCS documents
+    heads = [bytes(r[0]) for r in rows.select("text").sample(min(1.0, max(SAMPLE_DOCS, min(buckets, 500_000)) / max(n, 1)), seed=3).mapInArrow(_heads, "head binary").collect()] if buckets > 1 else []  # of the sampled documents
     heads.sort()
     splitters = sorted({heads[len(heads) * k // buckets] for k in range(1, buckets)}) if heads else []
     cut = rows.join(again, "unit").select("unit", "doc_id", "text", "runs").mapInArrow(_cut(splitters, buckets), "bucket int, unit long, doc_id long, s int, e int, p int, words binary")

@@ -21,7 +21,7 @@ K1, B, BLOCK = 0.9, 0.4, 128
 VERSION = 1
 _TABLES = ("corpus", "postings", "lexicon", "blocks", "doc_stats", "index_stats")
 #: Rows of one sorted run where rows are numbered.
-RUN_ROWS = 2_000_000
+RUN_ROWS = 200_000
 
 
 def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
@@ -92,6 +92,8 @@ class Index:
 
     @staticmethod
     def build(corpus: DataFrame, stemming: bool = True, stopwords: frozenset[str] = STOPWORDS, k1: float = K1, b: float = B) -> Index:
+        parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        corpus, _ = materialize(corpus.repartition(parts, "ord"), "corpus")  # numbering leaves few partitions
         tokens = analyzed(corpus, stemming, stopwords)
         raw = tokens.groupBy("term", "ord").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
         raw, _ = materialize(raw, "raw-postings")

@@ -317,6 +317,22 @@ def test_toxicity_held_out(rude):
     assert {"zorp", "blick", "vrull", "gnash", "mudde", "snork"} <= set(words) and weight.min() >= toxicity.LEAST_POLARITY
 
 
+def test_toxicity_of_words_without_labels(rude, spark):
+    docs, labels, _ = rude
+    rng = random.Random(16)
+    more = []
+    for i in range(1000, 1040):
+        words = sentence(rng, 60).split()
+        words[20:20] = ["zorp", "quexx", "blick", "quexx", "vrull"]
+        more.append((i, " ".join(words), "s"))
+    more += [(2000, f"{sentence(rng, 30)} quexx quexx quexx quexx", "s"), (2001, sentence(rng, 30), "s")]
+    every = docs.union(frame(spark, more))
+    _, words, _, _ = toxicity.lexicon(every, labels)
+    assert "quexx" in words
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.toxicity(every, labels).collect()}
+    assert got[2000] and not got[2001]
+
+
 def test_pair_counts():
     known = np.sort(X.words(*X.string_buffer(pa.array(["a b c"]))).hash)
     batch = pa.RecordBatch.from_arrays([pa.array(["a b a x c", "b", None])], ["text"])

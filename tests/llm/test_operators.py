@@ -333,6 +333,23 @@ def test_toxicity_of_words_without_labels(rude, spark):
     assert got[2000] and not got[2001]
 
 
+def test_toxicity_keeps_rare_edges_of_frequent_words(spark):
+    rng = random.Random(17)
+    rows = []
+    for i in range(250):
+        words = [f"w{rng.randrange(3000)}" for _ in range(260)]
+        words[30::60] = ["zeta"] * len(words[30::60])
+        if i < 5:
+            words[31] = "rarum"
+        rows.append((i, " ".join(words), "s"))
+    docs = frame(spark, rows + [(i, "alone", "s") for i in range(250, 1000)])
+    known, usual, total = toxicity.vocabulary(docs)
+    h = {w: X.words(*X.string_buffer(pa.array([w]))).hash for w in ("zeta", "rarum")}
+    active = toxicity._table(docs, {"h": h["zeta"].view(np.int64)}, "h long")
+    steps = toxicity.transitions(docs, known, usual, total, active, h["zeta"]).collect()
+    assert int(h["rarum"].view(np.int64)[0]) in {r["b"] for r in steps} and sum(r["p"] for r in steps) == pytest.approx(1)
+
+
 def test_pair_counts():
     known = np.sort(X.words(*X.string_buffer(pa.array(["a b c"]))).hash)
     batch = pa.RecordBatch.from_arrays([pa.array(["a b a x c", "b", None])], ["text"])

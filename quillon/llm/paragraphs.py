@@ -1,6 +1,7 @@
 """Substring dedup by paragraphs: MinHash banding, exact verification, components.
 
-A paragraph is a line of at least MIN_WORDS words. Equal word sequences are one point.
+A paragraph is a line of at least MIN_WORDS words, so that boilerplate, license lines and
+the lines of wrapped passages are paragraphs too. Equal word sequences are one point.
 BANDS bands of ROWS minima over word-pair hashes meet with probability
 1 - (1 - s**ROWS)**BANDS: 0.95 at the threshold s = 0.7, 0.998 at 0.8. Paragraphs that
 share a band are compared by the exact Jaccard similarity of their sets of word pairs;
@@ -21,7 +22,7 @@ from quillon.llm import textnp as X
 from quillon.llm.components import connected_components
 from quillon.session import materialize
 
-MIN_WORDS = 30
+MIN_WORDS = 5
 BANDS, ROWS = 16, 5
 LEAST_JACCARD = 0.7
 #: Distinct paragraphs of one band up to which all pairs are compared by join; larger groups are compared where they lie.

@@ -149,6 +149,15 @@ def test_paragraphs_in_large_groups(spark, monkeypatch):
     assert {r["doc_id"] for r in got} == set(range(1, 90)) and {r["kept_doc_id"] for r in got} == {0}
 
 
+def test_short_paragraphs(spark):
+    rng = random.Random(18)
+    notice, wrapped = "All rights of this text are reserved.", [" ".join(f"p{k}x{n}" for n in range(11)) for k in range(8)]
+    docs = [(i, "\n".join([sentence(rng, 40), notice, *(wrapped if i % 3 == 0 else []), "Too short."]), "s") for i in range(9)]
+    got = {(r["doc_id"], r["paragraph"]): (r["kept_doc_id"], r["kept_paragraph"]) for r in paragraphs.repeated_paragraphs(frame(spark, docs)).collect()}
+    want = {(i, 1): (0, 1) for i in range(1, 9)} | {(i, k): (0, k) for i in (3, 6) for k in range(2, 10)}
+    assert got == want
+
+
 def test_paragraphs_odd(odd, empty):
     got = paragraphs.repeated_paragraphs(odd).collect()
     assert [(r["doc_id"], r["kept_doc_id"]) for r in got if r["doc_id"] == 5] and all(r["kept_doc_id"] == 4 for r in got)

@@ -9,9 +9,9 @@ at most two segments with 3 or more errors, so another pair of segments always m
 up to 8 bits the search is exact. Up to MOST_BITS it finds most of the rest.
 
 Documents of one fingerprint are one point of the search. A bucket yields the edges of
-a spanning forest of the points within MOST_BITS of each other, not all their pairs, so
-groups of thousands of copies stay linear. Edges are then verified on MinHash sketches of
-the two documents' word sets, and groups are connected components.
+a spanning forest of the points within MOST_BITS of each other whose word sets are alike by
+their MinHash sketches, which go to the bucket with them, and not all pairs, so groups of
+thousands of copies stay linear. Groups are connected components.
 """
 
 from __future__ import annotations
@@ -29,12 +29,14 @@ from quillon.llm.golay import BITS, MESSAGE, near_indices
 from quillon.llm.names import fresh
 from quillon.session import materialize
 
-SEGMENTS = 4
+SEGMENTS, LAYOUTS = 4, 1
 MOST_BITS = 12
 SKETCH = 48
 #: Least estimated Jaccard similarity of two near copies' word sets.
 LEAST_JACCARD = 0.45
-_PAIRS = [(i, j) for i in range(SEGMENTS) for j in range(i + 1, SEGMENTS)]
+_PAIRS = [(SEGMENTS * r + i, SEGMENTS * r + j) for r in range(LAYOUTS) for i in range(SEGMENTS) for j in range(i + 1, SEGMENTS)]
+_rng = np.random.Generator(np.random.PCG64(9))
+_SHUFFLED = [_rng.permutation(SEGMENTS * BITS) for _ in range(LAYOUTS - 1)]
 #: Points of a group up to which it is not split.
 GROUP_POINTS = 1 << 15
 _SMALL = 48  # buckets up to this size compare all pairs at once
@@ -84,8 +86,16 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 
 def _segments(hi: np.ndarray, lo: np.ndarray) -> list[np.ndarray]:
+    """SEGMENTS segments of each layout."""
     low = (1 << BITS) - 1
-    return [(x & low).astype(np.int32) for x in (hi >> BITS, hi, lo >> BITS, lo)]
+    out = [(x & low).astype(np.int32) for x in (hi >> BITS, hi, lo >> BITS, lo)]
+    for order in _SHUFFLED:
+        for s in range(SEGMENTS):
+            own = np.zeros(len(hi), np.int32)
+            for k, bit in enumerate(order[s * BITS : (s + 1) * BITS].tolist()):
+                own |= ((hi >> bit if bit < 2 * BITS else lo >> bit - 2 * BITS) & 1).astype(np.int32) << k
+            out.append(own)
+    return out
 
 
 def groups(hi: np.ndarray, lo: np.ndarray, split: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +108,7 @@ def groups(hi: np.ndarray, lo: np.ndarray, split: int = 0) -> tuple[np.ndarray,
     near = [near_indices(x) for x in _segments(hi, lo)]
     rows, found = [], []
     if not split:
-        for i in range(SEGMENTS - 1):
+        for i in (k for k in range(SEGMENTS * LAYOUTS) if (k + 1) % SEGMENTS):
             row, x = np.nonzero(near[i] >= 0)
             rows.append(row)
             found.append((i << MESSAGE | near[i][row, x]).astype(np.int64))
@@ -116,9 +126,9 @@ def _group_batches(split: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hi, lo = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for i in range(0, len(hi), 2000):
-                row, group = groups(hi[i : i + 2000], lo[i : i + 2000], split)
-                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(hi[i : i + 2000][row]), pa.array(lo[i : i + 2000][row])], ["g", "hi", "lo"])
+            for i in range(0, len(hi), 1000):
+                row, group = groups(hi[i : i + 1000], lo[i : i + 1000], split)
+                yield pa.RecordBatch.from_arrays([pa.array(group), *(batch.column(k).take(pa.array(i + row)) for k in range(3))], ["g", "hi", "lo", "sketch"])
 
     return run
 
@@ -128,18 +138,18 @@ def second_keys(group: np.ndarray, hi: np.ndarray, lo: np.ndarray, split: int =
     ordinal = np.cumsum(np.append(False, group[1:] != group[:-1]))
     segments, first = _segments(hi, lo), group >> MESSAGE + split
     rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for j in range(1, SEGMENTS):
+    for j in (k for k in range(SEGMENTS * LAYOUTS) if k % SEGMENTS):
         if split:
             own = np.flatnonzero(np.isin(first, [p for p, (_, y) in enumerate(_PAIRS) if y == j]))
         else:
-            own = np.flatnonzero(first < j)
+            own = np.flatnonzero((first < j) & (first // SEGMENTS == j // SEGMENTS))
         near = near_indices(segments[j][own])
         good = near >= 0
         if split:
             good &= near >> MESSAGE - split == (group[own] & (1 << split) - 1)[:, None]
         row, x = np.nonzero(good)
         rows.append(own[row])
-        keys.append((ordinal[own[row]] * SEGMENTS + j) << MESSAGE | near[row, x])
+        keys.append((ordinal[own[row]] * (SEGMENTS * LAYOUTS) + j) << MESSAGE | near[row, x])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -147,8 +157,13 @@ def distance(a_hi: np.ndarray, a_lo: np.ndarray, b_hi: np.ndarray, b_lo: np.ndar
     return np.bitwise_count(a_hi ^ b_hi).astype(np.int32) + np.bitwise_count(a_lo ^ b_lo)
 
 
-def forest(hi: np.ndarray, lo: np.ndarray, most: int = MOST_BITS) -> list[tuple[int, int]]:
-    """Edges that span the components of the points at most `most` bits apart."""
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sketches (or one and others) are of word sets alike; sketches of no width always are."""
+    return (a == b).sum(1) >= LEAST_JACCARD * b.shape[1]
+
+
+def forest(hi: np.ndarray, lo: np.ndarray, most: int = MOST_BITS, sketch: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that span the components of the points at most `most` bits apart, and alike if sketches are given."""
     left = np.arange(len(hi))
     edges, queue = [], []
     while len(left):
@@ -157,19 +172,30 @@ def forest(hi: np.ndarray, lo: np.ndarray, most: int = MOST_BITS) -> list[tuple[
         else:
             x, left = int(left[0]), left[1:]
         near = distance(hi[x], lo[x], hi[left], lo[left]) <= most
+        if sketch is not None:
+            near[near] = alike(sketch[x], sketch[left[near]])
         edges += [(x, int(y)) for y in left[near]]
         queue += left[near].tolist()
         left = left[~near]
     return edges
 
 
-def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _sketches(batch: pa.RecordBatch) -> np.ndarray:
+    """(n, SKETCH) of the fourth column; of no width without one."""
+    if batch.num_columns < 4:
+        return np.zeros((batch.num_rows, 0), np.uint16)
+    column = batch.column(3).cast(pa.large_binary())
+    first = np.frombuffer(column.buffers()[1], np.int64)[column.offset] // 2
+    return np.frombuffer(column.buffers()[2], np.uint16)[first : first + len(column) * SKETCH].reshape(-1, SKETCH)
+
+
+def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     """Whole groups of equal keys from batches sorted by key, many at a time."""
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
-        now = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        if not len(now[0]):
+        if not batch.num_rows:
             continue
+        now = (*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)), _sketches(batch))
         last = int(np.searchsorted(now[0], now[0][-1]))
         if last or (held and held[-1][0][-1] != now[0][0]):
             yield tuple(np.concatenate(x) for x in zip(*held, tuple(c[:last] for c in now), strict=True))
@@ -179,8 +205,8 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def bucket_edges(key: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """(n, 2) rows within MOST_BITS that span the groups of each run of equal keys."""
+def bucket_edges(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, sketch: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """(n, 2) places within MOST_BITS and alike that span the groups of each run of equal keys; row has each place's sketch."""
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(key)))
     found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
@@ -191,20 +217,22 @@ def bucket_edges(key: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
         same = g[:-shift] == g[shift:]
         a, b = small[:-shift][same], small[shift:][same]
         near = distance(hi[a], lo[a], hi[b], lo[b]) <= MOST_BITS
+        a, b = a[near], b[near]
+        near = alike(sketch[row[a]], sketch[row[b]])
         found.append(np.stack([a[near], b[near]], 1))
     for k in np.flatnonzero(size > _SMALL):
         own = slice(start[k], start[k] + size[k])
-        found.append(np.array(forest(hi[own], lo[own]), np.int64).reshape(-1, 2) + start[k])
+        found.append(np.array(forest(hi[own], lo[own], sketch=sketch[row[own]]), np.int64).reshape(-1, 2) + start[k])
     return np.concatenate(found)
 
 
 def _edge_batches(split: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, hi, lo in _sorted_groups(batches):
+        for group, hi, lo, sketch in _sorted_groups(batches):
             row, key = second_keys(group, hi, lo, split)
             order = np.argsort(key)
             row = row[order]
-            e = row[bucket_edges(key[order], hi[row], lo[row])]
+            e = row[bucket_edges(key[order], hi[row], lo[row], sketch, row)]
             if len(e):
                 a, b = e[:, 0], e[:, 1]
                 swap = (hi[a] > hi[b]) | ((hi[a] == hi[b]) & (lo[a] > lo[b]))
@@ -215,17 +243,10 @@ def _edge_batches(split: int):  # noqa: ANN202
     return run
 
 
-def _alike_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SKETCH) for k in (2, 3))
-            yield batch.filter(pa.array((a == b).mean(1) >= LEAST_JACCARD)).select([0, 1])
-
-
 def near_pairs(points: DataFrame) -> DataFrame:
-    """Edges (a_hi, a_lo, b_hi, b_lo) among distinct fingerprints (hi, lo) that span each bucket's groups."""
+    """Edges (a_hi, a_lo, b_hi, b_lo) among distinct fingerprints (hi, lo, sketch) that span each bucket's groups."""
     split = max(0, (points.count() // GROUP_POINTS).bit_length() - 11)  # a group has 1 / 773 of the points, or 1 / (773 * 2**split) in pairs
-    sent = points.select("hi", "lo").mapInArrow(_group_batches(min(split, MESSAGE)), "g long, hi long, lo long")
+    sent = points.select("hi", "lo", "sketch").mapInArrow(_group_batches(min(split, MESSAGE)), "g long, hi long, lo long, sketch binary")
     return sent.repartition("g").sortWithinPartitions("g").mapInArrow(_edge_batches(min(split, MESSAGE)), "a_hi long, a_lo long, b_hi long, b_lo long").distinct()
 
 
@@ -244,11 +265,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     points, _ = materialize(prints.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "sketch")).alias("p")).select("hi", "lo", F.col("p.doc_id").alias("rep"), F.col("p.sketch").alias("sketch")), "points")
     edges = near_pairs(points)
     for x in "ab":
-        own = points.select(F.col("hi").alias(f"{x}_hi"), F.col("lo").alias(f"{x}_lo"), F.col("rep").alias(x), F.col("sketch").alias(f"{x}_sketch"))
+        own = points.select(F.col("hi").alias(f"{x}_hi"), F.col("lo").alias(f"{x}_lo"), F.col("rep").alias(x))
         edges = edges.join(own, [f"{x}_hi", f"{x}_lo"])
-    alike = edges.select("a", "b", "a_sketch", "b_sketch").mapInArrow(_alike_batches, "a long, b long")
     same = prints.join(points.select("hi", "lo", "rep"), ["hi", "lo"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    groups = connected_components(alike.union(same))
+    groups = connected_components(edges.select("a", "b").union(same))
     group = F.coalesce("root", "doc_id")
     return rows.select("doc_id").join(groups, F.col("doc_id") == F.col("node"), "left").select("doc_id", group.alias("group_id"), (group == F.col("doc_id")).alias("keep"))
 

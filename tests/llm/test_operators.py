@@ -517,6 +517,14 @@ def test_near_groups(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in got if got[i] == i)
 
 
+def test_forest_grows_along_alike_points():
+    rng = np.random.default_rng(6)
+    hi, lo = np.zeros(60, np.int64), np.append(0, 1 << rng.integers(0, 8, 59))
+    sketch = np.append(np.zeros((1, simhash.SKETCH), np.uint16), np.ones((59, simhash.SKETCH), np.uint16), axis=0)
+    edges = simhash.bucket_edges(np.zeros(60, np.int64), hi, lo, sketch, np.arange(60))
+    assert len(edges) == 58 and edges.min() > 0
+
+
 def test_near_odd(odd, empty):
     got = Counter(tuple(r) for r in simhash.near_groups(odd).collect())
     assert got[5, 4, False] == 2 and got[4, 4, True] == 1 and got[1, 1, True] == 1 and got[2, 2, True] == 1 and got[3, 3, True] == 1

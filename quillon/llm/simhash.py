@@ -6,7 +6,8 @@ such that segments at most 2 bits apart share one. Two fingerprints meet where a
 segments shares an index each: they are sent by an index of the first (or of both, for
 many points) and matched by the second there. Fingerprints at most 8 bits apart have
 at most two segments with 3 or more errors, so another pair of segments always meets:
-up to 8 bits the search is exact. Up to MOST_BITS it finds most of the rest.
+up to 8 bits the search is exact. The bits are cut to segments in LAYOUTS ways, the first in
+their order, the others shuffled; of random pairs 14 bits apart 99.7 % meet, 18 bits apart 93 %.
 
 Documents of one fingerprint are one point of the search. A bucket yields the edges of
 a spanning forest of the points within MOST_BITS of each other whose word sets are alike by
@@ -29,8 +30,8 @@ from quillon.llm.golay import BITS, MESSAGE, near_indices
 from quillon.llm.names import fresh
 from quillon.session import materialize
 
-SEGMENTS, LAYOUTS = 4, 1
-MOST_BITS = 12
+SEGMENTS, LAYOUTS = 4, 3
+MOST_BITS = 18
 SKETCH = 48
 #: Least estimated Jaccard similarity of two near copies' word sets.
 LEAST_JACCARD = 0.45

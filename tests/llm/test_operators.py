@@ -517,6 +517,19 @@ def test_near_groups(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in got if got[i] == i)
 
 
+@pytest.mark.parametrize("size", [50, 90, 180, 450])
+def test_near_recall_by_length(spark, size):
+    rng, rows = random.Random(size), []
+    for g in range(150):
+        words = [f"w{g}x{k}" for k in range(size)]
+        own = list(words)
+        for k in rng.sample(range(size), size // 10):  # word-set Jaccard 0.82
+            own[k] = f"new{g}x{k}"
+        rows += [(2 * g, " ".join(words), "s"), (2 * g + 1, " ".join(own), "s")]
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_groups(frame(spark, rows)).collect()}
+    assert np.mean([got[2 * g + 1] == 2 * g for g in range(150)]) >= 0.9 and all(i // 2 == g // 2 for i, g in got.items())
+
+
 def test_forest_grows_along_alike_points():
     rng = np.random.default_rng(6)
     hi, lo = np.zeros(60, np.int64), np.append(0, 1 << rng.integers(0, 8, 59))

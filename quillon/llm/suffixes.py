@@ -83,12 +83,17 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held.filter(pa.array([before is not None and held.column(0)[0].as_py() == before])).select([1, 2, 3, 4])
 
 
+#: In place of a bucket: the place of a repeated row.
+_SAME = np.iinfo(np.int32).min
+
+
 def _cut(splitters: list[bytes], buckets: int):  # noqa: ANN202
     """The text of each anchor's words, and the bucket of its head.
 
     Of equal texts a task sends the first two to the bucket, and then only such as lie before
     all others so far; the rest are known to be later occurrences and pass by (bucket < 0)
     without their words. A passage in any number of documents so brings a few rows a task.
+    A row that repeats another brings the same places; they are no occurrences of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +118,10 @@ def _cut(splitters: list[bytes], buckets: int):  # noqa: ANN202
                 for n, (a, b, c, d, place) in enumerate(zip(begin.tolist(), end.tolist(), head.tolist(), head_end.tolist(), zip(ids[doc].tolist(), units[doc].tolist(), s[k].tolist()))):
                     text = raw[a:b]
                     known = seen.setdefault(blake2b(text + bytes([c - a & 255, c - a >> 8 & 255, c - a >> 16 & 255]), digest_size=16).digest(), [0, place])
+                    if known[0] and place == known[1]:
+                        bucket[n] = _SAME
+                        words.append(b"")
+                        continue
                     known[0] += 1
                     if known[0] > 2 and place >= known[1]:
                         bucket[n] = -1 - place[1] % buckets
@@ -122,7 +131,7 @@ def _cut(splitters: list[bytes], buckets: int):  # noqa: ANN202
                     bucket[n] = bisect_right(splitters, b" ".join(raw[c:d].split()))
                     words.append(text)
                 index = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(0).take(index), batch.column(1).take(index), *(pa.array(x[k].astype(np.int32)) for x in (s, e, p)), pa.array(words, pa.binary())], ["bucket", "unit", "doc_id", "s", "e", "p", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(0).take(index), batch.column(1).take(index), *(pa.array(x[k].astype(np.int32)) for x in (s, e, p)), pa.array(words, pa.binary())], ["bucket", "unit", "doc_id", "s", "e", "p", "words"]).filter(pa.array(bucket != _SAME))
 
     return run
 
@@ -237,7 +246,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null and text is not null")
     rows = rows.select(F.xxhash64("doc_id", "text").alias("unit"), "doc_id", "text")
     found = rows.mapInArrow(_anchor_batches, "g long, unit long, s int, e int, p int").repartition("g").sortWithinPartitions("g")
-    again = found.mapInArrow(_repeated, "unit long, s int, e int, p int").groupBy("unit").agg(F.collect_list(F.struct("s", "e", "p")).alias("runs"))
+    again = found.mapInArrow(_repeated, "unit long, s int, e int, p int").groupBy("unit").agg(F.collect_set(F.struct("s", "e", "p")).alias("runs"))
     n = rows.count()
     buckets = max(1, -(-n // BUCKET_DOCS))
     heads = [bytes(r[0]) for r in rows.select("text").sample(min(1.0, max(SAMPLE_DOCS, min(buckets, 500_000)) / max(n, 1)), seed=3).mapInArrow(_heads, "head binary").collect()] if buckets > 1 else []  # of the sampled documents

@@ -433,6 +433,15 @@ def test_suffixes_of_a_hot_passage(spark, monkeypatch):
     assert got == brute_spans(rows, suffixes.LENGTH)
 
 
+@pytest.mark.parametrize("times", [2, 5])
+def test_suffixes_of_repeated_rows(spark, times):
+    rng = random.Random(19)
+    texts = [sentence(rng, 90) for _ in range(4)]
+    rows = [(1, texts[0], "s")] * times + [(2, texts[1], "s")] * times + [(3, texts[1], "s")] * times + [(4, texts[2], "s"), (0, texts[3] + " " + texts[3], "s")] + [(0, texts[3] + " " + texts[3], "s")]
+    got = sorted(tuple(r) for r in suffixes.repeated_spans(frame(spark, rows).coalesce(1)).collect())
+    assert got == brute_spans(rows, suffixes.LENGTH) and {r[0] for r in got} == {0, 2, 3}
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(3)
     keys = rng.integers(0, 3, (6, 400)).astype(np.uint64)

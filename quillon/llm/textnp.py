@@ -114,7 +114,19 @@ def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE, hash
     start, end = np.flatnonzero(starts), np.flatnonzero(ends)
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return Words(start, end, doc, span_hash(prefix_hash(data), start, end) if hashes else np.zeros(0, _U), first)
+    return Words(start, end, doc, word_hashes(data, start, end) if hashes else np.zeros(0, _U), first)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words, some SLICE_BYTES at a time, so that a very long text needs little more than its words."""
+    out = np.empty(len(start), _U)
+    k = 0
+    while k < len(start):
+        stop = max(k + 1, int(np.searchsorted(start, start[k] + SLICE_BYTES)))
+        base = start[k]
+        out[k:stop] = span_hash(prefix_hash(data[base : end[stop - 1]]), start[k:stop] - base, end[k:stop] - base)
+        k = stop
+    return out
 
 
 def grams(word_hash: np.ndarray, n: int) -> np.ndarray:

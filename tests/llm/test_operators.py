@@ -98,46 +98,100 @@ def test_components(spark):
 # --- 1 paragraphs ---
 
 
+def brute_paragraphs(text):
+    """[(start, end, words)] of a text's paragraphs in characters, cut by looking at each word's neighbours one by one."""
+    found = [(m.start(), m.end()) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text)]
+    low = text.translate({c: c + 32 for c in [*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]})
+    words = [low[a:b] for a, b in found]
+    blocks = []
+    for k, (a, _) in enumerate(found):
+        end = found[k - 1][1] if k else 0
+        if not k or text[end:a].count("\n") > 1 or ("\n" in text[end:a] and text[end] in ".!?:;\"')"):
+            blocks.append([])
+        blocks[-1].append(k)
+    h = {w: int(X.words(*X.string_buffer(pa.array([w]))).hash[0]) for w in set(words)}
+    out, most = [], (1 << 64) - 1
+    for block in blocks:
+        g = [int(X.mix(np.array([(h[words[k]] * 0x9E3779B97F4A7C15 + h[words[k + 1]]) & most], np.uint64), 3)[0]) for k in block[:-1]] + [most]
+        begin = [0]
+        for k in range(paragraphs.MIN_WORDS, len(block) - paragraphs.MIN_WORDS + 1):
+            before, after = g[max(0, k - paragraphs.REACH) : k], g[k + 1 : k + 1 + paragraphs.REACH]
+            if g[k] < min(before) and g[k] <= min(after):
+                begin.append(k)
+        for x, y in zip(begin, [*begin[1:], len(block)]):
+            out.append((found[block[x]][0], found[block[y - 1]][1], words[block[x] : block[y - 1] + 1]))
+    return out
+
+
+def brute_repeats(docs):
+    """{(id, paragraph): (id, paragraph) that stays} by all pairs, and those that exact copies alone join; spans of all."""
+    sets, spans = {}, {}
+    for i, t in docs:
+        for n, (a, b, ws) in enumerate(brute_paragraphs(t or "")):
+            if len(ws) >= paragraphs.MIN_WORDS:
+                sets[i, n], spans[i, n] = (set(zip(ws, ws[1:])), tuple(ws)), (a, b)
+    order = sorted(sets)
+    root, sure = ({p: p for p in order} for _ in "ab")
+
+    def find(up, p):
+        while up[p] != p:
+            p = up[p]
+        return p
+
+    by_words, small = {}, {}
+    for p in order:
+        first = by_words.setdefault(sets[p][1], p)
+        root[p] = sure[p] = first
+        small.setdefault(first, sets[p][0])
+    own = sorted(small)
+    for x, a in enumerate(own):
+        for b in own[x + 1 :]:
+            if len(small[a] & small[b]) >= paragraphs.LEAST_JACCARD * len(small[a] | small[b]):
+                p, q = find(root, a), find(root, b)
+                root[max(p, q)] = min(p, q)
+    return {p: find(root, p) for p in order if find(root, p) != p}, {p: q for p, q in sure.items() if p != q}, spans
+
+
 def test_paragraphs_against_brute_force(spark):
     rng = random.Random(7)
     docs = []
     base = [sentence(rng, rng.randrange(35, 80)) for _ in range(25)]
     for i in range(120):
-        lines = [sentence(rng, rng.randrange(3, 60)) for _ in range(rng.randrange(1, 4))]
+        lines = [sentence(rng, rng.randrange(3, 60)) + rng.choice(["", "."]) for _ in range(rng.randrange(1, 4))]
         if rng.random() < 0.6:
             words = rng.choice(base).split()
             for _ in range(rng.randrange(0, 3)):
                 words[rng.randrange(len(words))] = rng.choice(WORDS)
             lines.insert(rng.randrange(len(lines) + 1), " ".join(words) + rng.choice(["", ".", "!"]))
-        docs.append((i, "\n".join(lines), "s"))
+        docs.append((i, rng.choice(["\n", "\n\n"]).join(lines), "s"))
     got = paragraphs.repeated_paragraphs(frame(spark, docs)).collect()
-    sets, order = {}, []
-    for i, t, _ in docs:
-        for n, line in enumerate(t.split("\n")):
-            ws = re.findall(r"[^\W_]+", line.lower())
-            if len(ws) >= paragraphs.MIN_WORDS:
-                order.append((i, n))
-                sets[i, n] = set(zip(ws, ws[1:]))
-    root = {p: p for p in order}
+    want, _, spans = brute_repeats([(i, t) for i, t, _ in docs])
+    found = {(r["doc_id"], r["paragraph"]): (r["kept_doc_id"], r["kept_paragraph"]) for r in got}
+    assert found.keys() <= want.keys() and len(found) >= 0.95 * len(want) > 50
+    assert all(spans[r["doc_id"], r["paragraph"]] == (r["start"], r["end"]) for r in got)
 
-    def find(p):
-        while root[p] != p:
-            p = root[p]
-        return p
 
-    for x, a in enumerate(order):
-        for b in order[x + 1 :]:
-            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= paragraphs.LEAST_JACCARD:
-                p, q = find(a), find(b)
-                root[max(p, q)] = min(p, q)
-    want = {p: find(p) for p in order if find(p) != p}
-    found = {(r["doc_id"], r["paragraph"]): (r["kept_doc_id"], r["kept_paragraph"]) for r in got}
-    assert found.keys() <= want.keys() and len(found) >= 0.95 * len(want)
-    text = {i: t for i, t, _ in docs}
-    assert all(text[r["doc_id"]][r["start"] : r["end"]] == text[r["doc_id"]].split("\n")[r["paragraph"]] for r in got)
+@pytest.mark.parametrize("size", [55, 70, 120])
+def test_passages_wrapped_and_embedded(spark, size):
+    """A passage is found wherever it stands: inside a line, wrapped over short ones, or on its own."""
+    rng = random.Random(size)
+    new = lambda n: " ".join(f"{rng.choice(WORDS)}{rng.randrange(1000)}" for _ in range(n))
+    docs = []
+    for k in range(60):
+        words = new(size).split()
+        wrapped = "\n".join(" ".join(words[j : j + 10]) for j in range(0, size, 10))
+        for form, text in enumerate((f"{new(60)} {' '.join(words)} {new(40)}", f"{new(30)}.\n\n{wrapped}\n\n{new(30)}", f"{new(25)}\n{wrapped}\n{new(10)} {new(9)}.")):
+            docs.append((k * 3 + form, text, "s"))
+    docs += [(1000 + k, new(150), "s") for k in range(60)]
+    got = paragraphs.repeated_paragraphs(frame(spark, docs)).collect()
+    pairs = {(r["doc_id"], r["kept_doc_id"]) for r in got}
+    assert all(a < 1000 and a // 3 == b // 3 for a, b in pairs)
+    assert np.mean([bool({(3 * k + f, 3 * k), (3 * k + f, 3 * k + 1)} & pairs) for k in range(60) for f in (1, 2)]) >= (0.9 if size < 60 else 0.97)
 
 
-def test_paragraphs_in_large_groups(spark, monkeypatch):
+@pytest.mark.parametrize("small", [1, 48, 10_000])
+def test_paragraphs_in_large_groups(spark, small):
+    """Variants of a passage, and many unlike paragraphs of one band, whatever the size from which bands are split."""
     rng = random.Random(8)
     base = [rng.choice(WORDS) for _ in range(60)]
     docs = []
@@ -145,14 +199,17 @@ def test_paragraphs_in_large_groups(spark, monkeypatch):
         words = list(base)
         words[rng.randrange(60)] = f"only{i}"
         docs.append((i, " ".join(words), "s"))
-    got = paragraphs.repeated_paragraphs(frame(spark, docs)).collect()
-    assert {r["doc_id"] for r in got} == set(range(1, 90)) and {r["kept_doc_id"] for r in got} == {0}
+    docs += [(100 + i, "foo " * 30 + f"tail{i}x tail{i}y tail{i}z" if i % 2 else "foo " * 30 + f"tail{i - 1}x tail{i - 1}y other{i}", "s") for i in range(160)]
+    got = {(r["doc_id"], r["paragraph"]): (r["kept_doc_id"], r["kept_paragraph"]) for r in paragraphs.repeated_paragraphs(frame(spark, docs), small=small).collect()}
+    want, sure, _ = brute_repeats([(i, t) for i, t, _ in docs])
+    assert got.keys() <= want.keys() and sure.keys() <= got.keys() and len(got) >= 0.97 * len(want)
+    assert {i for i, _ in got} >= set(range(1, 90))
 
 
 def test_short_paragraphs(spark):
     rng = random.Random(18)
-    notice, wrapped = "All rights of this text are reserved.", [" ".join(f"p{k}x{n}" for n in range(11)) for k in range(8)]
-    docs = [(i, "\n".join([sentence(rng, 40), notice, *(wrapped if i % 3 == 0 else []), "Too short."]), "s") for i in range(9)]
+    notice, short = "All rights of this text are reserved.", [" ".join(f"p{k}x{n}" for n in range(6)) + "." for k in range(8)]
+    docs = [(i, "\n".join([" ".join(f"w{rng.randrange(10**9)}" for _ in range(9)) + ".", notice, *(short if i % 3 == 0 else []), "Too short."]), "s") for i in range(9)]
     got = {(r["doc_id"], r["paragraph"]): (r["kept_doc_id"], r["kept_paragraph"]) for r in paragraphs.repeated_paragraphs(frame(spark, docs)).collect()}
     want = {(i, 1): (0, 1) for i in range(1, 9)} | {(i, k): (0, k) for i in (3, 6) for k in range(2, 10)}
     assert got == want

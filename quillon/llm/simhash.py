@@ -9,10 +9,12 @@ at most two segments with 3 or more errors, so another pair of segments always m
 up to 8 bits the search is exact. The bits are cut to segments in LAYOUTS ways, the first in
 their order, the others shuffled; of random pairs 14 bits apart 99.7 % meet, 18 bits apart 93 %.
 
-Documents of one fingerprint are one point of the search. A bucket yields the edges of
-a spanning forest of the points within MOST_BITS of each other whose word sets are alike by
-their MinHash sketches, which go to the bucket with them, and not all pairs, so groups of
-thousands of copies stay linear. Groups are connected components.
+Documents of one fingerprint and one MinHash sketch are one point of the search. A bucket yields
+the edges of a spanning forest of the points within MOST_BITS of each other whose word sets are
+alike by their sketches, which go to the bucket with them, and not all pairs, so groups of
+thousands of copies stay linear; equal fingerprints alone join nothing. A large bucket is split by
+the sketches' positions that tell its points apart best, as alike sketches agree in one of any
+SKETCH - LEAST_EQUAL + 1. Groups are connected components.
 """
 
 from __future__ import annotations
@@ -35,12 +37,14 @@ MOST_BITS = 18
 SKETCH = 48
 #: Least estimated Jaccard similarity of two near copies' word sets.
 LEAST_JACCARD = 0.45
+LEAST_EQUAL = 22  # the least number of equal minima for that
 _PAIRS = [(SEGMENTS * r + i, SEGMENTS * r + j) for r in range(LAYOUTS) for i in range(SEGMENTS) for j in range(i + 1, SEGMENTS)]
 _rng = np.random.Generator(np.random.PCG64(9))
 _SHUFFLED = [_rng.permutation(SEGMENTS * BITS) for _ in range(LAYOUTS - 1)]
 #: Points of a group up to which it is not split.
 GROUP_POINTS = 1 << 15
-_SMALL = 48  # buckets up to this size compare all pairs at once
+#: Buckets up to _SMALL points compare all pairs at once, larger ones span a forest, above MANY by groups; the components are the same.
+_SMALL, MANY = 48, 2000
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +133,7 @@ def _group_batches(split: int):  # noqa: ANN202
             hi, lo = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for i in range(0, len(hi), 1000):
                 row, group = groups(hi[i : i + 1000], lo[i : i + 1000], split)
-                yield pa.RecordBatch.from_arrays([pa.array(group), *(batch.column(k).take(pa.array(i + row)) for k in range(3))], ["g", "hi", "lo", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(group), *(batch.column(k).take(pa.array(i + row)) for k in range(4))], ["g", "hi", "lo", "rep", "sketch"])
 
     return run
 
@@ -160,7 +164,7 @@ def distance(a_hi: np.ndarray, a_lo: np.ndarray, b_hi: np.ndarray, b_lo: np.ndar
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether sketches (or one and others) are of word sets alike; sketches of no width always are."""
-    return (a == b).sum(1) >= LEAST_JACCARD * b.shape[1]
+    return (a == b).sum(1) >= (LEAST_EQUAL if b.shape[1] else 0)
 
 
 def forest(hi: np.ndarray, lo: np.ndarray, most: int = MOST_BITS, sketch: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -181,11 +185,28 @@ def forest(hi: np.ndarray, lo: np.ndarray, most: int = MOST_BITS, sketch: np.nda
     return edges
 
 
+def split_forest(hi: np.ndarray, lo: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
+    """As forest, for many points that may be unlike: by groups that share one of SKETCH - LEAST_EQUAL + 1 minima."""
+    orders = np.argsort(sketch, axis=0, kind="stable")
+    groups = []
+    for k in range(SKETCH):
+        v = sketch[orders[:, k], k]
+        start = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+        size = np.diff(np.append(start, len(v)))
+        groups.append((int((size.astype(np.int64) ** 2).sum()), k, start[size > 1], size[size > 1]))
+    edges = []
+    for _, k, start, size in sorted(groups, key=lambda x: x[:2])[: SKETCH - LEAST_EQUAL + 1]:
+        for a, n in zip(start.tolist(), size.tolist()):
+            own = orders[a : a + n, k]
+            edges += [(int(own[x]), int(own[y])) for x, y in forest(hi[own], lo[own], sketch=sketch[own])]
+    return edges
+
+
 def _sketches(batch: pa.RecordBatch) -> np.ndarray:
-    """(n, SKETCH) of the fourth column; of no width without one."""
-    if batch.num_columns < 4:
+    """(n, SKETCH) of the fifth column; of no width without one."""
+    if batch.num_columns < 5:
         return np.zeros((batch.num_rows, 0), np.uint16)
-    column = batch.column(3).cast(pa.large_binary())
+    column = batch.column(4).cast(pa.large_binary())
     first = np.frombuffer(column.buffers()[1], np.int64)[column.offset] // 2
     return np.frombuffer(column.buffers()[2], np.uint16)[first : first + len(column) * SKETCH].reshape(-1, SKETCH)
 
@@ -196,7 +217,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = (*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)), _sketches(batch))
+        now = (*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)), _sketches(batch))
         last = int(np.searchsorted(now[0], now[0][-1]))
         if last or (held and held[-1][0][-1] != now[0][0]):
             yield tuple(np.concatenate(x) for x in zip(*held, tuple(c[:last] for c in now), strict=True))
@@ -206,13 +227,13 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def bucket_edges(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, sketch: np.ndarray, row: np.ndarray) -> np.ndarray:
+def bucket_edges(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, sketch: np.ndarray, row: np.ndarray, most: int = _SMALL) -> np.ndarray:
     """(n, 2) places within MOST_BITS and alike that span the groups of each run of equal keys; row has each place's sketch."""
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(key)))
     found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
     group = np.repeat(np.arange(len(start)), size)
-    small = np.flatnonzero((size[group] > 1) & (size[group] <= _SMALL))
+    small = np.flatnonzero((size[group] > 1) & (size[group] <= most))
     g = group[small]
     for shift in range(1, int(size[g].max()) if len(g) else 1):
         same = g[:-shift] == g[shift:]
@@ -221,34 +242,32 @@ def bucket_edges(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, sketch: np.nda
         a, b = a[near], b[near]
         near = alike(sketch[row[a]], sketch[row[b]])
         found.append(np.stack([a[near], b[near]], 1))
-    for k in np.flatnonzero(size > _SMALL):
+    for k in np.flatnonzero(size > most):
         own = slice(start[k], start[k] + size[k])
-        found.append(np.array(forest(hi[own], lo[own], sketch=sketch[row[own]]), np.int64).reshape(-1, 2) + start[k])
+        span = split_forest if size[k] > MANY and sketch.shape[1] else forest
+        found.append(np.array(span(hi[own], lo[own], sketch=sketch[row[own]]), np.int64).reshape(-1, 2) + start[k])
     return np.concatenate(found)
 
 
 def _edge_batches(split: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, hi, lo, sketch in _sorted_groups(batches):
+        for group, hi, lo, rep, sketch in _sorted_groups(batches):
             row, key = second_keys(group, hi, lo, split)
             order = np.argsort(key)
             row = row[order]
-            e = row[bucket_edges(key[order], hi[row], lo[row], sketch, row)]
+            e = rep[row[bucket_edges(key[order], hi[row], lo[row], sketch, row)]]
             if len(e):
-                a, b = e[:, 0], e[:, 1]
-                swap = (hi[a] > hi[b]) | ((hi[a] == hi[b]) & (lo[a] > lo[b]))
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-                unique = np.unique(np.stack([hi[a], lo[a], hi[b], lo[b]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(unique[:, k]) for k in range(4)], ["a_hi", "a_lo", "b_hi", "b_lo"])
+                e = np.unique(np.sort(e, axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
     return run
 
 
 def near_pairs(points: DataFrame) -> DataFrame:
-    """Edges (a_hi, a_lo, b_hi, b_lo) among distinct fingerprints (hi, lo, sketch) that span each bucket's groups."""
+    """Edges (a, b) among points (hi, lo, rep, sketch), named by rep, that span each bucket's groups."""
     split = max(0, (points.count() // GROUP_POINTS).bit_length() - 11)  # a group has 1 / 773 of the points, or 1 / (773 * 2**split) in pairs
-    sent = points.select("hi", "lo", "sketch").mapInArrow(_group_batches(min(split, MESSAGE)), "g long, hi long, lo long, sketch binary")
-    return sent.repartition("g").sortWithinPartitions("g").mapInArrow(_edge_batches(min(split, MESSAGE)), "a_hi long, a_lo long, b_hi long, b_lo long").distinct()
+    sent = points.select("hi", "lo", "rep", "sketch").mapInArrow(_group_batches(min(split, MESSAGE)), "g long, hi long, lo long, rep long, sketch binary")
+    return sent.repartition("g").sortWithinPartitions("g").mapInArrow(_edge_batches(min(split, MESSAGE)), "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,22 +275,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Groups are the components of pairs of documents whose fingerprints differ in at most
     MOST_BITS of 92 bits and whose word sets are alike. Words are lower-cased runs of
-    letters and digits. A document without words (null or empty text) is alone. Rows without
+    letters and digits. A document without words (null or empty text) is alone. A text of any length
+    is read whole, in memory of some ten times its size. Rows without
     id are left out. Rows that share an id share the fate of that id: if any of them is in a
-    group, all are, and keep says whether the id is the group's least. An empty table gives
-    no rows.
+    group, all are, and keep says whether the id is the group's least. Other columns are ignored. An
+    empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
-    prints, _ = materialize(rows.mapInArrow(_fingerprint_batches, "doc_id long, hi long, lo long, sketch binary"), "fingerprints")
-    points, _ = materialize(prints.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "sketch")).alias("p")).select("hi", "lo", F.col("p.doc_id").alias("rep"), F.col("p.sketch").alias("sketch")), "points")
-    edges = near_pairs(points)
-    for x in "ab":
-        own = points.select(F.col("hi").alias(f"{x}_hi"), F.col("lo").alias(f"{x}_lo"), F.col("rep").alias(x))
-        edges = edges.join(own, [f"{x}_hi", f"{x}_lo"])
-    same = prints.join(points.select("hi", "lo", "rep"), ["hi", "lo"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    groups = connected_components(edges.select("a", "b").union(same))
+    prints, _ = materialize(rows.mapInArrow(_fingerprint_batches, "doc_id long, hi long, lo long, sketch binary").withColumn("s", F.xxhash64("sketch")), "fingerprints")
+    same = ["hi", "lo", "s"]
+    points, _ = materialize(prints.groupBy(*same).agg(F.min(F.struct("doc_id", "sketch")).alias("p")).select(*same, F.col("p.doc_id").alias("rep"), F.col("p.sketch").alias("sketch")), "points")
+    placed = prints.select("doc_id", *same).join(points.select(*same, "rep"), same).select("doc_id", "rep").distinct()
+    placed, _ = materialize(placed, "placed")
+    each = placed.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
+    several = placed.join(each.filter("rep <> other").select("doc_id", F.col("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b")
+    clusters = connected_components(near_pairs(points).union(several))
+    each = each.join(clusters, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
     group = F.coalesce("root", "doc_id")
-    return rows.select("doc_id").join(groups, F.col("doc_id") == F.col("node"), "left").select("doc_id", group.alias("group_id"), (group == F.col("doc_id")).alias("keep"))
+    return rows.select("doc_id").join(each, "doc_id", "left").select("doc_id", group.alias("group_id"), (group == F.col("doc_id")).alias("keep"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

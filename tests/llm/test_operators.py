@@ -546,13 +546,12 @@ def test_near_pairs_exact_up_to_8_bits(split):
                 lo[k] ^= 1 << int(b - 46)
     row, g = simhash.groups(hi, lo, split)
     o = np.argsort(g, kind="stable")
-    batch = pa.RecordBatch.from_arrays([pa.array(g[o]), pa.array(hi[row[o]]), pa.array(lo[row[o]])], ["g", "hi", "lo"])
+    batch = pa.RecordBatch.from_arrays([pa.array(g[o]), pa.array(hi[row[o]]), pa.array(lo[row[o]]), pa.array(row[o])], ["g", "hi", "lo", "rep"])
     found = {tuple(r.values()) for part in simhash._edge_batches(split)(iter([batch.slice(i, 333) for i in range(0, batch.num_rows, 333)])) for r in part.to_pylist()}
     for a in range(450):
         d = simhash.distance(hi[a], lo[a], hi, lo)
         for b in np.flatnonzero((d > 0) & (d <= 8)):
-            p, q = sorted([(hi[a], lo[a]), (hi[b], lo[b])])
-            assert (*p, *q) in found
+            assert (min(a, b), max(a, b)) in found
 
 
 def test_forest_spans_large_groups():
@@ -604,6 +603,46 @@ def test_forest_grows_along_alike_points():
     assert len(edges) == 58 and edges.min() > 0
 
 
+def components_of(n, edges):
+    up = list(range(n))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x, y in edges:
+        x, y = find(int(x)), find(int(y))
+        up[max(x, y)] = min(x, y)
+    return [find(x) for x in range(n)]
+
+
+def test_groups_are_the_same_for_any_bucket_size(monkeypatch):
+    """All pairs, a forest and a forest by groups, of alike and unlike points."""
+    rng = np.random.default_rng(7)
+    n, hi = 300, np.zeros(300, np.int64)
+    lo = rng.integers(0, 1 << 46, n) & rng.integers(0, 1 << 46, n) & rng.integers(0, 1 << 46, n)
+    base = rng.integers(0, 1 << 16, (6, simhash.SKETCH)).astype(np.uint16)
+    sketch = base[rng.integers(0, 6, n)]
+    other = rng.random(sketch.shape) < 0.35
+    sketch[other] = rng.integers(0, 1 << 16, other.sum())
+    own = lambda most: components_of(n, simhash.bucket_edges(np.zeros(n, np.int64), hi, lo, sketch, np.arange(n), most))
+    want = own(10_000)
+    assert 5 < len(set(want)) < n and own(1) == want
+    monkeypatch.setattr(simhash, "MANY", 50)
+    assert own(1) == want
+
+
+def test_equal_fingerprints_of_unlike_texts(spark):
+    """A word that outweighs the rest gives unlike texts the same bits; only their copies are joined."""
+    tail = lambda k, n=19: " ".join(f"t{k}x{j}" for j in range(n))
+    rows = [(k, "foo " * 4000 + tail(k % 40), "s") for k in range(80)]
+    seg, _, _ = simhash.fingerprints(*X.string_buffer(pa.array([t for _, t, _ in rows])))
+    assert len(np.unique(seg, axis=0)) == 1
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_groups(frame(spark, rows)).collect()}
+    assert got == {k: k % 40 for k in range(80)}
+
+
 def test_near_odd(odd, empty):
     got = Counter(tuple(r) for r in simhash.near_groups(odd).collect())
     assert got[5, 4, False] == 2 and got[4, 4, True] == 1 and got[1, 1, True] == 1 and got[2, 2, True] == 1 and got[3, 3, True] == 1

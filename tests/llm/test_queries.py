@@ -159,7 +159,7 @@ def brute_near(docs):
         for b in range(a + 1, len(ids)):
             if has[a] and has[b]:
                 bits = sum(int(x).bit_count() for x in seg[a] ^ seg[b])
-                if bits == 0 or (bits <= simhash.MOST_BITS and (sketch[a] == sketch[b]).mean() >= simhash.LEAST_JACCARD):
+                if bits <= simhash.MOST_BITS and (sketch[a] == sketch[b]).mean() >= simhash.LEAST_JACCARD:
                     u.join(ids[a], ids[b])
                     if bits <= 8:
                         sure.join(ids[a], ids[b])

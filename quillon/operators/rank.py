@@ -2,36 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.porter import stem
+from quillon.functions.snippet import analyze
 from quillon.functions.text import fold_py
-from quillon.plans.index import Index, bm25, idf
+from quillon.plans.index import BLOCK, Index, bm25, idf
 from quillon.plans.parser import ParsedQuery, parse
+from quillon.session import materialize
 
 DIGITS = 6
 #: Terms up to which a lookup is a predicate, too.
 MOST_PUSHED = 500
-#: Ranges of documents for which bounds are summed.
-CELLS = 1024
+#: Blocks of a query's terms up to which they are pruned on the driver (some 40 bytes each).
+MOST_BLOCKS = 2_000_000
+#: Postings from which pruning is tried, and ranges of documents for which bounds are summed.
+LEAST_POSTINGS, CELLS = 1_000_000, 1 << 16
+#: Terms of a batch of queries up to which they are broadcast (some 100 bytes each).
+MOST_TERMS = 100_000
 _TERMS = "query_id long, kind string, role string, slot int, place int, n int, raw string, stemmed string"
 _HITS = "query_id long, rank int, ord long, score double"
 
 
+def _term_rows(query_id: int, q: ParsedQuery) -> list[tuple]:
+    chosen = q.phrase if q.kind == "phrase" else q.positive
+    places = q.phrase_places if q.kind == "phrase" else range(len(chosen))
+    rows = [(query_id, q.kind, "+", slot, int(place), len(chosen), t, stem(fold_py(t))) for slot, (t, place) in enumerate(zip(chosen, places, strict=True))]
+    return rows + [(query_id, q.kind, "-", slot, 0, len(q.negative), t, stem(fold_py(t))) for slot, t in enumerate(q.negative)]
+
+
 def query_terms(index: Index, queries: Sequence[tuple[int, ParsedQuery]]) -> DataFrame:
     """One row for each term of parsed queries, small as the queries are."""
-    rows = []
-    for query_id, q in queries:
-        chosen = q.phrase if q.kind == "phrase" else q.positive
-        places = q.phrase_places if q.kind == "phrase" else range(len(chosen))
-        for slot, (term, place) in enumerate(zip(chosen, places, strict=True)):
-            rows.append((query_id, q.kind, "+", slot, int(place), len(chosen), term, stem(fold_py(term))))
-        for slot, term in enumerate(q.negative):
-            rows.append((query_id, q.kind, "-", slot, 0, len(q.negative), term, stem(fold_py(term))))
-    return index.corpus.sparkSession.createDataFrame(rows, _TERMS)
+    return index.corpus.sparkSession.createDataFrame([r for query_id, q in queries for r in _term_rows(query_id, q)], _TERMS)
 
 
 def _only(table: DataFrame, names: set[str] | None) -> DataFrame:
@@ -44,18 +52,38 @@ def _names(queries: Sequence[tuple[int, ParsedQuery]]) -> set[str]:
     return words | {stem(fold_py(t)) for t in words}
 
 
-def resolve(index: Index, terms: DataFrame, names: set[str] | None = None) -> DataFrame:
+def resolve(index: Index, terms: DataFrame, names: set[str] | None = None, small: bool = True) -> DataFrame:
     """terms with the index's term: as it is, else stemmed once more; unknown ones are left out."""
+    hint = F.broadcast if small else lambda x: x
     if not index.stemming:
-        known = terms.join(_only(index.lexicon, names).select(F.col("term").alias("raw"), F.lit(True).alias("known")), "raw", "left_semi")
+        known = terms.join(_only(index.lexicon, names).select(F.col("term").alias("raw")), "raw", "left_semi")
         return known.withColumn("term", F.col("raw"))
     words = terms.select(F.explode(F.array_distinct(F.array("raw", "stemmed"))).alias("term")).distinct()
-    have = F.broadcast(_only(index.lexicon, names).join(F.broadcast(words), "term", "left_semi").select("term"))  # at most the queries' words
+    have = hint(_only(index.lexicon, names).join(hint(words), "term", "left_semi").select("term"))  # at most the queries' words
     direct = have.select(F.col("term").alias("raw"), F.col("term").alias("hit1"))
     again = have.select(F.col("term").alias("stemmed"), F.col("term").alias("hit2"))
     return terms.join(direct, "raw", "left").join(again, "stemmed", "left").withColumn("term", F.coalesce("hit1", "hit2")).drop("hit1", "hit2").filter("term is not null")
 
 
+def _looked_up(index: Index, parsed: Sequence[tuple[int, ParsedQuery]], names: set[str]) -> DataFrame:
+    """query_terms as resolve gives them, with doc_freq and idf, of few terms: one look at the lexicon, no joins."""
+    got = {r["term"]: r for r in _only(index.lexicon, names).select("term", "doc_freq", "idf").collect()}  # at most the queries' terms
+    rows = []
+    for query_id, q in parsed:
+        chosen = q.phrase if q.kind == "phrase" else q.positive
+        places = q.phrase_places if q.kind == "phrase" else range(len(chosen))
+        each = [("+", slot, int(place), len(chosen), t) for slot, (t, place) in enumerate(zip(chosen, places, strict=True))]
+        for role, slot, place, n, t in each + [("-", k, 0, len(q.negative), t) for k, t in enumerate(q.negative)]:
+            hit = got.get(t) or (got.get(stem(fold_py(t))) if index.stemming else None)
+            if hit:
+                rows.append((query_id, q.kind, role, slot, place, n, hit["term"], hit["doc_freq"], hit["idf"]))
+    return index.corpus.sparkSession.createDataFrame(rows, "query_id long, kind string, role string, slot int, place int, n int, term string, doc_freq long, idf double")
+
+
+def _parsed(index: Index, q: str | ParsedQuery) -> ParsedQuery:
+    return q if isinstance(q, ParsedQuery) else parse(q, index.stemming, index.stopwords)
+
+
 def evaluate(index: Index, queries: Sequence[tuple[int, str | ParsedQuery]], k: int = 10, strict_phrase: bool = False, gaps: bool = False) -> DataFrame:
     """(query_id, rank, ord, score) of the best k documents of each query.
 
@@ -63,19 +91,60 @@ def evaluate(index: Index, queries: Sequence[tuple[int, str | ParsedQuery]], k:
     they are ranked; equal ones go by ord. strict_phrase also requires the phrase where
     words stand beside it; gaps lets stop words inside a phrase count as places.
     """
-    parsed = [(i, q if isinstance(q, ParsedQuery) else parse(q, index.stemming, index.stopwords)) for i, q in queries]
-    if strict_phrase:
-        extra = [(i, q._replace(positive=[])) for i, q in parsed if q.phrase and q.positive]
+    parsed = [(i, _parsed(index, q)) for i, q in queries]
     names = _names(parsed)
-    terms = resolve(index, query_terms(index, parsed), names)
+    small = len(names) <= MOST_PUSHED
+    terms_of = (lambda own: _looked_up(index, own, names)) if small else (lambda own: _weighed(index, resolve(index, query_terms(index, own), names), True))
+    terms = terms_of(parsed)
     hits = _scored(index, terms, gaps, names, {q.kind for _, q in parsed})
-    if strict_phrase and extra:
-        hits = hits.join(_scored(index, resolve(index, query_terms(index, extra)), gaps, names).select("query_id", "ord"), ["query_id", "ord"], "left_semi").union(hits.join(F.broadcast(index.corpus.sparkSession.createDataFrame([(i,) for i, _ in extra], "query_id long")), "query_id", "left_anti"))  # a row for each query
+    extra = [(i, q._replace(positive=[])) for i, q in parsed if q.phrase and q.positive] if strict_phrase else []
+    if extra:
+        hits = hits.join(_scored(index, terms_of(extra), gaps, names).select("query_id", "ord"), ["query_id", "ord"], "left_semi").union(hits.join(F.broadcast(index.corpus.sparkSession.createDataFrame([(i,) for i, _ in extra], "query_id long")), "query_id", "left_anti"))  # a row for each query
     if any(q.negative for _, q in parsed):
-        out = terms.filter("role = '-'").select("query_id", "term")
-        excluded = _only(index.postings, names).select("term", "ord").join(F.broadcast(out), "term").select("query_id", "ord")  # the queries' terms
-        hits = hits.join(excluded, ["query_id", "ord"], "left_anti")
-    return top_k(hits, k)
+        hits = _without(index, hits, terms, names)
+    return best_of_one(hits, k) if len(parsed) == 1 else top_k(hits, k)
+
+
+def evaluate_frame(index: Index, queries: DataFrame, k: int = 10, any_term: bool = False) -> DataFrame:
+    """As evaluate, for a table (query_id, query) of any length: parsed by its tasks, and joined.
+
+    any_term takes a text's words, whatever its signs, and asks for any of them. Up to MOST_TERMS
+    terms are broadcast, more are shuffled. Null queries have no hits.
+    """
+    stemming, stopwords = index.stemming, index.stopwords
+
+    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for query_id, text in zip(batch["query_id"], batch["query"], strict=True):
+                q = ParsedQuery(list(dict.fromkeys(t[0] for t in analyze(text, stemming, stopwords))), [], [], [], True) if any_term else parse(text, stemming, stopwords)
+                rows += _term_rows(query_id, q)
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _TERMS.split(", ")])
+
+    found = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("string").alias("query")).dropna().mapInPandas(terms, _TERMS)
+    found, _ = materialize(found, "query-terms")
+    kinds = {r[0] for r in found.select("kind").distinct().collect()}  # at most four
+    small = found.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    found = _weighed(index, resolve(index, found, None, small), small)
+    return top_k(_without(index, _scored(index, found, False, None, kinds, small), found, None, small), k)
+
+
+def _weighed(index: Index, terms: DataFrame, small: bool) -> DataFrame:
+    hint = F.broadcast if small else lambda x: x
+    return index.lexicon.select("term", "doc_freq", "idf").join(hint(terms), "term")
+
+
+def _without(index: Index, hits: DataFrame, terms: DataFrame, names: set[str] | None, small: bool = True) -> DataFrame:
+    hint = F.broadcast if small else lambda x: x
+    out = terms.filter("role = '-'").select("query_id", "term")
+    return hits.join(_only(index.postings, names).select("term", "ord").join(hint(out), "term").select("query_id", "ord"), ["query_id", "ord"], "left_anti")
+
+
+def best_of_one(hits: DataFrame, k: int) -> DataFrame:
+    """top_k of a single query: each task keeps its best k."""
+    best = hits.orderBy(F.desc("score"), "ord").limit(k)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "ord"))  # k rows
+    return best.select("query_id", place.cast("int").alias("rank"), "ord", "score")
 
 
 def top_k(hits: DataFrame, k: int) -> DataFrame:
@@ -83,10 +152,13 @@ def top_k(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "ord", "score")
 
 
-def _scored(index: Index, terms: DataFrame, gaps: bool, names: set[str], kinds: set[str] | None = None) -> DataFrame:
-    wanted = F.broadcast(terms.filter("role = '+'").select("query_id", "kind", "slot", "place", "n", "term"))  # the queries' terms
+def _scored(index: Index, terms: DataFrame, gaps: bool, names: set[str] | None, kinds: set[str] | None = None, small: bool = True) -> DataFrame:
+    """(query_id, ord, score) of the documents that a query's terms select; small: the terms are few enough to be broadcast."""
+    hint = F.broadcast if small else lambda x: x
+    wanted = hint(terms.filter("role = '+'").select("query_id", "kind", "slot", "place", "n", "term", "doc_freq", "idf"))  # the queries' terms
     found = _only(index.postings, names).join(wanted, "term")
-    words = found.filter("kind <> 'phrase'").select("query_id", "kind", "ord", "n", "term", "slot", "score").groupBy("query_id", "kind", "ord", "n").agg(F.sum("score").alias("score"), F.count("*").alias("have"))
+    score = bm25(F.col("tf"), F.col("length"), F.lit(index.average), F.col("idf"), index.k1, index.b)
+    words = found.filter("kind <> 'phrase'").select("query_id", "kind", "ord", "n", score.alias("score")).groupBy("query_id", "kind", "ord", "n").agg(F.sum("score").alias("score"), F.count("*").alias("have"))
     words = words.filter("kind = 'or' or have = n").select("query_id", "ord", F.round("score", DIGITS).alias("score"))
     kinds = kinds or {"or", "and", "phrase"}
     if "phrase" not in kinds:
@@ -101,41 +173,57 @@ def _phrases(index: Index, found: DataFrame, gaps: bool) -> DataFrame:
     begins = found.select("query_id", "ord", "n", "slot", "length", "doc_freq", F.explode(F.transform("positions", lambda x: x - F.col(place))).alias("begin"))
     whole = begins.groupBy("query_id", "ord", "n", "begin").agg(F.countDistinct("slot").alias("have"), F.first("length").alias("length"), F.sort_array(F.collect_list("doc_freq")).alias("freqs")).filter("have = n")
     matches = whole.groupBy("query_id", "ord").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.first("freqs").alias("freqs"))
-    both = matches.crossJoin(F.broadcast(index.index_stats))  # one row
-    part = lambda f: bm25(F.col("tf"), F.col("length"), F.col("avg_doc_len"), idf(f, F.col("total_docs")), index.k1, index.b)
+    part = lambda f: bm25(F.col("tf"), F.col("length"), F.lit(index.average), idf(f, F.lit(index.total)), index.k1, index.b)
     score = F.aggregate("freqs", F.lit(0.0), lambda acc, f: acc + part(f))
-    return both.select("query_id", "ord", F.round(score, DIGITS).alias("score"))
+    return matches.select("query_id", "ord", F.round(score, DIGITS).alias("score"))
 
 
-def disjunction_pruned(index: Index, terms: list[str], k: int) -> DataFrame:
-    """The best k documents that hold any of the terms, by two phases that lose nothing.
+def disjunction_pruned(index: Index, terms: list[str], k: int, least: int = LEAST_POSTINGS) -> DataFrame:
+    """The best k documents that hold any of the terms, by block bounds that lose nothing.
 
-    The blocks with the highest bounds give k real scores, of which the least is a threshold.
-    The documents are cut into CELLS ranges; in each, a document's score is at most the sum, over
-    the terms, of the greatest bound of a block that reaches into the range. Blocks whose own bound
-    plus the other terms' in each of their ranges stay below the threshold are dropped before
-    postings are read.
+    The documents are cut into CELLS ranges; in each, a score is at most the sum, over the terms, of
+    the greatest bound of a block that reaches into it. The cells with the highest bounds give k real scores, of
+    which the least is a threshold; then the postings of the cells whose bound comes up to it (or less than a unit
+    of rounding below) are scored. With fewer than `least` postings, more than MOST_BLOCKS blocks, or where the cells
+    that stay hold most postings anyway, all postings are scored. The driver holds the blocks of the query's
+    terms, one for BLOCK postings and MOST_BLOCKS at most.
     """
     asked = [(0, ParsedQuery(terms, [], [], [], True))]
-    pushed = _names(asked)
-    names = F.broadcast(resolve(index, query_terms(index, asked), pushed).select("term").distinct())  # the query's terms
-    blocks = _only(index.blocks, pushed).join(names, "term")
-    top = blocks.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("block_max_score"), "block_no"))).filter(F.col("r") <= 4)
-    postings = _only(index.postings, pushed).join(names, "term").select("term", "ord", "score")
-    seen = postings.join(F.broadcast(top.select("term", "min_ord", "max_ord")), "term").filter("ord between min_ord and max_ord").select("ord").distinct()  # 4 blocks of each term
-    real = postings.join(F.broadcast(seen), "ord", "left_semi").groupBy("ord").agg(F.sum("score").alias("score"))  # 512 documents of each term
-    least = real.orderBy(F.desc("score")).limit(k).agg(F.min("score").alias("least"), F.count("*").alias("n")).first()
-    low = float(least["least"]) if least["n"] == k else 0.0
-    width = F.expr(f"(total_docs + {CELLS - 1}) div {CELLS}")
-    spread = blocks.crossJoin(F.broadcast(index.index_stats.select(width.alias("width"))))  # one row
-    spread = spread.withColumn("cell", F.explode(F.expr("sequence(min_ord div width, max_ord div width)")))
-    cells = spread.groupBy("term", "cell").agg(F.max("block_max_score").alias("top"))
-    whole = cells.groupBy("cell").agg(F.sum("top").alias("sum"))
-    bound = spread.join(cells, ["term", "cell"]).join(whole, "cell").withColumn("bound", F.col("block_max_score") + F.col("sum") - F.col("top"))
-    keep = bound.filter(F.col("bound") >= low - 1e-9).select("term", "min_ord", "max_ord").distinct()
-    rest = postings.join(keep, "term").filter("ord between min_ord and max_ord").select("term", "ord", "score")
-    hits = rest.groupBy("ord").agg(F.sum("score").alias("score")).select(F.lit(0).cast("long").alias("query_id"), "ord", F.round("score", DIGITS).alias("score"))
-    return top_k(hits, k)
+    names = _names(asked)
+    wanted = _looked_up(index, asked, names)
+    found = {r["term"]: r["doc_freq"] for r in wanted.collect()}  # the query's terms
+    postings = _only(index.postings, set(found)) if found else index.postings.filter("false")
+
+    def hits(chosen: DataFrame) -> DataFrame:
+        score = bm25(F.col("tf"), F.col("length"), F.lit(index.average), F.col("idf"), index.k1, index.b)
+        total = chosen.join(F.broadcast(wanted.select("term", "idf")), "term").groupBy("ord").agg(F.sum(score).alias("score"))  # the query's terms
+        return total.select(F.lit(0).cast("long").alias("query_id"), "ord", F.round("score", DIGITS).alias("score"))
+
+    if not least <= sum(found.values()) <= MOST_BLOCKS * BLOCK:
+        return best_of_one(hits(postings), k)
+    got = _only(index.blocks, set(found)).select("term", "min_ord", "max_ord", "num_docs", "block_max_score").toArrow()  # at most MOST_BLOCKS rows and one a term
+    lo, hi, n, top = (got[c].to_numpy() for c in ("min_ord", "max_ord", "num_docs", "block_max_score"))
+    width = -(-index.total // CELLS)
+    bound, order = np.zeros(-(-index.total // width)), sorted(found)
+    term = np.searchsorted(order, got["term"].to_pylist())
+    for t in range(len(order)):
+        own, most = np.flatnonzero(term == t), np.zeros(len(bound))
+        a, b = lo[own] // width, hi[own] // width
+        for step in range(int((b - a).max()) + 1):  # at most CELLS
+            there = a + step <= b
+            np.maximum.at(most, a[there] + step, top[own[there]])
+        bound += most
+    cell = F.expr(f"ord div {width}")
+
+    def inside(which: np.ndarray) -> DataFrame:
+        cells = index.corpus.sparkSession.createDataFrame(pa.table({"cell": np.sort(which)}), "cell long")
+        return postings.filter(F.col("ord").between(int(which.min()) * width, (int(which.max()) + 1) * width)).join(F.broadcast(cells), cell == F.col("cell"), "left_semi")  # at most CELLS rows
+
+    best = hits(inside(np.argsort(-bound, kind="stable")[: max(4, k)])).orderBy(F.desc("score")).limit(k).collect()
+    low = best[-1]["score"] if len(best) == k else 0.0
+    keep = np.flatnonzero(bound + 10.0**-DIGITS >= low)
+    reach = np.searchsorted(keep, hi // width, "right") > np.searchsorted(keep, lo // width)
+    return best_of_one(hits(inside(keep) if n[reach].sum() <= 0.5 * n.sum() else postings), k)
 
 
 def simple_bm25(corpus: DataFrame, query: str, k: int = 15, k1: float = 0.9, b: float = 0.4) -> DataFrame:

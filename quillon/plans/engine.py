@@ -1,4 +1,4 @@
-"""SearchEngine: one object over an index, with the modes, limits and JSON shapes of a search service."""
+"""Searcher: one object over an index, with the modes, limits and JSON shapes of a service."""
 
 from __future__ import annotations
 
@@ -31,7 +31,7 @@ class SearchResult:
         return self.hits.count()
 
 
-class SearchEngine:
+class Searcher:
     def __init__(self, index: Index) -> None:
         self.index, self.started = index, time.time()
 
@@ -43,9 +43,9 @@ class SearchEngine:
         """(rank, ord, score) without routing by syntax."""
         return rank.evaluate(self.index, [(0, query)], k, **options).drop("query_id")
 
-    def evaluate_many(self, queries: Sequence[tuple[int, str]], k: int = 10) -> DataFrame:
-        """(query_id, rank, ord, score) of all queries in one job."""
-        return rank.evaluate(self.index, queries, k)
+    def evaluate_many(self, queries: Sequence[tuple[int, str]] | DataFrame, k: int = 10) -> DataFrame:
+        """(query_id, rank, ord, score) of all queries in one plan: a list, or a table (query_id, query) of any length."""
+        return rank.evaluate_frame(self.index, queries, k) if isinstance(queries, DataFrame) else rank.evaluate(self.index, queries, k)
 
     def fuzzy(self, query: str, distance: int, k: int) -> DataFrame:
         terms = [t[0] for t in analyze(query, self.index.stemming, self.index.stopwords)]

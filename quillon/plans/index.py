@@ -1,49 +1,52 @@
-"""The inverted index as tables: tokens, postings, lexicon, blocks, document and corpus statistics.
+"""The inverted index as tables: postings, lexicon, blocks, document and corpus statistics.
 
-A corpus has ord (0-based), ext_id, title and text. Postings are one row for each term
-and document, sorted by both, so that Parquet's statistics serve term lookups and
-skipping; every table is written once and read many times.
+A corpus has ord (0-based), ext_id, title and text. Each task turns its documents into
+postings, one row for each term and document; they are cut to ranges of (term, ord) once, so
+that a common term lies in many files and Parquet's statistics serve lookups and skipping.
+Scores aren't stored: they follow from a posting, the lexicon's idf and the mean length.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import porter
 from quillon.functions.text import STOPWORDS, is_stopword, word_list
-from quillon.session import materialize
+from quillon.session import discard, materialize, scratch_path
 
 K1, B, BLOCK = 0.9, 0.4, 128
-VERSION = 1
+VERSION = 2
 _TABLES = ("corpus", "postings", "lexicon", "blocks", "doc_stats", "index_stats")
-#: Rows of one sorted run where rows are numbered.
+#: Documents of one run where offsets are summed.
 RUN_ROWS = 200_000
+_IN_RUN = (1 << 33) - 1  # monotonically_increasing_id has a row's place in its partition there
 
 
-def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
-    """df with its 0-based rank by a column, numbered run by run: no task sees more than a run.
+def ranged(df: DataFrame, *by: str, runs: int | None = None) -> DataFrame:
+    """df cut to sorted ranges (as many as Spark's shuffle partitions, or `runs`), with a row's range (run) and its place there (row)."""
+    runs = runs or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(runs, *by).sortWithinPartitions(*by)
+    return cut.withColumns({"run": F.spark_partition_id(), "row": F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_RUN))})
 
-    Splitters come from approximate quantiles (numbers) or a sample (strings); the runs'
-    sizes are counted and summed, and a window inside each run does the rest.
+
+def numbered(df: DataFrame, by: str, name: str, runs: int | None = None) -> DataFrame:
+    """df with its 0-based rank by a column: a row's place in its range and the rows of the ranges before.
+
+    The ranges are written, so that a task that runs again finds the same; no task sees more than one. Equal
+    values are numbered in any order. Nulls come first; an empty table stays empty.
     """
-    rows = df.count()
-    runs = max(1, -(-rows // RUN_ROWS))
-    if runs == 1:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(by)) - 1)
-    if dict(df.dtypes)[by] == "string":
-        sample = sorted(r[0] for r in df.select(by).sample(min(1.0, 100.0 * runs / rows), seed=1).collect())  # 100 for a run
-        splits = [sample[len(sample) * k // runs] for k in range(1, runs)]
-    else:
-        splits = df.approxQuantile(by, [k / runs for k in range(1, runs)], 0.1 / runs)
-    run: Column = sum((F.when(F.col(by) >= s, 1).otherwise(0) for s in sorted(set(splits))), F.lit(0))
-    marked = df.withColumn("__run", run)
-    sizes = marked.groupBy("__run").count().withColumn("__before", F.sum("count").over(Window.orderBy("__run")) - F.col("count"))
-    within = F.row_number().over(Window.partitionBy("__run").orderBy(by)) - 1
-    return marked.join(F.broadcast(sizes.select("__run", "__before")), "__run").withColumn(name, within + F.col("__before")).drop("__run", "__before")  # a row for each run
+    rows, _ = materialize(ranged(df, by, runs=runs), "ranges")
+    sizes = rows.groupBy("run").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("run")) - F.col("n")  # a row for each range
+    placed = rows.join(F.broadcast(sizes.select("run", before.alias("before"))), "run")  # a row for each range
+    return placed.select(*df.columns, (F.col("before") + F.col("row")).alias(name))
 
 
 def corpus_of(docs: DataFrame, id_col: str = "doc_id", title: str | None = None, text: str = "text") -> DataFrame:
@@ -53,6 +56,40 @@ def corpus_of(docs: DataFrame, id_col: str = "doc_id", title: str | None = None,
     return numbered(rows, "ext_id", "ord").select(F.col("ord").cast("long").alias("ord"), "ext_id", "title", "text")
 
 
+def _postings_of(stemming: bool, stopwords: frozenset[str]):  # noqa: ANN202
+    """Batches of (ord, words) as postings; a word is looked up in the stop list and stemmed once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str | None] = {}
+        for batch in batches:
+            lists = batch.column(1)
+            size = np.asarray(lists.value_lengths(), np.int64)
+            words = lists.flatten().dictionary_encode()
+            terms = []
+            for w in words.dictionary.to_pylist():
+                if w not in known:
+                    known[w] = None if w in stopwords else porter.stem(w) if stemming else w
+                terms.append(known[w])
+            names: dict[str, int] = {}
+            codes = np.array([-1 if t is None else names.setdefault(t, len(names)) for t in terms] or [-1], np.int64)
+            code = codes[words.indices.to_numpy()]
+            doc = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+            kept = np.flatnonzero(code >= 0)
+            kept = kept[np.argsort(doc[kept] * max(1, len(names)) + code[kept], kind="stable")]
+            doc, code, pos = doc[kept], code[kept], pos[kept]
+            length = np.bincount(doc, minlength=len(size))
+            first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1]))) if len(doc) else np.zeros(0, np.int64)
+            d = doc[first]
+            tf = np.diff(np.append(first, len(doc)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(names), pa.string()).take(pa.array(code[first])), batch.column(0).take(pa.array(d)), pa.array(tf.astype(np.int32)), pa.array(length[d].astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(pos.astype(np.int32)))],
+                ["term", "ord", "tf", "length", "positions"],
+            )
+
+    return run
+
+
 def whole_text() -> Column:
     return F.concat_ws(" ", "title", "text")
 
@@ -79,61 +116,70 @@ def bm25(tf: Column, length: Column, average: Column, weight: Column, k1: float
 
 @dataclass
 class Index:
-    corpus: DataFrame
-    postings: DataFrame
-    lexicon: DataFrame
-    blocks: DataFrame
+    corpus: DataFrame  # ord, ext_id, title, text, bytes
+    postings: DataFrame  # term, ord, tf, length, positions
+    lexicon: DataFrame  # term, doc_freq, idf, max_term_score
+    blocks: DataFrame  # term, block_no, min_ord, max_ord, num_docs, block_max_score
     doc_stats: DataFrame
     index_stats: DataFrame
     stemming: bool = True
     stopwords: frozenset[str] = STOPWORDS
     k1: float = K1
     b: float = B
+    total: int = 0  # documents
+    average: float = 0.0  # words of a document
 
     @staticmethod
-    def build(corpus: DataFrame, stemming: bool = True, stopwords: frozenset[str] = STOPWORDS, k1: float = K1, b: float = B) -> Index:
-        parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        corpus, _ = materialize(corpus.repartition(parts, "ord"), "corpus")  # numbering leaves few partitions
-        tokens = analyzed(corpus, stemming, stopwords)
-        raw = tokens.groupBy("term", "ord").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        raw, _ = materialize(raw, "raw-postings")
-        lengths = raw.groupBy("ord").agg(F.sum("tf").alias("n"))
+    def build(corpus: DataFrame, path: str | None = None, stemming: bool = True, stopwords: frozenset[str] = STOPWORDS, k1: float = K1, b: float = B) -> Index:
+        """Write the index of a corpus to a folder (None: one in the shared folder) and open it: texts are read twice, postings are shuffled once with their positions."""
+        spark = corpus.sparkSession
+        path = path or scratch_path(spark, "index")
         bytes_of = F.octet_length(F.col("title")) + F.octet_length(F.col("text"))
-        doc_stats = corpus.join(lengths, "ord", "left").select("ord", "ext_id", F.coalesce("n", F.lit(0)).cast("long").alias("length"), bytes_of.cast("long").alias("bytes"))
-        stats = doc_stats.agg(F.count("*").alias("total_docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_tokens"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_doc_len"))
-        df = raw.groupBy("term").agg(F.count("*").alias("doc_freq"))
-        one = F.broadcast(stats)  # one row
-        weighted = df.crossJoin(one).select("term", "doc_freq", idf(F.col("doc_freq"), F.col("total_docs")).alias("idf"), "avg_doc_len")
-        scored = raw.join(weighted, "term").join(doc_stats.select("ord", "length"), "ord")
-        postings = scored.select("term", "ord", "tf", "length", "doc_freq", "positions", bm25(F.col("tf"), F.col("length"), F.col("avg_doc_len"), F.col("idf"), k1, b).alias("score"))
-        number = F.row_number().over(Window.partitionBy("term").orderBy("ord")) - 1
-        blocks = postings.select("term", "ord", "score", F.floor(number / BLOCK).cast("long").alias("block_no")).groupBy("term", "block_no").agg(F.min("ord").alias("min_ord"), F.max("ord").alias("max_ord"), F.count("*").alias("num_docs"), F.max("score").alias("block_max_score"))
-        lexicon = postings.groupBy("term").agg(F.first("doc_freq").alias("doc_freq"), F.max("score").alias("max_term_score"))
-        return Index(corpus, postings, lexicon, blocks, doc_stats, stats, stemming, stopwords, k1, b)
-
-    def save(self, path: str) -> Index:
-        """Write every table, postings sorted by term and ord within files that are ranges of terms; the index read from there."""
-        spark = self.corpus.sparkSession
-        self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
-        self.postings.repartition("term").sortWithinPartitions("term", "ord").write.mode("overwrite").parquet(f"{path}/postings")
-        kept = spark.read.schema(self.postings.schema).parquet(f"{path}/postings")
-        read = Index(spark.read.schema(self.corpus.schema).parquet(f"{path}/corpus"), kept, self.lexicon, self.blocks, self.doc_stats, self.index_stats, self.stemming, self.stopwords, self.k1, self.b)
-        number = F.row_number().over(Window.partitionBy("term").orderBy("ord")) - 1
-        blocks = kept.select("term", "ord", "score", F.floor(number / BLOCK).cast("long").alias("block_no")).groupBy("term", "block_no").agg(F.min("ord").alias("min_ord"), F.max("ord").alias("max_ord"), F.count("*").alias("num_docs"), F.max("score").alias("block_max_score"))
+        corpus.withColumn("bytes", bytes_of.cast("long")).write.mode("overwrite").parquet(f"{path}/corpus")
+        corpus = spark.read.parquet(f"{path}/corpus")
+        words = corpus.select("ord", word_list(whole_text()).alias("words"))
+        raw, scratch = materialize(words.mapInArrow(_postings_of(stemming, stopwords), "term string, ord long, tf int, length long, positions array<int>"), "raw-postings")
+        ranged(raw, "term", "ord").write.mode("overwrite").parquet(f"{path}/postings")
+        discard(spark, scratch)
+        kept = spark.read.parquet(f"{path}/postings")
+
+        lengths = kept.groupBy("ord").agg(F.max("length").alias("n"))
+        stats = corpus.select("ord", "ext_id", "bytes").join(lengths, "ord", "left").select("ord", "ext_id", F.coalesce("n", F.lit(0)).cast("long").alias("length"), "bytes")
+        stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+        whole = spark.read.parquet(f"{path}/doc_stats").agg(F.count("*").alias("total_docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_tokens"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_doc_len"))
+        whole.coalesce(1).write.mode("overwrite").parquet(f"{path}/index_stats")
+        total = spark.read.parquet(f"{path}/index_stats").first()
+
+        one = bm25(F.col("tf"), F.col("length"), F.lit(total["avg_doc_len"]), F.lit(1.0), k1, b)
+        terms = kept.groupBy("term").agg(F.count("*").alias("doc_freq"), F.max(one).alias("most"))
+        weight = idf(F.col("doc_freq"), F.lit(total["total_docs"]))
+        terms.select("term", "doc_freq", weight.alias("idf"), (weight * F.col("most")).alias("max_term_score")).sort("term").write.mode("overwrite").parquet(f"{path}/lexicon")
+        lexicon = spark.read.parquet(f"{path}/lexicon")
+
+        sizes = kept.groupBy("term", "run").agg(F.count("*").alias("n"))
+        earlier = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("term").orderBy("run")) - F.col("n")).filter("before > 0")  # the window: a term's ranges
+        own = kept.select("term", "run", "ord", "row", one.alias("part")).join(F.broadcast(earlier.select("term", "run", "before")), ["term", "run"], "left")  # at most a row for each range
+        place = F.col("row") - F.min("row").over(Window.partitionBy("term", "run")) + F.coalesce("before", F.lit(0))
+        blocks = own.select("term", "ord", "part", place.alias("place")).groupBy("term", F.expr(f"place div {BLOCK}").alias("block_no"))
+        blocks = blocks.agg(F.min("ord").alias("min_ord"), F.max("ord").alias("max_ord"), F.count("*").alias("num_docs"), F.max("part").alias("most"))
+        blocks = blocks.join(lexicon.select("term", "idf"), "term").select("term", "block_no", "min_ord", "max_ord", "num_docs", (F.col("idf") * F.col("most")).alias("block_max_score"))
         blocks.write.mode("overwrite").parquet(f"{path}/blocks")
-        kept.groupBy("term").agg(F.first("doc_freq").alias("doc_freq"), F.max("score").alias("max_term_score")).sort("term").write.mode("overwrite").parquet(f"{path}/lexicon")
-        lengths = kept.groupBy("ord").agg(F.sum("tf").alias("n"))
-        bytes_of = F.octet_length(F.col("title")) + F.octet_length(F.col("text"))
-        read.corpus.join(lengths, "ord", "left").select("ord", "ext_id", F.coalesce("n", F.lit(0)).cast("long").alias("length"), bytes_of.cast("long").alias("bytes")).write.mode("overwrite").parquet(f"{path}/doc_stats")
-        stats = spark.read.parquet(f"{path}/doc_stats").agg(F.count("*").alias("total_docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_tokens"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_doc_len"))
-        stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/index_stats")
-        manifest = {"version": VERSION, "stemming": self.stemming, "stopwords": sorted(self.stopwords), "k1": self.k1, "b": self.b, "docs": spark.read.parquet(f"{path}/doc_stats").count()}
+
+        counts = {"corpus": total["total_docs"], "doc_stats": total["total_docs"], "index_stats": 1} | {name: spark.read.parquet(f"{path}/{name}").count() for name in ("postings", "lexicon", "blocks")}
+        manifest = {"version": VERSION, "stemming": stemming, "stopwords": sorted(stopwords), "k1": k1, "b": b, "rows": counts}
         spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
         return Index.load(spark, path)
 
+    def scored(self, terms: DataFrame | None = None) -> DataFrame:
+        """(term, ord, tf, length, positions, doc_freq, idf, score): all postings, or those of a small table of distinct terms."""
+        lexicon = self.lexicon.select("term", "doc_freq", "idf")
+        if terms is not None:
+            lexicon = F.broadcast(lexicon.join(F.broadcast(terms.select("term")), "term", "left_semi"))  # the caller's few terms
+        return self.postings.join(lexicon, "term").withColumn("score", bm25(F.col("tf"), F.col("length"), F.lit(self.average), F.col("idf"), self.k1, self.b))
+
     @staticmethod
     def load(spark: SparkSession, path: str, k1: float | None = None, b: float | None = None) -> Index:
-        """Open a saved index; ValueError where its version, row count or parameters are others."""
+        """Open an index; ValueError where its version, a table's row count or the parameters are others."""
         found = json.loads(spark.read.text(f"{path}/manifest").first()[0])
         if found["version"] != VERSION:
             raise ValueError(f"the index has version {found['version']}, not {VERSION}")
@@ -141,9 +187,12 @@ class Index:
             if asked is not None and abs(asked - found[name]) > 1e-4:
                 raise ValueError(f"the index was built with {name} = {found[name]}")
         tables = {name: spark.read.parquet(f"{path}/{name}") for name in _TABLES}
-        if tables["doc_stats"].count() != found["docs"]:
-            raise ValueError("the index lacks documents")
-        return Index(**tables, stemming=found["stemming"], stopwords=frozenset(found["stopwords"]), k1=found["k1"], b=found["b"])
+        for name, rows in found["rows"].items():
+            if tables[name].count() != rows:
+                raise ValueError(f"the index has other {name} than were written")
+        tables["postings"] = tables["postings"].drop("run", "row")
+        one = tables["index_stats"].first()
+        return Index(**tables, total=one["total_docs"], average=one["avg_doc_len"], stemming=found["stemming"], stopwords=frozenset(found["stopwords"]), k1=found["k1"], b=found["b"])
 
     def with_term_ids(self) -> DataFrame:
         """The lexicon with term_id, the rank of a term in byte order."""

@@ -28,7 +28,7 @@ _built: dict[tuple[str, str, bool], Index] = {}
 def index_for(spark: SparkSession, sf_dir: str, stemming: bool = False) -> Index:
     key = (spark.sparkContext.applicationId, sf_dir, stemming)
     if key not in _built:
-        _built[key] = Index.build(corpus_of(table(spark, sf_dir, "documents")), stemming).save(scratch_path(spark, "index"))
+        _built[key] = Index.build(corpus_of(table(spark, sf_dir, "documents")), scratch_path(spark, "index"), stemming)
     return _built[key]
 
 
@@ -171,7 +171,7 @@ def postings_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_base()} SELECT term, ord, round(score, 6) AS score FROM scored")
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_for(spark, sf_dir).postings.select("term", "ord", F.round("score", 6).alias("score"))
+    return index_for(spark, sf_dir).scored().select("term", "ord", F.round("score", 6).alias("score"))
 
 
 @query(f"{_base()} SELECT ord, length FROM lengths")
@@ -312,11 +312,8 @@ h AS (SELECT query_id, ord, round(sum(score), 6) AS score FROM scored JOIN q USI
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord)::INT AS rank, ord, score FROM h)
 SELECT * FROM r WHERE rank <= 10""")
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = index_for(spark, sf_dir)
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(text.word_list(F.col("text")))).alias("term"))
-    asked = asked.filter(~text.is_stopword(F.col("term"))).distinct()
-    hits = index.postings.select("term", "ord", "score").join(asked, "term").groupBy("query_id", "ord").agg(F.round(F.sum("score"), 6).alias("score"))
-    return rank.top_k(hits, 10)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return rank.evaluate_frame(index_for(spark, sf_dir), asked, 10, any_term=True)
 
 
 @query(f"""{_base()}, hits AS ({_or('tion', 'nd', 'ing')}), t AS (SELECT ord, score, row_number() OVER (ORDER BY score DESC, ord)::INT AS rank FROM hits ORDER BY score DESC, ord LIMIT 10)
@@ -388,9 +385,9 @@ def fuzzy_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_base()}, m AS ({_near('licence', 2, 10)}), n AS ({_near('versoin', 2, 10)}), x AS (SELECT term FROM m UNION SELECT term FROM n), hits AS (SELECT ord, round(sum(score), 6) AS score FROM scored JOIN x USING (term) GROUP BY ord) SELECT row_number() OVER (ORDER BY score DESC, ord)::INT AS rank, ord, score FROM hits ORDER BY score DESC, ord LIMIT 10")
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillon.plans.engine import SearchEngine
+    from quillon.plans.engine import Searcher
 
-    return SearchEngine(index_for(spark, sf_dir)).search("licence versoin~2").hits
+    return Searcher(index_for(spark, sf_dir)).search("licence versoin~2").hits
 
 
 @query(f"{_base()}, u AS ({_near('licence', 2, 1)}) SELECT 'apache ' || (SELECT term FROM u) || ' version' AS suggestion")
@@ -526,7 +523,7 @@ def corpus_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_base()} SELECT count(*) AS docs, (SELECT sum(tf) FROM postings)::BIGINT AS tokens, (SELECT count(*) FROM postings) AS postings FROM docs")
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Builds, writes and opens an index."""
-    index = Index.build(corpus_of(table(spark, sf_dir, "documents")), stemming=False).save(scratch_path(spark, "index"))
+    index = Index.build(corpus_of(table(spark, sf_dir, "documents")), scratch_path(spark, "index"), stemming=False)
     return index.postings.agg(F.sum("tf").alias("tokens"), F.count("*").alias("postings")).crossJoin(index.doc_stats.agg(F.count("*").alias("docs"))).select("docs", "tokens", "postings")
 
 

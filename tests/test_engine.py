@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.snippet import analyze
 from quillon.operators import lexical, patterns, rank, succinct
-from quillon.plans.engine import SearchEngine
+from quillon.plans.engine import Searcher
 from quillon.plans.index import Index, corpus_of, numbered
 from quillon.plans.parser import ParsedQuery, parse, route
 from quillon.sources import corpora
@@ -34,7 +34,7 @@ def build(spark, rows, **kw):
 
 @pytest.fixture(scope="module")
 def tiny(spark, tmp_path_factory):
-    return build(spark, TINY).save(str(tmp_path_factory.mktemp("tiny")))
+    return build(spark, TINY, path=str(tmp_path_factory.mktemp("tiny")))
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +42,7 @@ def rand(spark, tmp_path_factory):
     """400 documents, so that frequent terms fill several blocks."""
     rng = random.Random(1)
     rows = [(i, "", " ".join(f"term{int(rng.paretovariate(0.7)) % 50}" for _ in range(rng.randrange(20, 100)))) for i in range(400)]
-    return rows, build(spark, rows, stemming=False).save(str(tmp_path_factory.mktemp("rand")))
+    return rows, build(spark, rows, stemming=False, path=str(tmp_path_factory.mktemp("rand")))
 
 
 def ords(hits):
@@ -82,7 +82,7 @@ def test_route():
 
 
 def test_boolean_and_phrase(tiny):
-    e = SearchEngine(tiny)
+    e = Searcher(tiny)
     assert set(ords(e.evaluate("suffix array"))) == {1, 4}
     assert ords(e.evaluate('"suffix array"')) == [1] and ords(e.evaluate('"suffix combines"')) == []
     assert set(ords(e.evaluate("suffix OR wavelet"))) == {1, 2, 4} and ords(e.evaluate("suffix -compression")) == [1]
@@ -91,29 +91,29 @@ def test_boolean_and_phrase(tiny):
 
 
 def test_mixed_phrase_is_ignored_unless_strict(tiny):
-    e = SearchEngine(tiny)
+    e = Searcher(tiny)
     assert set(ords(e.evaluate('array "suffix combines"'))) == {1, 4}
     assert ords(e.evaluate('array "suffix array"', strict_phrase=True)) == [1]
 
 
 def test_phrase_over_stopwords(spark):
-    e = SearchEngine(build(spark, [(0, "", "a state of the art machine"), (1, "", "state art")]))
+    e = Searcher(build(spark, [(0, "", "a state of the art machine"), (1, "", "state art")]))
     assert ords(e.evaluate('"state of the art"')) == [1] and ords(e.evaluate('"state of the art"', gaps=True)) == [0]
 
 
 def test_phrase_stems_twice_at_need(spark):
-    e = SearchEngine(build(spark, [(0, "", "organizations agreed the rest"), (1, "", "other")]))
+    e = Searcher(build(spark, [(0, "", "organizations agreed the rest"), (1, "", "other")]))
     assert ords(e.evaluate('"organizations agreed"')) == [0]
 
 
 def test_ties_follow_ids(spark):
-    e = SearchEngine(build(spark, [(40, "", "equal text"), (10, "", "equal text"), (30, "", "equal text"), (20, "", "equal text")]))
+    e = Searcher(build(spark, [(40, "", "equal text"), (10, "", "equal text"), (30, "", "equal text"), (20, "", "equal text")]))
     hits = e.show(e.search("equal"))
     assert [h["doc_id"] for h in hits] == [10, 20, 30, 40] and [h["rank"] for h in hits] == [1, 2, 3, 4]
 
 
 def test_heavy_negation(spark):
-    e = SearchEngine(build(spark, [(i, "", "target common" + (" stopword" if i % 2 == 0 else "")) for i in range(30)]))
+    e = Searcher(build(spark, [(i, "", "target common" + (" stopword" if i % 2 == 0 else "")) for i in range(30)]))
     assert ords(e.evaluate("target common -stopword")) == list(range(1, 21, 2))
 
 
@@ -147,11 +147,11 @@ def test_empty_documents_count(spark):
     one = index.index_stats.first()
     assert (one["total_docs"], one["total_tokens"]) == (3, 1) and one["avg_doc_len"] == pytest.approx(1 / 3)
     none = Index.build(corpus(spark, []))
-    assert none.index_stats.first()["total_docs"] == 0 and ords(SearchEngine(none).evaluate("x y")) == []
+    assert none.index_stats.first()["total_docs"] == 0 and ords(Searcher(none).evaluate("x y")) == []
 
 
 def test_save_load_checks(spark, tmp_path):
-    build(spark, TINY).save(str(tmp_path))
+    build(spark, TINY, path=str(tmp_path))
     assert Index.load(spark, str(tmp_path)).corpus.count() == 5
     with pytest.raises(ValueError):
         Index.load(spark, str(tmp_path), k1=1.2)
@@ -160,17 +160,52 @@ def test_save_load_checks(spark, tmp_path):
         Index.load(spark, str(tmp_path))
 
 
-def test_numbered_in_runs(spark, monkeypatch):
-    import quillon.plans.index as index
-
-    monkeypatch.setattr(index, "RUN_ROWS", 100)
+@pytest.mark.parametrize("runs", [None, 1, 37, 5000])
+def test_numbered_in_runs(spark, runs):
     rng = random.Random(3)
     words = sorted({f"w{rng.randrange(10**6)}" for _ in range(700)})
     for column, values in (("string", words), ("long", sorted(rng.sample(range(10**6), 700)))):
         mixed = list(values)
         rng.shuffle(mixed)
-        got = numbered(spark.createDataFrame([(v,) for v in mixed], f"v {column}"), "v", "n").collect()
+        got = numbered(spark.createDataFrame([(v,) for v in mixed], f"v {column}").repartition(4), "v", "n", runs).collect()
         assert [r["v"] for r in sorted(got, key=lambda r: r["n"])] == values and sorted(r["n"] for r in got) == list(range(len(values)))
+    assert numbered(spark.createDataFrame([], "v long"), "v", "n", runs).count() == 0
+
+
+def test_blocks_of_a_term_in_many_ranges(spark):
+    """A common term's list spans ranges; its blocks of 128 go on over their boundaries."""
+    rows = [(i, "", "common " + ("often " if i % 3 else "") + f"rare{i}") for i in range(1500)]
+    index = build(spark, rows, stemming=False)
+    for term, ords in (("common", list(range(1500))), ("often", [i for i in range(1500) if i % 3])):
+        got = [(r["block_no"], r["min_ord"], r["max_ord"], r["num_docs"]) for r in index.blocks.filter(F.col("term") == term).orderBy("block_no").collect()]
+        cut = [ords[k : k + 128] for k in range(0, len(ords), 128)]
+        assert got == [(k, c[0], c[-1], len(c)) for k, c in enumerate(cut)]
+
+
+def test_pruning_loses_nothing(spark, monkeypatch):
+    """Ties after rounding go by ord across blocks; cells of one and of many documents."""
+    rng = random.Random(4)
+    rows = [(i, "", " ".join(["apple"] * rng.choice([0, 1, 1, 1, 2, 9 if rng.random() < 0.02 else 1]) + ["pear"] * rng.choice([0, 1, 3]) + ["filler"] * rng.choice([4, 4, 20]))) for i in range(2500)]
+    index = build(spark, rows, stemming=False)
+    for words in (["apple", "pear"], ["apple"], ["pear", "unknown"]):
+        want = [tuple(r) for r in rank.evaluate(index, [(0, " OR ".join([*words, "x"]))], 15).collect()]
+        for cells in (1 << 16, 40, 3):
+            monkeypatch.setattr(rank, "CELLS", cells)
+            assert [tuple(r) for r in rank.disjunction_pruned(index, words, 15, least=1).collect()] == want
+    assert rank.disjunction_pruned(index, ["unknown"], 15, least=0).count() == 0
+
+
+def test_table_of_queries(spark, tiny, monkeypatch):
+    """A table of queries gives what each gives alone, broadcast or shuffled; free text takes any of its words."""
+    asked = [(1, "search engine"), (2, "fast OR index"), (3, '"search engine"'), (4, "search -fast"), (5, ""), (6, None), (7, "nothingofthekind")]
+    table = spark.createDataFrame(asked, "query_id long, query string")
+    want = sorted(tuple(r) for r in rank.evaluate(tiny, [(i, q) for i, q in asked if q], 10).collect())
+    for most in (100_000, 0):
+        monkeypatch.setattr(rank, "MOST_TERMS", most)
+        assert sorted(tuple(r) for r in rank.evaluate_frame(tiny, table).collect()) == want and want
+    free = rank.evaluate_frame(tiny, spark.createDataFrame([(1, "search -fast"), (2, "search fast")], "query_id long, query string"), any_term=True).collect()
+    either = rank.evaluate(tiny, [(0, "search OR fast")]).collect()
+    assert [[tuple(r)[1:] for r in free if r[0] == i] for i in (1, 2)] == [[tuple(r)[1:] for r in either]] * 2
 
 
 def test_prefix_order_and_suggest(spark):
@@ -192,13 +227,13 @@ def test_fuzzy(spark):
 
 
 def test_did_you_mean(tiny):
-    e = SearchEngine(tiny)
+    e = Searcher(tiny)
     assert e.did_you_mean("wavelt") == "wavelet" and e.did_you_mean("wavelet") == "" and e.did_you_mean("!!") == "!!" and e.did_you_mean("zzzzzzzzz") == ""
     assert e.search("wavelt treee").did_you_mean == "wavelet tree"
 
 
 def test_modes(tiny):
-    e = SearchEngine(tiny)
+    e = Searcher(tiny)
     assert ords(e.search(r"/C\+\+\d+/").hits) == [3] and e.search(r"/C\+\+\d+/").hits.first()["score"] == 2
     assert ords(e.search("inverted index", mode="substring").hits) == [3] and ords(e.search("wavelat~1").hits) == [2]
     assert e.search("retrieval").mode == "standard" and e.search("").hits.count() == 0 and e.search("x", 0).hits.count() == 0

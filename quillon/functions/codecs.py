@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,16 +64,52 @@ def unpack(data: bytes, width: int) -> np.ndarray:
     return bits.astype(np.uint64) @ (np.uint64(1) << np.arange(width, dtype=np.uint64))
 
 
-@F.pandas_udf(T.BinaryType())
-def varint_bytes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def varint_sizes(values: np.ndarray) -> np.ndarray:
+    """Bytes that each number takes."""
+    return 1 + sum((np.asarray(values, np.uint64) >= np.uint64(1 << 7 * k)).astype(np.int64) for k in range(1, 5))
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a list column and where each row's begin; null rows have none."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)))
+
+
+@F.arrow_udf(T.BinaryType())
+def varint_bytes(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """All numbers of a batch at once."""
     for part in parts:
-        yield part.map(lambda v: None if v is None else varint_encode(np.asarray(v)))
+        values, first = _numbers(part)
+        ends = np.append(0, np.cumsum(varint_sizes(values)))[first]
+        none = None if not part.null_count else pa.py_buffer(np.packbits(part.is_valid().to_numpy(zero_copy_only=False), bitorder="little").tobytes())
+        yield pa.Array.from_buffers(pa.binary(), len(part), [none, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(varint_encode(values))])
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def varint_numbers(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def varint_numbers(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for part in parts:
+        data = part.fill_null(b"").cast(pa.large_binary())
+        at = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+        raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        if any(raw[e - 1] & 128 for e in (at[1:] - at[0])[np.diff(at) > 0].tolist()):
+            raise ValueError("the last number is cut off")
+        first = np.append(0, np.cumsum(raw < 128))[at - at[0]]
+        yield pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(varint_decode(raw.tobytes()).astype(np.int64)), mask=part.is_null() if part.null_count else None)
+
+
+@F.arrow_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("packed", T.BinaryType()), T.StructField("same", T.BooleanType())]))
+def packed_blocks(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Blocks of up to 128 numbers, filled with zeros: their bits a number, packed, and whether they unpack to the same."""
     for part in parts:
-        yield part.map(lambda v: None if v is None else varint_decode(bytes(v)).astype(np.int64).tolist())
+        values, first = _numbers(part)
+        size = np.diff(first)
+        if size.max(initial=0) > BLOCK:
+            raise ValueError("a block has 128 numbers")
+        rows = np.zeros((len(part), BLOCK), np.uint64)
+        rows[np.repeat(np.arange(len(part)), size), np.arange(len(values)) - np.repeat(first[:-1], size)] = values
+        widths = [required_bits(r) for r in rows]
+        packed = [pack(r, w) for r, w in zip(rows, widths, strict=True)]
+        same = [bool((unpack(b, w) == r).all()) for b, r, w in zip(packed, rows, widths, strict=True)]
+        yield pa.StructArray.from_arrays([pa.array(widths, pa.int32()), pa.array(packed, pa.binary()), pa.array(same, pa.bool_())], ["width", "packed", "same"])
 
 
 def bit_width(most: Column) -> Column:

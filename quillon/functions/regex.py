@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -196,45 +197,107 @@ class Dfa(NamedTuple):
     accept: np.ndarray
 
     def full_match(self, text: bytes) -> bool:
-        state, table = 1, _lists(self)[0]
+        state, table = 1, self.table
         for c in text:
-            state = table[state][c]
+            state = table[state, c]
             if not state:
                 return False
         return bool(self.accept[state])
 
     def find_all(self, text: bytes) -> list[tuple[int, int]]:
         """Non-overlapping leftmost-longest matches that aren't empty, as byte spans."""
-        table, accept, starts = _lists(self)
-        out, at, n = [], 0, len(text)
-        candidates = np.flatnonzero(starts[np.frombuffer(text, np.uint8)]).tolist()
-        for begin in candidates:
-            if begin < at:
-                continue
-            state, k, end = 1, begin, -1
-            while k < n:
-                state = table[state][text[k]]
+        _, begin, end = self.spans(np.frombuffer(text, np.uint8), np.array([0, len(text)], np.int64))
+        return list(zip(begin.tolist(), end.tolist()))
+
+    def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, begin, end) of the matches in many texts lying at offsets in data, begin and end within the text.
+
+        Every byte that can begin a match starts a lane, and all lanes take a step at once. Of
+        lanes that begin in a state like the first after one step, the earlier one stands for both. Texts
+        with lanes alive after STEPS steps are searched again, one by one, in time linear in their matches.
+        """
+        table, accept = self.table, self.accept
+        like_first = (table == table[1]).all(1) & (accept == accept[1])
+        at = np.flatnonzero((table[1] > 0)[data])
+        at = at[(at >= offsets[0]) & (at < offsets[-1])]
+        text = np.searchsorted(offsets, at, "right") - 1
+        if like_first[1:].sum() > 0 and len(at):
+            stands = np.append(False, (at[1:] == at[:-1] + 1) & (text[1:] == text[:-1]) & like_first[table[1, data[at[:-1]]]])
+            first = np.flatnonzero(~stands)
+            tail = at[np.append(first[1:], len(at)) - 1]  # the last byte of those that a lane stands for
+            at, text = at[first], text[first]
+        else:
+            tail = at
+        end = np.full(len(at), -1, np.int64)
+        lane, state, limit = np.arange(len(at)), np.ones(len(at), table.dtype), offsets[text + 1]
+        for step in range(STEPS):
+            if not len(lane):
+                break
+            state = table[state, data[at[lane] + step]]
+            hit = accept[state]
+            end[lane[hit]] = at[lane[hit]] + step + 1
+            on = (state > 0) & (at[lane] + step + 1 < limit[lane])
+            lane, state = lane[on], state[on]
+        slow = np.unique(text[lane])
+        found = end > 0
+        if len(slow):
+            found &= ~np.isin(text, slow)
+        text, at, end, tail = text[found], at[found], end[found], tail[found]
+        keep, last = np.ones(len(at), bool), -1
+        overlap = np.flatnonzero(at[1:] < np.maximum.accumulate(end)[:-1]) if len(at) else at
+        if len(overlap):
+            begins, ends, tails = at.tolist(), end.tolist(), tail.tolist()
+            for k in range(len(begins)):
+                begins[k] = max(begins[k], last)
+                if begins[k] > tails[k]:
+                    keep[k] = False
+                else:
+                    last = ends[k]
+            at = np.array(begins, np.int64)
+        text, at, end = text[keep], at[keep], end[keep]
+        if len(slow):
+            parts = [self._linear(data[offsets[t] : offsets[t + 1]].tobytes()) for t in slow]
+            text = np.append(text, np.repeat(slow, [len(x) for x in parts]))
+            more = np.array([(a + offsets[t], b + offsets[t]) for t, x in zip(slow, parts, strict=True) for a, b in x], np.int64).reshape(-1, 2)
+            at, end = np.append(at, more[:, 0]), np.append(end, more[:, 1])
+            order = np.argsort(at)
+            text, at, end = text[order], at[order], end[order]
+        return text, at - offsets[text], end - offsets[text]
+
+    def _linear(self, text: bytes) -> list[tuple[int, int]]:
+        """From the end, which bytes begin a match; then only those are followed."""
+        table, accept = self.table.tolist(), self.accept.tolist()
+        known: dict[tuple[frozenset, int], frozenset] = {}
+        good = frozenset(np.flatnonzero(self.accept).tolist())
+        sets, begins = frozenset(), bytearray(len(text))
+        into: dict[int, dict[int, list[int]]] = {}
+        for k in range(len(text) - 1, -1, -1):
+            c = text[k]
+            if (sets, c) not in known:
+                if c not in into:
+                    into[c] = {}
+                    for q in range(1, len(table)):
+                        into[c].setdefault(table[q][c], []).append(q)
+                known[sets, c] = frozenset(q for target in good | sets for q in into[c].get(target, ()))
+            sets = known[sets, c]
+            begins[k] = 1 in sets
+        out, k = [], begins.find(1)
+        while k >= 0:
+            state, j, end = 1, k, -1
+            while j < len(text):
+                state = table[state][text[j]]
                 if not state:
                     break
-                k += 1
+                j += 1
                 if accept[state]:
-                    end = k
-            if end > begin:
-                out.append((begin, end))
-                at = end
+                    end = j
+            out.append((k, end))
+            k = begins.find(1, end)
         return out
 
 
-_cache: dict[bytes, tuple] = {}
-
-
-def _lists(dfa: Dfa) -> tuple[list, list, np.ndarray]:
-    key = dfa.table.tobytes()
-    if key not in _cache:
-        if len(_cache) > 64:
-            _cache.clear()
-        _cache[key] = (dfa.table.tolist(), dfa.accept.tolist(), dfa.table[1] > 0)
-    return _cache[key]
+#: Steps that all lanes of a search take together.
+STEPS = 64
 
 
 @lru_cache(maxsize=64)
@@ -278,14 +341,21 @@ def compile_regex(pattern: str) -> Dfa:
     return Dfa(np.stack(rows), np.array(accept))
 
 
+def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a string column, null as the empty text."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8), offsets
+
+
 def count_matches(text: Column, pattern: str) -> Column:
     """Matches in each text; 0 for null."""
     dfa = compile_regex(pattern)
 
-    @F.pandas_udf("int")
-    def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("int")
+    def count(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            yield part.map(lambda t: 0 if t is None else len(dfa.find_all(t.encode()))).astype("int32")
+            yield pa.array(np.bincount(dfa.spans(*_buffer(part))[0], minlength=len(part)).astype(np.int32))
 
     return count(text)
 
@@ -294,10 +364,12 @@ def find_matches(text: Column, pattern: str) -> Column:
     """ARRAY<STRUCT<start, end>> of byte spans."""
     dfa = compile_regex(pattern)
 
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def find(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def find(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            yield part.map(lambda t: [] if t is None else [{"start": a, "end": b} for a, b in dfa.find_all(t.encode())])
+            which, begin, end = dfa.spans(*_buffer(part))
+            first = np.append(0, np.cumsum(np.bincount(which, minlength=len(part))))
+            yield pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["start", "end"]))
 
     return find(text)
 

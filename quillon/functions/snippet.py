@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +38,31 @@ def _whole(data: bytes, at: int) -> int:
     return at
 
 
+def best_window(tokens: Sequence[tuple[str, int, int, int]], hit: Sequence[bool], most: int) -> tuple[int, int]:
+    """(start, hits): the first of the windows of `most` bytes, each from a word on, that hold the most hits whole."""
+    upto = [0]
+    for h in hit:
+        upto.append(upto[-1] + h)
+    ends = [t[3] for t in tokens]
+    scores = [max(0, upto[max(i, bisect_right(ends, t[2] + most))] - upto[i]) for i, t in enumerate(tokens)]
+    return tokens[scores.index(max(scores))][2], max(scores)
+
+
+def windows(text: Column, terms: Sequence[str], most: int = 160, stemming: bool = False) -> Column:
+    """STRUCT<start, hits> of best_window() for the terms in each text; null for texts without words."""
+
+    @F.arrow_udf("struct<start:int,hits:long>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            out = []
+            for t in part.to_pylist():
+                tokens = analyze(t or "", stemming)
+                out.append(dict(zip(("start", "hits"), best_window(tokens, [x[0] in terms for x in tokens], most))) if tokens else None)
+            yield pa.array(out, pa.struct([("start", pa.int32()), ("hits", pa.int64())]))
+
+    return run(text)
+
+
 def highlight(text: str | None, terms: Sequence[str], most: int = 160, before: str = "<em>", after: str = "</em>") -> str:
     if not text:
         return ""
@@ -50,12 +76,7 @@ def highlight(text: str | None, terms: Sequence[str], most: int = 160, before: s
         return cut(0, prefix)
     wanted = {*terms, *(stem(fold_py(t)) for t in terms)}
     hit = [t[0] in wanted for t in tokens]
-    upto = [0]
-    for h in hit:
-        upto.append(upto[-1] + h)
-    ends = [t[3] for t in tokens]
-    scores = [max(0, upto[max(i, bisect_right(ends, t[2] + most))] - upto[i]) for i, t in enumerate(tokens)]
-    begin = tokens[scores.index(max(scores))][2]
+    begin, _ = best_window(tokens, hit, most)
     end = min(len(data), begin + most)
     if end < len(data) and (stop := _BREAK.search(data, end)) and stop.start() - begin <= most + 20:
         end = stop.start()

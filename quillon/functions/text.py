@@ -5,10 +5,8 @@ Everything here is a column expression (JVM-side); stemming lives in `porter`.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Letters, digits and underscore of ASCII, Latin-1, Latin Extended A and B, Greek and Coptic, Cyrillic, and CJK ideographs.
 WORD_CLASS = r"A-Za-z0-9_\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{370}-\x{3FF}\x{400}-\x{4FF}\x{4E00}-\x{9FFF}"
@@ -18,18 +16,16 @@ _CAPITALS = [chr(c) for a, z in ((0x41, 0x5B), (0xC0, 0xD7), (0xD8, 0xDF)) for c
 UPPER = "".join(_CAPITALS)
 LOWER = "".join(chr(ord(c) + 32) for c in _CAPITALS)
 
-#: 123 function words of English, ordered by length.
+#: 123 function words of English.
 STOPWORDS = frozenset(
     """
-    i a we us up to so or on of no my me it is in if he do by be as at an am
-    you why who was too the she own our out off nor not its his him how her had has for few did but all any are and
-    your with whom when what were very upon they then this than that them some such same over only once most more much into here hers have from does down each been both
-    yours would while which where until under those these there their shall other ought could being below after again about above
-    should theirs myself itself having herself himself during before
-    yourself further because between against doing ours through
-    ourselves themselves yourselves
+    a about above after again against all am an and any are as at be because been before being below between both but by could did do does doing down
+    during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself me more most my
+    myself no nor not of off on once only or other ought our ours ourselves out over own same she should so some such than that the their theirs them
+    themselves then there these they this those through to too under until up very was we were what when where which while who whom why with would you
+    your yours yourself yourselves
     """.split()
-) - {"us", "upon", "much", "shall"}
+)
 
 
 def is_word(text: Column) -> Column:
@@ -97,25 +93,11 @@ def json_escape(text: Column) -> Column:
     return F.substring(quoted, F.lit(7), F.length(quoted) - 8)
 
 
-@F.pandas_udf(T.StringType())
-def url_decode(texts: pd.Series, in_query: pd.Series) -> pd.Series:
+def url_decode(text: Column, in_query: Column) -> Column:
     """%HH where both digits are hexadecimal, anything else as it is; + is a blank in a query only."""
-
-    def one(text: str | None, query: bool) -> str | None:
-        if text is None:
-            return None
-        raw, out, k = text.encode(), bytearray(), 0
-        while k < len(raw):
-            two = raw[k + 1 : k + 3]
-            if raw[k] == 37 and len(two) == 2 and all(c in b"0123456789abcdefABCDEF" for c in two):
-                out.append(int(two, 16))
-                k += 3
-                continue
-            out.append(32 if query and raw[k] == 43 else raw[k])
-            k += 1
-        return out.decode("utf-8", "replace")
-
-    return pd.Series([one(t, bool(q)) for t, q in zip(texts, in_query, strict=True)])
+    parts = F.regexp_extract_all(F.when(in_query, F.replace(text, F.lit("+"), F.lit(" "))).otherwise(text), F.lit("(?s)%[0-9A-Fa-f]{2}|[^%]+|%"), F.lit(0))
+    hexed = F.transform(parts, lambda x: F.when((F.length(x) == 3) & F.startswith(x, F.lit("%")), F.substring(x, 2, 2)).otherwise(F.hex(F.encode(x, "UTF-8"))))
+    return utf8_decode(F.unhex(F.array_join(hexed, "")))
 
 
 def utf8_decode(data: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import codecs, porter, snippet, text
@@ -134,19 +134,30 @@ def utf8_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.byte_length(F.col("text")).cast("long").alias("bytes"), F.length(text.utf8_decode(F.encode("text", "UTF-8"))).cast("long").alias("chars"))
 
 
-@query()
+def _crc_table() -> str:
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return ", ".join(map(str, out))
+
+
+@query(f"""WITH b AS (SELECT doc_id, list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)) AS v, [{_crc_table()}]::BIGINT[] AS t FROM documents)
+SELECT doc_id, xor(4294967295::BIGINT, list_reduce(v, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])))::BIGINT AS crc FROM b""")
 def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.checksum(F.encode("text", "UTF-8")).alias("crc"))
 
 
-@query()
+@query("SELECT doc_id, md5(url_decode(replace(replace(replace(text, ' ', '+'), 'e', '%65') || '%zz%4', '+', ' '))) AS decoded FROM documents")
 def url_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", text.url_decode(F.col("url"), F.lit(True)).alias("url"))
+    coded = F.concat(F.replace(F.replace("text", F.lit(" "), F.lit("+")), F.lit("e"), F.lit("%65")), F.lit("%zz%4"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.url_decode(coded, F.lit(True)).cast("binary")).alias("decoded"))
 
 
-@query()
+@query("SELECT doc_id, md5(substr(to_json(text)::VARCHAR, 2, length(to_json(text)::VARCHAR) - 2)) AS escaped FROM documents")
 def json_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.json_escape(F.col("text")).alias("escaped"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.json_escape(F.col("text")).cast("binary")).alias("escaped"))
 
 
 @query("""SELECT a.p_partkey, levenshtein(a.p_name, b.p_name)::INT AS distance FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
@@ -216,10 +227,18 @@ def posting_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_for(spark, sf_dir).postings.groupBy("term").agg(F.max("ord").alias("m")).select("term", codecs.bit_width(F.col("m")).alias("width"))
 
 
-@query()
+@query(f"""{_base()} SELECT term, ord, list_sum(list_transform(positions, lambda p: CASE WHEN p < 128 THEN 1 WHEN p < 16384 THEN 2 WHEN p < 2097152 THEN 3 WHEN p < 268435456 THEN 4 ELSE 5 END))::INT AS bytes, array_to_string(positions, ',') AS positions FROM postings""")
 def varint_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = index_for(spark, sf_dir).postings.select("term", "ord", codecs.varint_bytes(F.col("positions")).alias("packed"))
-    return rows.select("term", "ord", F.octet_length("packed").alias("bytes"), codecs.varint_numbers(F.col("packed")).alias("positions"))
+    return rows.select("term", "ord", F.octet_length("packed").alias("bytes"), F.array_join(codecs.varint_numbers(F.col("packed")).cast("array<string>"), ",").alias("positions"))
+
+
+@query(f"{_base()} SELECT (ord // 128)::BIGINT AS block_no, length(bin(max(length)::BIGINT))::INT AS width, 16 * length(bin(max(length)::BIGINT))::INT AS bytes, true AS same FROM lengths GROUP BY ALL HAVING max(length) > 0")
+def block_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of documents in blocks of 128, packed and unpacked."""
+    lengths = index_for(spark, sf_dir).doc_stats.groupBy(F.expr("ord div 128").alias("block_no")).agg(F.sort_array(F.collect_list(F.struct("ord", "length"))).alias("x"))  # 128 a block
+    packed = lengths.select("block_no", codecs.packed_blocks(F.col("x.length")).alias("b"))
+    return packed.filter("b.width > 0").select("block_no", F.col("b.width").alias("width"), F.octet_length("b.packed").alias("bytes"), F.col("b.same").alias("same"))
 
 
 @query(f"{_base()} SELECT ord, tf FROM postings WHERE term = 'der'")
@@ -272,9 +291,10 @@ def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(index_for(spark, sf_dir, True), "tions OR licensed OR reserved")
 
 
-@query(f"""{_base(True)}, known AS (SELECT DISTINCT term FROM freq), q AS (SELECT unnest(['licens', 'licensed', 'reserv', 'qzx']) AS raw),
-qs AS (SELECT raw AS word FROM q), {stem_ctes('qs', 'again')}
-SELECT raw, coalesce(a.term, b.term) AS term FROM q LEFT JOIN known a ON a.term = raw JOIN again ON again.word = raw LEFT JOIN known b ON b.term = again.stem WHERE coalesce(a.term, b.term) IS NOT NULL""")
+@query(f"""WITH {_DOCS}, {_WORDS}, kept AS MATERIALIZED (SELECT DISTINCT word FROM words WHERE word NOT IN ({_STOP})),
+{stem_ctes('kept')}, known AS MATERIALIZED (SELECT DISTINCT stem AS term FROM stems), q AS (SELECT unnest(['licens', 'licensed', 'reserv', 'qzx']) AS raw),
+qs AS (SELECT raw AS word FROM q), {stem_ctes('qs', 'again')}, twice AS MATERIALIZED (SELECT word AS raw, stem FROM again)
+SELECT raw, CASE WHEN raw IN (SELECT term FROM known) THEN raw ELSE stem END AS term FROM twice WHERE raw IN (SELECT term FROM known) OR stem IN (SELECT term FROM known)""")
 def term_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.plans.parser import ParsedQuery
 
@@ -340,15 +360,8 @@ c AS (SELECT x.conv_id, x.turn, x.a, count(*) FILTER (y.word IN ('tion', 'nd', '
 m AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY hits DESC, a) AS r FROM c)
 SELECT conv_id, turn, a::INT AS window_start, hits::BIGINT AS hits FROM m WHERE r = 1""")
 def snippet_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("k"), "text")
-    words = text.word_offsets(turns, "k", "text").withColumn("w", text.fold(F.col("word"))).filter(~text.is_stopword(F.col("w")))
-    wanted = F.when(F.col("w").isin("tion", "nd", "ing"), 1).otherwise(0)
-    # words that begin in the window, less those that end beyond it: of those, only the last can
-    inside = Window.partitionBy("k").orderBy("start_byte").rangeBetween(0, 160)
-    each = words.withColumns({"starts": F.sum(wanted).over(inside), "last_end": F.max("end_byte").over(inside), "last_hit": F.max_by(wanted, "start_byte").over(inside)})
-    hits = F.col("starts") - F.when(F.col("last_end") > F.col("start_byte") + 160, F.col("last_hit")).otherwise(0)
-    best = Window.partitionBy("k").orderBy(F.desc("hits"), "start_byte")
-    return each.withColumn("hits", hits).withColumn("r", F.row_number().over(best)).filter("r = 1").select("k.conv_id", "k.turn", F.col("start_byte").alias("window_start"), F.col("hits").cast("long").alias("hits"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", snippet.windows(F.col("text"), ("tion", "nd", "ing")).alias("w"))
+    return turns.filter("w is not null").select("conv_id", "turn", F.col("w.start").alias("window_start"), F.col("w.hits").alias("hits"))
 
 
 @query(f"""WITH {_DOCS}, w AS (SELECT ord, regexp_extract_all(lower(title || ' ' || text), '[a-z0-9]+') AS w FROM docs),
@@ -460,10 +473,10 @@ def lf_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return succinct.lf_map(succinct.bwt(table(spark, sf_dir, "part"), "p_partkey", "p_name"), "p_partkey")
 
 
-@query(f"WITH {_SUFFIX} SELECT p_partkey, min(rank) AS lo, max(rank) + 1 AS hi FROM sa WHERE starts_with(substr(t, pos + 1), 'e') GROUP BY p_partkey")
+@query(f"WITH {_SUFFIX} SELECT p_partkey, min(rank) AS lo, max(rank) + 1 AS hi FROM sa WHERE starts_with(substr(t, pos + 1), 'in') GROUP BY p_partkey")
 def backward_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    return succinct.suffix_range(succinct.suffix_array(part, "p_partkey", "p_name"), part, "p_partkey", "p_name", "e")
+    return succinct.suffix_range(succinct.suffix_array(part, "p_partkey", "p_name"), part, "p_partkey", "p_name", "in")
 
 
 @query(f"WITH {_BYTES} SELECT p_partkey, idx::INT AS idx, byte, row_number() OVER (PARTITION BY p_partkey, byte ORDER BY idx) - 1 AS rank FROM b")
@@ -503,9 +516,46 @@ def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", corpora.html_title(F.col("html")).alias("title"), F.md5(corpora.clean_html(F.col("html")).cast("binary")).alias("text"))
 
 
-@query()
+def _wiki_sql(text: str) -> str:
+    """clean_wikitext in RE2, which has no lookahead."""
+    inside, plain, single = r"(?:[^\]\n]|\][^\]\n])*", r"(?:[^\]\n:]|\][^\]\n:])*", r"(?:[^\]\n|]|\][^\]\n|])*"
+    for pattern, by in (
+        (r"(?s)<!--.*?-->", ""), (r"(?is)<ref[^>]*>.*?</ref>", ""), (r"(?i)<ref[^>]*/>", ""), (r"<[^>]+>", ""), (r"\{\{[^{}]*\}\}", ""), (r"\{\{[^{}]*\}\}", ""), (r"(?s)\{\|.*?\|\}", ""),
+        (rf"\[\[{plain}:{inside}\]\]", ""), (rf"\[\[(?:{inside}\|)?({single})\]\]", r"\1"),
+        (r"\[https?://[^\s\]]+\s+([^\]]+)\]", r"\1"), (r"\[https?://[^\s\]]+\]", ""), (r"\x27{2,5}", ""), (r"={2,}\s*(.*?)\s*={2,}", r"\1"),
+    ):
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    lines = f"list_transform(regexp_split_to_array({text}, '\\r\\n|[\\n\\r\\x0B\\f]'), lambda x: regexp_replace(x, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g'))"
+    return f"array_to_string(list_filter({lines}, lambda x: x <> ''), ' ')"
+
+
+#: Literals and, at odd places, columns that put documents in wiki markup: what a dump's pages hold.
+_PARTS = (
+    "{{Box|a={{b}}|c}} <!-- no --> '''", "source", "''' [[File:x.png|thumb]] [[a|b]] and [[", "lang",
+    ']]<ref name="n">r</ref><ref name="m" />\n== Head ==\n[https://a.b/c named] [https://a.b/d]\n{| class="t"\n| cell\n|}\n \t\n', "text",
+)
+_MARKUP = " || ".join(x if k % 2 else "'" + x.replace("'", "''") + "'" for k, x in enumerate(_PARTS))
+
+
+@query(f"SELECT doc_id, md5({_wiki_sql('t')}) AS text FROM (SELECT doc_id, {_MARKUP} AS t FROM documents)")
 def wikitext_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", corpora.clean_wikitext(F.col("html")).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(corpora.clean_wikitext(_marked_up()).cast("binary")).alias("text"))
+
+
+def _marked_up() -> Column:
+    return F.concat(*(F.col(x) if k % 2 else F.lit(x) for k, x in enumerate(_PARTS)))
+
+
+@query(f"""WITH c AS (SELECT doc_id, 'Page ' || doc_id AS title, {_wiki_sql('t')} AS text FROM (SELECT doc_id, {_MARKUP} AS t FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0))
+SELECT row_number() OVER (ORDER BY doc_id) AS id, title, md5(text) AS text FROM c WHERE length(text) >= 80""")
+def wiki_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes a dump of all documents, some in another namespace, some redirects, and reads its articles."""
+    page = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, "1").otherwise("0").alias("ns"), F.concat(F.lit("Page "), F.col("doc_id").cast("string")).alias("title"),
+        F.when(F.col("doc_id") % 7 == 0, F.struct(F.lit("Other").alias("_title"))).alias("redirect"), F.struct(F.struct(_marked_up().alias("_VALUE"), F.lit("preserve").alias("_space")).alias("text")).alias("revision"),
+    )
+    page.write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(path := scratch_path(spark, "dump"))
+    return corpora.wiki_articles(corpora.read_wiki_dump(spark, path)).select(F.col("id").cast("long").alias("id"), "title", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
 @query("""WITH d AS (SELECT doc_id AS ord, source || '/' || (doc_id % 701) AS title, text FROM documents WHERE length(text) >= 150),

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -159,6 +160,24 @@ def test_regex_against_brute_force():
         assert spans(p, s) == want, p
 
 
+def test_regex_many_texts_and_long_runs(monkeypatch):
+    """Texts side by side give what each gives alone, with lanes cut short or not; long runs take linear time."""
+    rng = random.Random(9)
+    for pattern in ("a*b+c", "(ab|a)*c?", "[ab]+c", "a{2,5}|b", "(a|b)*abb", "a*(c|ba)"):
+        dfa = regex.compile_regex(pattern)
+        texts = ["".join(rng.choice("aabbc") for _ in range(rng.randrange(60))).encode() for _ in range(200)]
+        want = [dfa._linear(t) for t in texts]
+        for steps in (64, 1, 3):
+            monkeypatch.setattr(regex, "STEPS", steps)
+            assert [dfa.find_all(t) for t in texts] == want
+            which, begin, end = dfa.spans(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])))
+            assert list(zip(which.tolist(), begin.tolist(), end.tolist())) == [(k, a, b) for k, x in enumerate(want) for a, b in x]
+    monkeypatch.setattr(regex, "STEPS", 64)
+    began = time.time()
+    assert regex.compile_regex("a*b+c").find_all(b"a" * 300_000) == [] and regex.compile_regex("[a-z]+1").find_all(b"ab" * 150_000) == []
+    assert time.time() - began < 10  # squared, it would be hours
+
+
 def test_regex_columns(spark):
     df = spark.createDataFrame([("é1 22",), ("",), (None,)], "t string")
     rows = df.select(regex.count_matches(F.col("t"), r"\d+").alias("n"), regex.find_matches(F.col("t"), r"\d+").alias("m"), regex.full_match(F.col("t"), ".*").alias("f")).collect()

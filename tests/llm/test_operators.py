@@ -459,8 +459,8 @@ def brute_spans(rows, length):
     return sorted(out)
 
 
-def test_suffixes_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "BUCKET_DOCS", 15)
+@pytest.mark.parametrize("chunk", [1, suffixes.CHUNK_BYTES])
+def test_suffixes_against_brute_force(spark, chunk):
     rng = random.Random(9)
     passages = [sentence(rng, rng.randrange(45, 140)).split() for _ in range(12)]
     rows = []
@@ -476,12 +476,11 @@ def test_suffixes_against_brute_force(spark, monkeypatch):
             k = rng.randrange(len(words) + 1)
             words[k:k] = part
         rows.append((i, rng.choice([" ", "\n", "  "]).join(words), "s"))
-    got = sorted(tuple(r) for r in suffixes.repeated_spans(frame(spark, rows)).collect())
+    got = sorted(tuple(r) for r in suffixes.repeated_spans(frame(spark, rows), chunk_bytes=chunk).collect())
     assert got == brute_spans(rows, suffixes.LENGTH) and len(got) > 40
 
 
-def test_suffixes_of_a_hot_passage(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "BUCKET_DOCS", 40)
+def test_suffixes_of_a_hot_passage(spark):
     rng = random.Random(10)
     hot = sentence(rng, 120)
     rows = [(i, f"{sentence(rng, rng.randrange(0, 9))} {hot} {sentence(rng, 3)}", "s") for i in range(300)]
@@ -499,6 +498,22 @@ def test_suffixes_of_repeated_rows(spark, times):
     assert got == brute_spans(rows, suffixes.LENGTH) and {r[0] for r in got} == {0, 2, 3}
 
 
+def test_suffixes_compare_bytes(spark, monkeypatch):
+    """Where all words of a length share a hash, only equal bytes count."""
+    monkeypatch.setattr(suffixes.X, "words", lambda *a, own=X.words, **k: (w := own(*a, **k))._replace(hash=(w.end - w.start).astype(np.uint64) if len(w.hash) else w.hash))
+    rng = random.Random(20)
+    base = sentence(rng, 70).split()
+    rows = [(i, " ".join(base if i % 2 else [w[::-1] if k == 30 else w for k, w in enumerate(base)]), "s") for i in range(4)]
+    batch = lambda columns: pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["unit", "doc_id", "text"])
+    got = list(suffixes._anchor_batches(iter([batch([[0, 1, 2, 3], [0, 1, 2, 3], [t for _, t, _ in rows]])])))
+    runs = [[{"s": r["s"], "e": r["e"], "p": r["p"]} for b in got for r in b.to_pylist() if r["unit"] == u] for u in range(4)]
+    held = pa.RecordBatch.from_arrays([pa.array([0, 1, 2, 3]), pa.array([0, 1, 2, 3]), pa.array([t for _, t, _ in rows]), pa.array(runs, pa.list_(pa.struct([(x, pa.int32()) for x in "sep"])))], ["unit", "doc_id", "text", "runs"])
+    cut = pa.Table.from_batches(list(suffixes._cut(iter([held])))).sort_by([("head", "ascending"), ("salt", "ascending")]).combine_chunks().to_batches()
+    spans = [tuple(r.values())[1:4] for b in suffixes._ranges(1)(iter(cut)) for r in b.to_pylist()]
+    want = brute_spans(rows, suffixes.LENGTH)
+    assert {d for d, *_ in spans} == {d for d, *_ in want} and all((min(a for x, a, _ in spans if x == d), max(b for x, _, b in spans if x == d)) == (a, b) for d, a, b, _ in want)
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(3)
     keys = rng.integers(0, 3, (6, 400)).astype(np.uint64)

@@ -3,9 +3,9 @@
 Within a source the documents are ordered by -ln(u) / quality weight, u a hash of the
 id, and their tokens prefix-summed. A source whose budget is above its tokens is first
 taken whole as often as it fits; what remains is filled by the longest prefix that fits.
-The sort is split at fixed quantiles of the key, so that prefix sums are those of small
-sorted runs plus the sums of the runs before them: a hot source is spread over thousands
-of tasks.
+Spark's range partitioning cuts (source, key) at quantiles that it samples, so that prefix sums are
+those of sorted ranges plus the sums of the ranges before them: a hot source, and whatever weights,
+are spread evenly over the tasks.
 """
 
 from __future__ import annotations
@@ -16,10 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.names import fresh
+from quillon.plans.index import ranged
 from quillon.session import materialize
 
-#: Runs in which each source is sorted.
-RUNS = 4096
 _NONE = "\x00none"
 
 
@@ -51,8 +50,7 @@ def choose(docs: DataFrame, shares: Mapping[str, float] | None = None, budget: i
     else:
         rows = rows.withColumn("w", F.lit(1.0))
     rows = rows.withColumns({"src": F.coalesce("source", F.lit(_NONE)), "k": sampling_key(F.col("doc_id"), F.col("w"), seed)})
-    rows = rows.withColumn("run", F.least(F.floor((1 - F.exp(-F.col("k"))) * RUNS), F.lit(RUNS - 1)).cast("int"))
-    rows, _ = materialize(rows, "sampling-keys")
+    rows, _ = materialize(ranged(rows, "src", "k", "doc_id", "n", "unit", "unit2"), "sampling-keys")
     sums = rows.groupBy("src", "run").agg(F.sum("n").alias("part"))
     sums = sums.withColumns({"before": F.sum("part").over(Window.partitionBy("src").orderBy("run")) - F.col("part"), "total": F.sum("part").over(Window.partitionBy("src"))})
     totals = rows.groupBy("src").agg(F.sum("n").alias("total"))
@@ -65,7 +63,7 @@ def choose(docs: DataFrame, shares: Mapping[str, float] | None = None, budget: i
     totals = totals.filter("total > 0").withColumn("quota", F.floor(F.col("quota") * (F.col("share") / F.col("shares"))).cast("long"))
     totals = totals.select("src", F.expr("quota div total").alias("epochs"), F.expr("quota % total").alias("left"))
     sums = sums.select("src", "run", "before").join(totals, "src")
-    within = Window.partitionBy("src", "run").orderBy("k", "doc_id", "n", "unit", "unit2").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("src", "run").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(sums, ["src", "run"]).withColumn("prefix", F.col("before") + F.sum("n").over(within))
     taken = F.col("epochs") + F.when((F.col("n") > 0) & (F.col("prefix") <= F.col("left")), 1).otherwise(0)
     return rows.withColumn("copies", taken).filter("copies > 0").select("unit", "unit2", "doc_id", "source", F.col("n").alias("n_tokens"), "copies")
@@ -82,8 +80,9 @@ def mix_sources(docs: DataFrame, shares: Mapping[str, float] | None = None, budg
     fractional prefix. A null source is a source of its own; a null or empty text has no tokens
     and comes with complete epochs alone; a source without tokens gives nothing. Rows that
     repeat id, source and text are one document, whose tokens are those of all its rows;
-    equal keys are ordered by id, then by tokens. An empty table gives an empty result. docs
-    keeps its columns, whatever their names; texts are shuffled once.
+    equal keys are ordered by id, then by tokens. A text of any length is counted by Spark's own
+    expressions. An empty table gives an empty result. docs keeps its columns, whatever their names; texts
+    are shuffled once.
     """
     u, v, copies, one = fresh(docs, "mix_unit", "mix_unit2", "mix_copies", "mix_copy")
     chosen = choose(docs, shares, budget, quality, seed).select(F.col("unit").alias(u), F.col("unit2").alias(v), F.col("copies").alias(copies))

@@ -346,6 +346,19 @@ def test_mixing_odd(odd, empty):
     assert mixing.mix_sources(odd, budget=0).count() == 0 and mixing.mix_sources(empty).count() == 0
 
 
+@pytest.mark.parametrize("weight", [0.01, 1.0, 100.0])
+def test_mixing_cuts_even_ranges(spark, weight, monkeypatch):
+    """Whatever the weights, one hot source is spread over the ranges."""
+    written = []
+    monkeypatch.setattr(mixing, "materialize", lambda df, name, own=mixing.materialize: written.append(own(df, name)) or written[-1])
+    rows = [(i, "a b c", "hot" if i % 10 else "small") for i in range(4000)]
+    quality = spark.createDataFrame([(i, weight) for i in range(4000)], "doc_id long, weight double")
+    got = {r["doc_id"]: r["copies"] for r in mixing.choose(frame(spark, rows), quality=quality, budget=6000).collect()}
+    assert got == brute_mix(rows, None, 6000, {i: weight for i in range(4000)})
+    sizes = [r["count"] for r in written[0][0].groupBy("run").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * 1000
+
+
 def test_mixing_prefers_weight(spark):
     rows = [(i, "w " * 10, "s") for i in range(600)]
     quality = spark.createDataFrame([(i, 4.0 if i % 2 else 0.5) for i in range(600)], "doc_id long, weight double")

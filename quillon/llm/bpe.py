@@ -4,8 +4,10 @@ Spark splits the texts into words (the tokenizer's own pre-tokens), and each dis
 is encoded once. The words' ids are joined back by position: the table is written sorted by
 a 64-bit word hash into the shared folder, and every task merge-joins its words with the
 memory-mapped shards it needs, so neither texts nor words are shuffled. A table above
-MAP_SIDE_BYTES, or a shared folder that is no file system of the workers, takes a shuffled
-join on the word instead. Decoding joins ids with the vocabulary's pieces.
+MAP_SIDE_BYTES, two words of one hash, or a shared folder that is no file system of the workers, take a
+shuffled join on the word instead. Decoding joins ids with the vocabulary's pieces: of each distinct
+word where texts are encoded, so that a text decodes to itself if its words do, and of whole texts in
+decode().
 """
 
 from __future__ import annotations
@@ -23,26 +25,18 @@ from pyspark.sql import functions as F
 
 from quillon.llm import textnp as X
 from quillon.llm.names import fresh
-from quillon.session import materialize, scratch_path
+from quillon.session import discard, materialize, scratch_path
 
 VOCABULARY = os.environ.get("QUILLON_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Largest word table that tasks map into memory; it is 16 bytes a word and 4 a token.
 MAP_SIDE_BYTES = 8 << 30
 SHARD_WORDS = 1 << 19
+#: Copies of a word's row in the shuffled join, among which its texts are spread.
+SALTS = 16
 _BLANK = r"\t-\r \u0085   -     　"
 WORD = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 
 
-@lru_cache(maxsize=4)
-def pieces(vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all pieces, id after id, and where each begins; ids without a piece are empty."""
-    ranks = _ranks(vocabulary)
-    size = np.zeros(max(ranks.values()) + 2, np.int64)
-    for piece, k in ranks.items():
-        size[k + 1] = len(piece)
-    return np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8), np.cumsum(size)
-
-
 def _ranks(vocabulary: str) -> dict[bytes, int]:
     with open(vocabulary, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}
@@ -64,54 +58,63 @@ def word_hash(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def word_table(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text") -> DataFrame:
-    """(word, hash, ids) of the distinct words; ids are little-endian 32-bit."""
+    """(word, hash, ids) of the distinct words."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = _encoder(vocabulary).encode_ordinary
         for batch in batches:
             words = batch.column(0).to_pylist()
-            ids = pa.array([np.array(one(w), np.uint32).tobytes() for w in words], pa.binary())
+            ids = [one(w) for w in words]
             data, offsets = X.string_buffer(batch.column(0))
             at = offsets - offsets[0]
             hashes = word_hash(data[offsets[0] : offsets[-1]], at).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes), ids], ["word", "hash", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes), pa.array(ids, pa.list_(pa.int32()))], ["word", "hash", "ids"])
 
     words = docs.select(F.explode(split_words(F.col(text_col).cast("string"))).alias("word")).distinct()
-    return words.mapInArrow(encode, "word string, hash long, ids binary")
+    return words.mapInArrow(encode, "word string, hash long, ids array<int>")
+
+
+def decoded(table: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """word_table() with back: the word that its ids give, by a join of ids with pieces; the vocabulary's size is fixed."""
+    placed = table.select("word", "hash", "ids", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(vocabulary_table(table.sparkSession, vocabulary)), "id", "left")
+    return placed.groupBy("word", "hash", "ids").agg(_joined(F.collect_list(F.struct("pos", "piece"))).alias("back"))
+
+
+def _joined(pieces: Column) -> Column:
+    """The bytes of (pos, piece) pairs in order; ids without a piece give nothing."""
+    return F.unhex(F.array_join(F.transform(F.array_sort(pieces), lambda x: F.hex(F.coalesce(x["piece"], F.lit(b"")))), ""))
 
 
 def _write_shard(folder: str):  # noqa: ANN202
-    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        hashes = rows["hash"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(hashes)
-        hashes = hashes[order]
-        if (hashes[1:] == hashes[:-1]).any():
-            raise ValueError("two words share a 64-bit hash: change the seed in textnp")
-        ids = [rows["ids"].iat[k] for k in order]
-        ends = np.cumsum([len(x) // 4 for x in ids])
-        parts = {"hash": hashes, "end": ends.astype(np.int64), "ids": np.frombuffer(b"".join(ids), np.uint32)}
+    def write(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        rows = rows.take(pa.array(np.argsort(rows["hash"].to_numpy().view(np.uint64)))).combine_chunks()
+        hashes = rows["hash"].to_numpy().view(np.uint64)
+        ids = rows["ids"].combine_chunks()
+        parts = {"hash": hashes, "end": np.cumsum(np.asarray(ids.value_lengths(), np.int64)), "ids": ids.flatten().to_numpy().astype(np.uint32), "same": np.asarray(rows["same"])}
         for name, values in parts.items():
-            path = f"{folder}/{name}-{key[0]}.npy"
+            path = f"{folder}/{name}-{key[0].as_py()}.npy"
             with open(temporary := f"{path}.{os.getpid()}", "wb") as out:
                 np.save(out, values)
             os.replace(temporary, path)  # a task that runs again writes the same
-        return pd.DataFrame({"shard": [key[0]], "n": [len(hashes)]})
+        return pa.table({"again": pa.array([int((hashes[1:] == hashes[:-1]).sum())])})
 
     return write
 
 
 @lru_cache(maxsize=256)
-def _shard(folder: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(np.load(f"{folder}/{name}-{k}.npy", mmap_mode="r") for name in ("hash", "end", "ids"))
+def _shard(folder: str, k: int) -> tuple[np.ndarray, ...]:
+    """Sorted hashes, where each one's ids end, ids, and whether they decode to the word."""
+    return tuple(np.load(f"{folder}/{name}-{k}.npy", mmap_mode="r") for name in ("hash", "end", "ids", "same"))
 
 
-def _join(folder: str, shards: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of sorted distinct hashes, one after another, and where each one's begin."""
+def _join(folder: str, shards: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of sorted distinct hashes, one after another, where each one's begin, and whether they decode to the word."""
     part = ((wanted >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-    flat, sizes = [], []
+    flat, sizes, sames = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     for k in np.unique(part):
         own = wanted[np.searchsorted(part, k) : np.searchsorted(part, k, "right")]
-        hashes, end, ids = _shard(folder, int(k))
+        hashes, end, ids, same = _shard(folder, int(k))
         at = np.searchsorted(hashes, own)
         if (at >= len(hashes)).any() or (hashes[at] != own).any():
             raise KeyError("a word is missing from the table")
@@ -119,9 +122,9 @@ def _join(folder: str, shards: int, wanted: np.ndarray) -> tuple[np.ndarray, np.
         start = np.where(at > 0, end[np.maximum(at - 1, 0)], 0)
         size = stop - start
         sizes.append(size)
+        sames.append(same[at])
         flat.append(ids[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())])
-    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-    return np.concatenate(flat) if flat else np.zeros(0, np.uint32), np.append(0, np.cumsum(size))
+    return np.concatenate(flat), np.append(0, np.cumsum(np.concatenate(sizes))), np.concatenate(sames)
 
 
 def gather(values: np.ndarray, begins: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,9 +137,8 @@ def _ids_array(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
-def _encode_batches(folder: str, shards: int, vocabulary: str):  # noqa: ANN202
+def _encode_batches(folder: str, shards: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece_bytes, piece_at = pieces(vocabulary)
         for batch in batches:
             words, texts = batch.column(batch.num_columns - 1), batch.column(batch.num_columns - 2)
             kept = batch.columns[:-2]
@@ -149,17 +151,16 @@ def _encode_batches(folder: str, shards: int, vocabulary: str):  # noqa: ANN202
                 stop = max(step + 1, int(np.searchsorted(first, first[step] + 150_000, "right")) - 1)
                 at = offsets[first[step] : first[stop] + 1]
                 unique, inverse = np.unique(word_hash(data[at[0] : at[-1]], at - at[0]), return_inverse=True)
-                flat, begins = _join(folder, shards, unique)
+                flat, begins, same = _join(folder, shards, unique)
                 ids, size = gather(flat, begins, inverse)
-                per_doc = np.add.reduceat(np.append(size, 0), first[step:stop] - first[step]) if len(size) else np.zeros(stop - step, np.int64)
-                per_doc = np.where(count[step:stop] > 0, per_doc, 0)
-                back, length = gather(piece_bytes, piece_at, ids.astype(np.int64))
-                doc_end = np.append(0, np.cumsum(length))[np.append(0, np.cumsum(per_doc))]
-                same = back.tobytes() == raw[raw_at[step] : raw_at[stop]].tobytes() and (doc_end == raw_at[step : stop + 1] - raw_at[step]).all()
-                lossless = np.full(stop - step, same)
-                if not same:
-                    whole = back.tobytes()
-                    lossless = np.array([whole[doc_end[k] : doc_end[k + 1]] == raw[raw_at[step + k] : raw_at[step + k + 1]].tobytes() for k in range(stop - step)])
+                per_doc = np.diff(np.append(0, np.cumsum(size))[first[step : stop + 1] - first[step]])
+                bad = np.diff(np.append(0, np.cumsum(~same[inverse]))[first[step : stop + 1] - first[step]])
+                # a text decodes to itself if its words do and, one after another, are the text
+                whole = (offsets[first[step : stop + 1]] - at[0] == raw_at[step : stop + 1] - raw_at[step]).all() and data[at[0] : at[-1]].tobytes() == raw[raw_at[step] : raw_at[stop]].tobytes()
+                lossless = bad == 0
+                if not whole:
+                    own = [data[offsets[first[k]] : offsets[first[k + 1]]].tobytes() == raw[raw_at[k] : raw_at[k + 1]].tobytes() for k in range(step, stop)]
+                    lossless &= np.array(own)
                 yield pa.RecordBatch.from_arrays([*(c.slice(step, stop - step) for c in kept), _ids_array(ids, per_doc), pa.array(per_doc), pa.array(lossless)], [*batch.schema.names[:-2], "ids", "n_tokens", "lossless"])
                 step = stop
 
@@ -170,52 +171,48 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, keep: tuple[str, ...]
     """The `keep` columns of each row with ids ARRAY<INT>, n_tokens and lossless (its ids decode to its text).
 
     Special tokens never arise: their strings are ordinary text. A null or empty text has
-    no ids and is lossless. Rows that repeat are encoded each. An empty table gives no rows.
+    no ids and is lossless; a text of any length is encoded whole. Rows that repeat are encoded each. Other
+    columns are left out. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    table, _ = materialize(word_table(docs, vocabulary, text_col), "words")
-    n, tokens = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
+    table, path = materialize(word_table(docs, vocabulary, text_col), "words")
+    n, tokens = table.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
     folder = scratch_path(spark, "word-shards")
     local = folder.removeprefix("file://") if "://" in folder else folder
-    if "://" in local or n * 16 + tokens > map_side_bytes:
-        return _encode_shuffled(docs, table, vocabulary, keep, text_col)
+    checked = decoded(table, vocabulary).select("word", "hash", "ids", (F.col("back") == F.encode("word", "UTF-8")).alias("same"))
+    if "://" in local or n * 17 + tokens * 4 > map_side_bytes:
+        return _encode_shuffled(docs, checked, keep, text_col)
     os.makedirs(local, exist_ok=True)
     shards = max(1, -(-n // SHARD_WORDS))
     shard = F.shiftright(F.shiftrightunsigned("hash", 32) * shards, 32).cast("int")
-    table.select("hash", "ids", shard.alias("shard")).groupBy("shard").applyInPandas(_write_shard(local), "shard int, n long").agg(F.sum("n")).first()
+    again = checked.select("hash", "ids", "same", shard.alias("shard")).groupBy("shard").applyInArrow(_write_shard(local), "again long").agg(F.sum("again")).first()[0]
+    if again:  # two words share a hash
+        return _encode_shuffled(docs, checked, keep, text_col)
+    discard(spark, path)
     words, text = fresh(docs, "bpe_words", "bpe_text")
     rows = docs.select(*keep, F.col(text_col).cast("string").alias(text), split_words(F.col(text_col).cast("string")).alias(words))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
-    return rows.mapInArrow(_encode_batches(local, shards, vocabulary), f"{schema}, ids array<int>, n_tokens long, lossless boolean")
+    return rows.mapInArrow(_encode_batches(local, shards), f"{schema}, ids array<int>, n_tokens long, lossless boolean")
 
 
-def _encode_shuffled(docs: DataFrame, table: DataFrame, vocabulary: str, keep: tuple[str, ...], text_col: str) -> DataFrame:
-    """Distinct texts' words joined with the table by shuffle, collected by text in order of position."""
-
-    def as_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = batch.column(1).to_pylist()
-            flat = np.frombuffer(b"".join(blobs), np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _ids_array(flat, np.array([len(x) // 4 for x in blobs], np.int64))], ["word", "ids"])
+def _encode_shuffled(docs: DataFrame, table: DataFrame, keep: tuple[str, ...], text_col: str) -> DataFrame:
+    """Distinct texts' words joined with the table (word, ids, same) by shuffle, collected by text in order of position.
 
+    A text sends each of its words once, with all its places, so that the commonest come once a
+    text; they are spread over SALTS copies of their row in the table.
+    """
     key, own = fresh(docs, "bpe_key", "bpe_text")
     texts = docs.select(F.col(text_col).cast("string").alias("t")).filter("t <> ''").distinct().withColumn("k", F.sha2("t", 256))
-    table = table.select("word", "ids").mapInArrow(as_list, "word string, ids array<int>")
-    placed = texts.select("k", F.posexplode(split_words(F.col("t"))).alias("pos", "word")).join(table, "word")
-    ids = placed.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("s")).select("k", F.flatten(F.col("s.ids")).alias("ids"))
+    words = texts.select("k", "t", split_words(F.col("t")).alias("w")).select("k", F.posexplode("w").alias("pos", "word"))
+    words = words.groupBy("k", "word").agg(F.collect_list("pos").alias("places")).withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)))
+    table = table.select("word", "ids", "same", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    placed = words.join(table, ["word", "salt"]).select("k", F.explode("places").alias("pos"), "ids", "same", "word")
+    ids = placed.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", "ids", "word"))).alias("s"), F.bool_and("same").alias("same"))
+    ids = ids.select("k", F.flatten(F.col("s.ids")).alias("ids"), "same", F.array_join(F.col("s.word"), "").alias("back"))
     rows = docs.select(*keep, F.col(text_col).cast("string").alias(own)).withColumn(key, F.sha2(own, 256))
     rows = rows.join(ids, F.col(key) == F.col("k"), "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece_bytes, piece_at = pieces(vocabulary)
-        for batch in batches:
-            lists, raw = batch.column(batch.num_columns - 1), batch.column(batch.num_columns - 2).fill_null("").to_pylist()
-            same = [gather(piece_bytes, piece_at, np.array(x, np.int64))[0].tobytes() == t.encode() for x, t in zip(lists.to_pylist(), raw, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], lists, lists.value_lengths().cast(pa.int64()), pa.array(same, pa.bool_())], [*batch.schema.names[:-2], "ids", "n_tokens", "lossless"])
-
-    rows = rows.select(*keep, own, "ids")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
-    return rows.mapInArrow(check, f"{schema}, ids array<int>, n_tokens long, lossless boolean")
+    lossless = F.coalesce(F.col("same") & (F.col("back") == F.col(own)), F.coalesce(F.col(own), F.lit("")) == "")
+    return rows.select(*keep, "ids", F.size("ids").cast("long").alias("n_tokens"), lossless.alias("lossless"))
 
 
 def vocabulary_table(spark, vocabulary: str = VOCABULARY) -> DataFrame:  # noqa: ANN001
@@ -231,5 +228,4 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_
     """
     placed = encoded.select(F.col(id_col).alias("doc_id"), F.posexplode_outer("ids").alias("pos", "id"))
     joined = placed.join(F.broadcast(vocabulary_table(encoded.sparkSession, vocabulary)), "id", "left")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: F.hex(F.coalesce(x["piece"], F.lit(b""))))
-    return joined.groupBy("doc_id").agg(F.decode(F.unhex(F.array_join(parts, "")), "UTF-8").alias("text"))
+    return joined.groupBy("doc_id").agg(F.decode(_joined(F.collect_list(F.struct("pos", "piece"))), "UTF-8").alias("text"))

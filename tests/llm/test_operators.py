@@ -778,6 +778,14 @@ def test_bpe_decode(spark):
     assert {r["doc_id"]: r["text"] for r in back.collect()} == dict(enumerate(texts))
 
 
+def test_bpe_words_decode_by_join(spark):
+    """What ids give decides: a word with another's ids, and ids outside the vocabulary, don't come back."""
+    ranks = {v: k.decode() for k, v in bpe._ranks(bpe.VOCABULARY).items() if k.isalpha() and k.isascii()}
+    (i, a), (j, b) = list(ranks.items())[:2]
+    table = spark.createDataFrame([(a + b, 1, [i, j]), (b + a, 2, [i, j]), (a, 3, [i, 1 << 30])], "word string, hash long, ids array<int>")
+    assert {r["word"]: bytes(r["back"]).decode() for r in bpe.decoded(table).collect()} == {a + b: a + b, b + a: a + b, a: a}
+
+
 def test_bpe_odd(odd, empty):
     got = bpe.encode(odd)
     assert got.columns == ["doc_id", "ids", "n_tokens", "lossless"] and got.count() == len(odd_rows()) and got.filter("not lossless").count() == 0

@@ -82,8 +82,8 @@ def format_chats(turns: DataFrame, vocabulary: str = VOCABULARY, trained: tuple[
     A turn is START role newline content END newline; a conversation ends with TEXT_END.
     loss_mask is 1 for the content and END of roles in `trained`. Turns are ordered by turn
     (null first), then role, then text; turns that repeat all stay. A null role is the empty
-    role and a null text the empty content; rows without conv_id are left out. Other
-    columns are ignored; an empty table gives no rows.
+    role and a null text the empty content; rows without conv_id are left out. A text of any length
+    is encoded whole. Other columns are ignored; an empty table gives no rows.
     """
     rows = turns.filter("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).alias("t"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))

@@ -151,8 +151,8 @@ def exact_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A null text equals no other, and a row without id is compared with none: such rows win
     for themselves. Empty texts are equal. Rows that share id and text have one winner, that
-    id, and none is a repeat here (`drop_repeats` keeps one). An empty table gives no rows.
-    Only ids and 32-byte digests are shuffled.
+    id, and none is a repeat here (`drop_repeats` keeps one). A text of any length has one digest.
+    Other columns are ignored. An empty table gives no rows. Only ids and 32-byte digests are shuffled.
     """
     winners = _winners(docs.select(id_col, text_col), id_col, text_col, history_share)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(F.col(text_col)).alias("digest"))
@@ -163,7 +163,9 @@ def exact_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", history_share: float = 0.5) -> DataFrame:
     """docs with one row of each text: the winner's, and one of the rows that repeat its id too.
 
-    Rows whose id or text is null stay. Texts are shuffled once, by digest.
+    Rows whose id or text is null stay. Of rows that share id and text any one stays. docs keeps its
+    columns, whatever their names; an empty table stays empty. Texts, of any length, are shuffled once, by
+    digest.
     """
     winners = _winners(docs.select(id_col, text_col), id_col, text_col, history_share)
     key, rank, won = fresh(docs, "digest", "rank", "winner")

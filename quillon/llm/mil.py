@@ -47,12 +47,13 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     end[last] = offsets[doc[last] + 1]
     n = len(head)
     out = np.zeros((n, DIMENSIONS), np.float32)
-    owner = np.repeat(np.arange(n), end - begin)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin) + begin[owner]
-    kind = _CLASS[data[at]].astype(np.int64)
-    inside = owner[1:] == owner[:-1]
-    pair = (owner[1:] * 256 + kind[:-1] * 16 + kind[1:])[inside]
-    out[:, :256] = np.bincount(pair, minlength=n * 256).reshape(n, 256) / np.maximum(1, end - begin - 1)[:, None]
+    for k in range(0, n, 4096):
+        a, length = begin[k : k + 4096], (end - begin)[k : k + 4096]
+        owner = np.repeat(np.arange(len(a)), length)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length) + a[owner]
+        kind = _CLASS[data[at]].astype(np.int64)
+        pair = (owner[1:] * 256 + kind[:-1] * 16 + kind[1:])[owner[1:] == owner[:-1]]
+        out[k : k + 4096, :256] = np.bincount(pair, minlength=len(a) * 256).reshape(-1, 256) / np.maximum(1, length - 1)[:, None]
     size = np.diff(np.append(head, len(w.start)))
     own = np.repeat(np.arange(n), size)
     hashed = np.bincount(own * _HASHED + (w.hash >> np.uint64(58)).astype(np.int64), minlength=n * _HASHED).reshape(n, _HASHED)
@@ -183,7 +184,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Da
 
     A null or empty text scores 0 and is not kept. Null ids stay null. Without labels of both
     classes nothing can be learned: every document with words scores 1. Labels repeated
-    for an id count once, with the greatest; other columns are ignored. An empty table gives no rows.
+    for an id count once, with the greatest; other columns are ignored. Rows that repeat, or share an id,
+    are scored each. A text of any length is scored whole, in memory of some twenty times its size. An empty
+    table gives no rows.
     """
     model = train(docs, labels, most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -191,7 +194,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Da
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """docs, all columns, without the rows whose text scores below LEAST_SCORE."""
+    """docs, all columns whatever their names, without the rows whose text scores below LEAST_SCORE.
+
+    Null and empty texts go; null ids and repeated rows are judged like others; texts of any length whole.
+    Without labels of both classes every row with words stays. An empty table stays empty.
+    """
     model = train(docs, labels, most)
     run = _score_batches(model)
 

@@ -109,10 +109,10 @@ def _places(min_words: int):  # noqa: ANN202
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, _, data, lines in _each_slice(batch, min_words):
-                chars = np.append(0, np.cumsum((data & 0xC0) != 0x80))
-                start_of = lines.text_start
+                start = X.characters(data, lines.text_start, lines.start)
+                end = start + X.characters(data, lines.start, lines.end)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i + lines.doc]), pa.array(lines.number.astype(np.int32)), pa.array((chars[lines.start] - chars[start_of]).astype(np.int32)), pa.array((chars[lines.end] - chars[start_of]).astype(np.int32)), pa.array(lines.id.view(np.int64))],
+                    [pa.array(ids[i + lines.doc]), pa.array(lines.number.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(lines.id.view(np.int64))],
                     ["doc_id", "paragraph", "start", "end", "pid"],
                 )
 

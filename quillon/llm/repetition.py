@@ -21,7 +21,7 @@ RULES = {"line": 0.30, "top_2": 0.20, "top_3": 0.18, "top_4": 0.16, "in_5": 0.15
 
 def _repeats(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by key, and the first place and size of each run of equals in that order."""
-    order = np.argsort(key)
+    order = np.argsort(key, kind="stable")
     start = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, np.int64)
     return order, start, np.diff(np.append(start, len(key)))
 
@@ -30,8 +30,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The share named by each rule, for each text; 0 where a text has no words."""
     n = len(offsets) - 1
     w = X.words(data, offsets)
-    chars = np.append(0, np.cumsum((data & 0xC0) != 0x80))
-    size = chars[w.end] - chars[w.start]
+    size = X.characters(data, w.start, w.end)
     upto = np.append(0, np.cumsum(size))
     total = np.maximum(upto[w.first[1:]] - upto[w.first[:-1]], 1)
     out = {rule: np.zeros(n) for rule in RULES}
@@ -59,9 +58,12 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
             continue
         order, start, count = _repeats(X.grams(w.hash, k)[own] ^ salt[own])
         if kind == "top":
-            run = np.flatnonzero(count > 1)
-            at = own[order[start[run]]]
-            np.maximum.at(out[rule], w.doc[at], count[run] * (upto[at + k] - upto[at]) / total[w.doc[at]])
+            at = own[order]
+            begin = at.copy()
+            begin[1:] = np.where(np.repeat(np.arange(len(start)), count)[1:] == np.repeat(np.arange(len(start)), count)[:-1], np.maximum(at[1:], at[:-1] + k), at[1:])
+            covered = np.add.reduceat(upto[at + k] - upto[begin], start)[count > 1]
+            doc = w.doc[at[start[count > 1]]]
+            np.maximum.at(out[rule], doc, covered / total[doc])
         else:
             begins = np.zeros(m + 1, np.int64)
             begins[own[order[np.repeat(count > 1, count)]] + 1] = 1
@@ -85,9 +87,10 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Words are parted by ASCII white space; characters are those of words. line: inside lines
     whose words occur in another line of the text; in_n: inside n-grams that occur more
-    than once; top_n: all occurrences of the repeated n-gram that has most (they may
-    overlap, so it can exceed 1). keep: no rule is broken. Null and empty texts have shares of 0
-    and are kept; null ids stay; an empty table gives no rows.
+    than once; top_n: inside the one repeated n-gram that covers most. keep: no rule is broken. Null and
+    empty texts have shares of 0 and are kept; a text of any length is measured whole, in memory of some
+    fifteen times its size; null ids stay, rows that repeat are measured each, other columns are
+    ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_batches, "doc_id long, " + ", ".join(f"{r} double" for r in RULES) + ", keep boolean")

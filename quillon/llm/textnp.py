@@ -136,3 +136,10 @@ def grams(word_hash: np.ndarray, n: int) -> np.ndarray:
     total = np.zeros(len(word_hash) + 1, _U)
     np.cumsum(word_hash * _power(_BASE, len(word_hash)), dtype=_U, out=total[1:])
     return mix((total[n:] - total[:-n]) * _power(_INVERSE, len(word_hash))[: len(word_hash) - n + 1], n)
+
+
+def characters(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """UTF-8 characters of each span."""
+    chars = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=chars[1:], dtype=chars.dtype)
+    return (chars[end] - chars[start]).astype(np.int64)

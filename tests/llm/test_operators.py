@@ -726,7 +726,10 @@ def brute_repetition(text):
         runs = [tuple(words[k : k + n]) for k in range(len(words) - n + 1)]
         c = Counter(runs)
         if kind == "top":
-            out[rule] = max([v * sum(map(len, g)) for g, v in c.items() if v > 1], default=0) / total
+            inside = defaultdict(set)
+            for k, g in enumerate(runs):
+                inside[g].update(range(k, k + n))
+            out[rule] = max([sum(len(words[k]) for k in inside[g]) for g, v in c.items() if v > 1], default=0) / total
         else:
             inside = {k + d for k, g in enumerate(runs) if c[g] > 1 for d in range(n)}
             out[rule] = sum(len(words[k]) for k in inside) / total
@@ -747,6 +750,9 @@ def test_repetition_against_brute_force(spark):
 
 
 def test_repetition_odd(odd, empty):
+    rows = {r["doc_id"]: r for r in repetition.repetition(odd).collect()}
+    assert all(r[k] == 0 for i in (1, 2, 3) for r in [rows[i]] for k in repetition.RULES) and all(rows[i]["keep"] for i in (1, 2, 3, 6))
+    assert {k: rows[5][k] for k in repetition.RULES} == {k: rows[4][k] for k in repetition.RULES} == pytest.approx(brute_repetition(odd_rows()[3][1]), abs=1e-6)
     assert repetition.repetition(odd).count() == len(odd_rows()) and repetition.repetition(empty).count() == 0
 
 

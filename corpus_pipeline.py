@@ -1,7 +1,8 @@
 """From raw documents to token ids: reject bad documents, drop exact and near copies, mix sources, encode.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as
-the next stage's docs. All but the last keep the columns of documents.
+the next stage's docs. All but the last keep the columns of docs, whatever else those hold. Texts of any
+length go through whole; an empty table stays empty. Nulls, ties and repeated rows are as each stage says.
 """
 
 from __future__ import annotations
@@ -20,31 +21,35 @@ from quillon.session import discard, materialize, ship, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the attention-based classifier doesn't reject."""
+    """Documents that the attention-based classifier doesn't reject. Null and empty texts go; null ids and repeated rows are judged like others."""
     ship(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text, with the least id. Rows whose id or text is null stay; of rows that share both one stays."""
     ship(spark)
     return drop_repeats(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, with the least id. Null and empty texts are alone; null ids stay; rows that share an id share its fate."""
     ship(spark)
     return drop_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many tokens as came in, the same for each source: whole epochs, then a weighted sample."""
+    """As many tokens as came in, the same for each source: whole epochs, then a weighted sample.
+
+    A null source is one of its own; texts without tokens come with whole epochs alone; equal keys go by id;
+    repeated rows are one document.
+    """
     ship(spark)
     return mix_sources(docs, quality=quality_weights(table(spark, sf_dir, "labels")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row."""
+    """Token ids of each row, repeated ones too; null and empty texts have none."""
     ship(spark)
     return encode(docs)
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.regex import full_match
 from quillon.functions.snippet import analyze
 from quillon.functions.text import byte_view, edit_distance, fold_py
 
@@ -19,6 +20,11 @@ def prefix_terms(lexicon: DataFrame, prefix: str, most: int) -> DataFrame:
     return found.orderBy(F.concat("term", F.lit(_LAST)).desc()).limit(most)
 
 
+def accepted_terms(lexicon: DataFrame, pattern: str) -> DataFrame:
+    """The terms that an automaton accepts whole, of the byte regex dialect."""
+    return lexicon.filter(full_match(F.col("term"), pattern))
+
+
 def prefix_suggest(lexicon: DataFrame, prefix: str, k: int = 10, exact: bool = False) -> DataFrame:
     """(term, doc_freq, edit_distance, score): of the first 2k terms with the prefix (all, if exact) the k most frequent."""
     if not prefix:

@@ -25,15 +25,17 @@ def substring_search(corpus: DataFrame, pattern: str, k: int = 10, straddling: b
     if not pattern:
         return corpus.select("ord", F.lit(0).cast("long").alias("score")).filter("false")
     whole = F.concat("title", "text")
-    if straddling:
-        # every document hands its beginning to as many before it as a match can reach back over
-        heads = corpus.select("ord", F.substring(whole, 1, len(pattern) - 1).alias("head"), F.explode(F.sequence(F.lit(1), F.lit(max(1, len(pattern) - 1)))).alias("j"))
+    rows = corpus.filter(F.contains(whole, F.lit(pattern))).select("ord", overlapping(whole, pattern).cast("long").alias("score"))
+    if straddling and len(pattern) > 1:
+        # ends and beginnings alone are moved: every document hands its beginning to as many before it as a match can reach back over
+        reach = len(pattern) - 1
+        ends = corpus.select("ord", F.substring(whole, 1, reach).alias("head"), F.right(whole, F.lit(reach)).alias("tail"))
+        heads = ends.select("head", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("j"), "ord").filter("head <> ''")
         after = heads.groupBy((F.col("ord") - F.col("j")).alias("ord")).agg(F.array_sort(F.collect_list(F.struct("j", "head"))).alias("x"))
-        after = after.select("ord", F.substring(F.array_join(F.transform("x", lambda x: x["head"]), ""), 1, len(pattern) - 1).alias("after"))
-        rows = corpus.join(after, "ord", "left").select("ord", F.concat(whole, F.coalesce("after", F.lit(""))).alias("t"))
-    else:
-        rows = corpus.select("ord", whole.alias("t"))
-    rows = rows.filter(F.contains("t", F.lit(pattern))).select("ord", overlapping(F.col("t"), pattern).cast("long").alias("score"))
+        after = after.select("ord", F.substring(F.array_join(F.transform("x", lambda x: x["head"]), ""), 1, reach).alias("after"))
+        over = F.concat("tail", "after")
+        crossing = ends.filter("tail <> ''").join(after, "ord").filter(F.contains(over, F.lit(pattern))).select("ord", overlapping(over, pattern).cast("long").alias("score"))
+        rows = rows.union(crossing).groupBy("ord").agg(F.sum("score").alias("score"))
     return rows.orderBy(F.desc("score"), "ord").limit(k)
 
 

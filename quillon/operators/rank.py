@@ -226,16 +226,38 @@ def disjunction_pruned(index: Index, terms: list[str], k: int, least: int = LEAS
     return best_of_one(hits(inside(keep) if n[reach].sum() <= 0.5 * n.sum() else postings), k)
 
 
-def simple_bm25(corpus: DataFrame, query: str, k: int = 15, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """(ord, score): the plain engine: [a-z0-9]+ words of lower-cased text, OR only, repeated query words count again."""
+def simple_tokens(corpus: DataFrame) -> DataFrame:
+    """(ord, w): the plain engine's words, [a-z0-9]+ of lower-cased title and text."""
+    return corpus.select("ord", F.regexp_extract_all(F.lower(F.concat_ws(" ", "title", "text")), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
+
+
+def simple_bm25(corpus: DataFrame, query: str, k: int = 15, k1: float = 0.9, b: float = 0.4, fuzzy: bool = False) -> DataFrame:
+    """(ord, score): the plain engine: OR only, repeated query words count again.
+
+    fuzzy: a word that no document has stands for the first word of the corpus, in order of
+    documents and places, within an edit distance of 2.
+    """
     import re
 
-    words = re.findall("[a-z0-9]+", query.lower())
-    asked = corpus.sparkSession.createDataFrame([(w, float(words.count(w))) for w in dict.fromkeys(words)], "term string, times double")
-    tokens = corpus.select("ord", F.regexp_extract_all(F.lower(F.concat_ws(" ", "title", "text")), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
+    words, spark = re.findall("[a-z0-9]+", query.lower()), corpus.sparkSession
+    asked = F.broadcast(spark.createDataFrame([(w, float(words.count(w))) for w in dict.fromkeys(words)], "asked string, times double"))  # the query's words
+    tokens = simple_tokens(corpus)
+    if fuzzy:
+        each = tokens.select("ord", F.posexplode("w").alias("pos", "term"))
+        near = each.join(asked, F.levenshtein("term", "asked", 2) >= 0)
+        first = near.groupBy("asked", "times").agg(F.min(F.struct((F.col("term") != F.col("asked")).alias("other"), "ord", "pos", "term")).alias("f"))
+        asked = F.broadcast(first.groupBy(F.col("f.term").alias("term")).agg(F.sum("times").alias("times")))  # the query's words
+    else:
+        asked = asked.withColumnRenamed("asked", "term")
     stats = tokens.agg(F.count("*").alias("total_docs"), F.avg(F.size("w")).alias("avg_doc_len"))
     found = tokens.select("ord", F.size("w").alias("length"), F.explode("w").alias("term")).join(F.broadcast(asked), "term").groupBy("ord", "length", "term", "times").agg(F.count("*").alias("tf"))  # the query's words
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     scored = found.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # the query's words; one row
     part = F.col("times") * bm25(F.col("tf"), F.col("length"), F.col("avg_doc_len"), idf(F.col("df"), F.col("total_docs")), k1, b)
     return scored.groupBy("ord").agg(F.round(F.sum(part), DIGITS).alias("score")).orderBy(F.desc("score"), "ord").limit(k)
+
+
+def simple_suggest(corpus: DataFrame, prefix: str, k: int = 8) -> DataFrame:
+    """(term, doc_freq, edit_distance): the plain engine's first words with a prefix, by spelling."""
+    words = simple_tokens(corpus).select("ord", F.explode(F.array_distinct("w")).alias("term")).filter(F.col("term").startswith(prefix.lower()))
+    return words.groupBy("term").agg(F.count("*").alias("doc_freq")).orderBy("term").limit(k).withColumn("edit_distance", F.lit(0))

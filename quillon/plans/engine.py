@@ -32,8 +32,25 @@ class SearchResult:
 
 
 class Searcher:
-    def __init__(self, index: Index) -> None:
-        self.index, self.started = index, time.time()
+    """straddling: substrings may begin in one document and end in the next. A closed searcher raises."""
+
+    def __init__(self, index: Index, straddling: bool = False) -> None:
+        self._index, self.straddling, self.started = index, straddling, time.time()
+
+    @property
+    def index(self) -> Index:
+        if self._index is None:
+            raise RuntimeError("the index is closed")
+        return self._index
+
+    def close(self) -> None:
+        self._index = None
+
+    def __enter__(self) -> Searcher:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
     @property
     def total_docs(self) -> int:
@@ -69,7 +86,7 @@ class Searcher:
         begun = time.time()
         way = route(query, max_fuzzy if mode != "fuzzy" else max_fuzzy or 2)
         if mode == "substring":
-            result = SearchResult("substring", self._numbered(patterns.substring_search(self.index.corpus, query, k)))
+            result = SearchResult("substring", self._numbered(patterns.substring_search(self.index.corpus, query, k, self.straddling)))
         elif mode == "regex" or way.mode == "regex":
             pattern = way.query if way.mode == "regex" else query
             result = SearchResult("regex", self._numbered(patterns.regex_search(self.index.corpus, pattern, k)))

@@ -373,6 +373,25 @@ def simple_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.simple_bm25(corpus_of(table(spark, sf_dir, "documents")), "tion nd tion")
 
 
+_SIMPLE = f"""{_DOCS}, w AS (SELECT ord, regexp_extract_all(lower(title || ' ' || text), '[a-z0-9]+') AS w FROM docs),
+s AS (SELECT count(*) AS n, avg(len(w)) AS average FROM w), e AS (SELECT ord, len(w) AS length, unnest(w) AS term, unnest(range(len(w))) AS pos FROM w)"""
+
+
+@query(f"""WITH {_SIMPLE}, q AS (SELECT unnest(['tionxq', 'thwhatx', 'nd']) AS asked),
+c AS (SELECT asked, term, row_number() OVER (PARTITION BY asked ORDER BY term <> asked, ord, pos) AS r FROM q JOIN e ON levenshtein(term, asked) <= 2),
+t AS (SELECT term, count(*) AS times FROM c WHERE r = 1 GROUP BY term),
+f AS (SELECT ord, length, term, times, count(*) AS tf FROM e JOIN t USING (term) GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM f GROUP BY term)
+SELECT ord, round(sum(times * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 1.9::DOUBLE) / (tf + 0.9::DOUBLE * (0.6::DOUBLE + 0.4::DOUBLE * length / average))), 6) AS score
+FROM f JOIN d USING (term), s GROUP BY ord ORDER BY score DESC, ord LIMIT 15""")
+def simple_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.simple_bm25(corpus_of(table(spark, sf_dir, "documents")), "tionxq thwhatx nd", fuzzy=True)
+
+
+@query(f"WITH {_SIMPLE} SELECT term, count(DISTINCT ord) AS doc_freq, 0::INT AS edit_distance FROM e WHERE starts_with(term, 'in') GROUP BY term ORDER BY term LIMIT 8")
+def simple_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.simple_suggest(corpus_of(table(spark, sf_dir, "documents")), "IN")
+
+
 # --- lexical ---
 
 
@@ -417,6 +436,11 @@ def fuzzy_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("slot").agg(F.count("*").alias("n"), F.min("edit_distance").alias("least"))
 
 
+@query(f"{_base()} SELECT term, df AS doc_freq FROM freq WHERE regexp_full_match(term, '(th|wh)[aeiou]+(n|ts?)?')")
+def lexicon_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.accepted_terms(index_for(spark, sf_dir).lexicon, "(th|wh)[aeiou]+(n|ts?)?").select("term", "doc_freq")
+
+
 # --- patterns ---
 
 
@@ -435,6 +459,14 @@ def substring_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.substring_search(index_for(spark, sf_dir).corpus, "inin", 20)
 
 
+@query(f"""WITH {_DOCS}, j AS (SELECT ord, text, coalesce(substr(string_agg(substr(text, 1, 2), '') OVER (ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), 1, 2), '') AS after FROM docs),
+c AS (SELECT ord, len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 3) = '.Th' OR (i > length(text) - 2 AND substr(right(text, 2) || after, i - greatest(length(text) - 2, 0), 3) = '.Th')))::BIGINT AS score FROM j WHERE contains(text || after, '.Th'))
+SELECT ord, score FROM c ORDER BY score DESC, ord LIMIT 20""")
+def substring_straddling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts end in a full stop and begin with a capital: these matches lie over the boundaries."""
+    return patterns.substring_search(index_for(spark, sf_dir).corpus, ".Th", 20, straddling=True)
+
+
 @query(f"""WITH {_DOCS}, b AS (SELECT ord, encode(text) AS v FROM docs WHERE contains(text, 'License')),
 o AS (SELECT ord, text, unnest(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 7) = 'License')) AS i FROM docs WHERE contains(text, 'License'))
 SELECT ord, strlen(substr(text, 1, i - 1))::BIGINT AS at FROM o""")

@@ -17,14 +17,26 @@ def parse_json_lines(lines: DataFrame, value: str, order: str) -> DataFrame:
 
     Blank lines are skipped, and lines with neither id nor text. Missing titles and texts are
     empty; an id that doesn't begin with digits, or is 0, becomes ord + 1. Other fields are ignored.
+    Of a line that is no valid JSON the fields are taken as they can be found.
     """
-    held = lines.filter(F.trim(F.col(value)) != "").select(order, F.from_json(F.col(value), _FIELDS).alias("j"))
-    held = held.select(order, F.coalesce("j.id", F.lit("")).alias("id"), F.coalesce("j.title", F.lit("")).alias("title"), F.coalesce("j.text", F.lit("")).alias("text"))
+    read = F.from_json(F.col(value), f"{_FIELDS}, bad string", {"columnNameOfCorruptRecord": "bad"})
+    held = lines.filter(F.trim(F.col(value)) != "").select(order, value, read.alias("j"))
+    field = lambda name: F.coalesce(F.when(F.col("j.bad").isNotNull(), _found(F.col(value), name)).otherwise(F.col(f"j.{name}")), F.lit("")).alias(name)
+    held = held.select(order, field("id"), field("title"), field("text"))
     rows = numbered(held.filter("id <> '' or text <> ''"), order, "ord")
     given = F.expr("try_cast(nullif(regexp_extract(id, '^[0-9]+', 0), '') as bigint)")
     return rows.select(F.col("ord").cast("long").alias("ord"), F.coalesce(F.nullif(given, F.lit(0)), F.col("ord") + 1).cast("long").alias("ext_id"), "title", "text")
 
 
+def _found(line: Column, name: str) -> Column:
+    """A field of a line that may be cut off or malformed elsewhere: a quoted string, else what stands up to a comma, brace or blank."""
+    head = r'(?s)(?:^|[{,])[ \t\r\n]*"' + name + r'"[^:]*:[ \t\r\n]*'
+    quoted = F.regexp_extract(line, head + r'"((?:[^"\\]|\\.)*)"', 1)
+    whole = F.from_json(F.concat(F.lit('{"v":"'), quoted, F.lit('"}')), "v string")["v"]
+    bare = F.regexp_extract(line, head + r'([^" \t\r\n,}][^,}\r\n ]*)', 1)
+    return F.when(quoted != "", F.coalesce(whole, quoted)).otherwise(bare)
+
+
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """A JSON-lines file or folder as a corpus, in file and line order."""
     lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id().alias("line")).alias("at"))

@@ -289,6 +289,36 @@ def test_succinct(spark):
     assert sel == {1: 0, 2: 3, 3: 5, 4: 7, 5: 10}
 
 
+def test_malformed_json_lines(spark):
+    lines = ['{"id": 7, "title": "a \\"b\\"", "text": "cut off \\u00e9", "more": ', '{"id": "8", "text": "no brace"', 'nothing here', '{"text": "x", "id": 9,}', '{"id": 0, "text": "fine"}']
+    rows = corpora.parse_json_lines(spark.createDataFrame(list(enumerate(lines)), "n int, value string"), "value", "n")
+    assert [tuple(r) for r in rows.orderBy("ord").collect()] == [(0, 7, 'a "b"', "cut off é"), (1, 8, "", "no brace"), (2, 9, "", "x"), (3, 4, "", "fine")]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quillon.__main__ import main
+
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps({"id": i, "title": t, "text": x}) + "\n" for i, t, x in TINY))
+    run = lambda *args: (main(list(args)), json.loads(capsys.readouterr().out))
+    assert run("index", "-i", str(tmp_path / "a.jsonl"), "-o", str(tmp_path / "x"))[1]["total_docs"] == 5
+    assert run("stats", "-i", str(tmp_path / "x"))[1]["total_docs"] == 5
+    found = run("search", "-i", str(tmp_path / "x"), "-q", "wavelet tree")
+    assert found[0] == 0 and [h["title"] for h in found[1]["hits"]] == ["Wavelets"]
+    assert run("suggest", "-i", str(tmp_path / "x"), "-p", "suff")[1]["suggestions"]
+
+
+def test_closed_searcher(tiny):
+    with Searcher(tiny) as opened:
+        assert opened.total_docs == 5
+    with pytest.raises(RuntimeError):
+        opened.search("rank")
+
+
+def test_terms_of_an_automaton(spark):
+    lexicon = spark.createDataFrame([(t,) for t in ("a", "ab", "abab", "abc", "", None)], "term string")
+    assert [r["term"] for r in lexical.accepted_terms(lexicon, "(ab)+").collect()] == ["ab", "abab"]
+
+
 def test_json_lines(spark, tmp_path):
     lines = [r'{"id": 7, "title": "A", "text": "café 😀 \"q\"", "x": [1]}', "", "   ", '{"title": "no id or text"}', '{"text": "only text"}', '{"id": "abc", "text": "bad id"}', '{"id": "12", "text": ""}']
     (tmp_path / "a.jsonl").write_text("\n".join(lines))

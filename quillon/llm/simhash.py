@@ -13,8 +13,8 @@ Documents of one fingerprint and one MinHash sketch are one point of the search.
 the edges of a spanning forest of the points within MOST_BITS of each other whose word sets are
 alike by their sketches, which go to the bucket with them, and not all pairs, so groups of
 thousands of copies stay linear; equal fingerprints alone join nothing. A large bucket is split by
-the sketches' positions that tell its points apart best, as alike sketches agree in one of any
-SKETCH - LEAST_EQUAL + 1. Groups are connected components.
+its points' rarest minima, as alike sketches agree in one of the SKETCH - LEAST_EQUAL + 1 that come first
+in any order. Groups are connected components.
 """
 
 from __future__ import annotations
@@ -45,6 +45,10 @@ _SHUFFLED = [_rng.permutation(SEGMENTS * BITS) for _ in range(LAYOUTS - 1)]
 GROUP_POINTS = 1 << 15
 #: Buckets up to _SMALL points compare all pairs at once, larger ones span a forest, above MANY by groups; the components are the same.
 _SMALL, MANY = 48, 2000
+#: Points of a forest that are compared with the rest at once, and near ones of each, on average, from which a component is grown.
+_BLOCK, _NEAR = 64, 16
+#: Pairs whose distances are held at once.
+_AT_ONCE = 1 << 20
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,39 +171,58 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).sum(1) >= (LEAST_EQUAL if b.shape[1] else 0)
 
 
-def forest(hi: np.ndarray, lo: np.ndarray, most: int = MOST_BITS, sketch: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Edges that span the components of the points at most `most` bits apart, and alike if sketches are given."""
-    left = np.arange(len(hi))
-    edges, queue = [], []
+def forest(hi: np.ndarray, lo: np.ndarray, most: int = MOST_BITS, sketch: np.ndarray | None = None) -> np.ndarray:
+    """(n, 2) edges that span the components of the points at most `most` bits apart, and alike if sketches are given.
+
+    Up to _BLOCK points are compared with all others at once: points with few near ones are then done. Where there
+    are many near ones, the component of one point is grown instead, and leaves the rest as a whole.
+    """
+    sketch = np.zeros((len(hi), 0), np.uint16) if sketch is None else sketch
+    left, size = np.arange(len(hi)), _BLOCK
+    found = [np.zeros((0, 2), np.int64)]
+
+    def near(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.nonzero(distance(hi[x][:, None], lo[x][:, None], hi[left], lo[left]) <= most)
+
     while len(left):
-        if queue:
-            x = queue.pop()
-        else:
-            x, left = int(left[0]), left[1:]
-        near = distance(hi[x], lo[x], hi[left], lo[left]) <= most
-        if sketch is not None:
-            near[near] = alike(sketch[x], sketch[left[near]])
-        edges += [(x, int(y)) for y in left[near]]
-        queue += left[near].tolist()
-        left = left[~near]
-    return edges
-
-
-def split_forest(hi: np.ndarray, lo: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
-    """As forest, for many points that may be unlike: by groups that share one of SKETCH - LEAST_EQUAL + 1 minima."""
-    orders = np.argsort(sketch, axis=0, kind="stable")
-    groups = []
-    for k in range(SKETCH):
-        v = sketch[orders[:, k], k]
-        start = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-        size = np.diff(np.append(start, len(v)))
-        groups.append((int((size.astype(np.int64) ** 2).sum()), k, start[size > 1], size[size > 1]))
-    edges = []
-    for _, k, start, size in sorted(groups, key=lambda x: x[:2])[: SKETCH - LEAST_EQUAL + 1]:
-        for a, n in zip(start.tolist(), size.tolist()):
-            own = orders[a : a + n, k]
-            edges += [(int(own[x]), int(own[y])) for x, y in forest(hi[own], lo[own], sketch=sketch[own])]
-    return edges
+        size = min(size, max(1, _AT_ONCE // len(left)))
+        a, b = near(left[:size])
+        later = b > a
+        a, b = a[later], b[later]
+        if len(a) <= _NEAR * size:
+            same = alike(sketch[left[a]], sketch[left[b]])
+            found.append(np.stack([left[a[same]], left[b[same]]], 1))
+            left, size = left[size:], min(2 * size, _BLOCK)
+            continue
+        k = int(np.bincount(a).argmax())
+        queue, left, size = left[k : k + 1], np.delete(left, k), max(1, size // 4)
+        step = 1  # the first point reaches most of its component
+        while len(queue) and len(left):
+            x, queue = queue[:step], queue[step:]
+            a, b = near(x)
+            same = alike(sketch[x[a]], sketch[left[b]])
+            b, first = np.unique(b[same], return_index=True)
+            found.append(np.stack([x[a[same][first]], left[b]], 1))
+            queue, left = np.append(queue, left[b]), np.delete(left, b)
+            step = min(2 * step, _BLOCK, max(1, _AT_ONCE // max(1, len(left))))
+    return np.concatenate(found)
+
+
+def split_forest(hi: np.ndarray, lo: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """As forest, for many points that may be unlike: by groups that share one of their rarest minima.
+
+    In any order of the minima, of two sketches that agree in LEAST_EQUAL of SKETCH the first SKETCH - LEAST_EQUAL + 1
+    of each have one in common; the rarest come first, so that the minima of usual words bring no points together.
+    """
+    first = SKETCH - LEAST_EQUAL + 1
+    minimum = np.arange(SKETCH, dtype=np.int64) << 16 | sketch
+    count = np.bincount(minimum.ravel(), minlength=SKETCH << 16)
+    rare = np.partition(count[minimum] << 22 | minimum, first - 1, axis=1)[:, :first].ravel()
+    row = np.repeat(np.arange(len(hi)), first)[rare >> 22 > 1]
+    rare = rare[rare >> 22 > 1]
+    order = np.argsort(rare, kind="stable")
+    row, rare = row[order], rare[order]
+    return row[bucket_edges(rare, hi[row], lo[row], sketch, row, split=False)]
 
 
 def _sketches(batch: pa.RecordBatch) -> np.ndarray:
@@ -227,7 +250,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def bucket_edges(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, sketch: np.ndarray, row: np.ndarray, most: int = _SMALL) -> np.ndarray:
+def bucket_edges(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, sketch: np.ndarray, row: np.ndarray, most: int = _SMALL, split: bool = True) -> np.ndarray:
     """(n, 2) places within MOST_BITS and alike that span the groups of each run of equal keys; row has each place's sketch."""
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(key)))
@@ -244,8 +267,8 @@ def bucket_edges(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, sketch: np.nda
         found.append(np.stack([a[near], b[near]], 1))
     for k in np.flatnonzero(size > most):
         own = slice(start[k], start[k] + size[k])
-        span = split_forest if size[k] > MANY and sketch.shape[1] else forest
-        found.append(np.array(span(hi[own], lo[own], sketch=sketch[row[own]]), np.int64).reshape(-1, 2) + start[k])
+        span = split_forest if split and size[k] > MANY and sketch.shape[1] else forest
+        found.append(span(hi[own], lo[own], sketch=sketch[row[own]]) + start[k])
     return np.concatenate(found)
 
 

@@ -661,6 +661,29 @@ def test_groups_are_the_same_for_any_bucket_size(monkeypatch):
     assert own(1) == want
 
 
+def test_large_buckets_are_not_compared_pair_by_pair(monkeypatch):
+    """Unlike points share the minima of usual words, each in other positions; their copies alone are alike."""
+    rng = np.random.default_rng(8)
+    n = 6000
+    hi, lo = rng.integers(0, 1 << 46, (2, n))
+    sketch = rng.integers(0, 1 << 16, (n, simhash.SKETCH)).astype(np.uint16)
+    usual = rng.random(sketch.shape) < 0.3
+    usual &= np.cumsum(usual, axis=1) < simhash.LEAST_EQUAL  # alone they make no pair alike
+    sketch[usual] = np.broadcast_to(np.arange(simhash.SKETCH, dtype=np.uint16), sketch.shape)[usual]
+    hi[n // 2 :], lo[n // 2 :], sketch[n // 2 :] = hi[: n // 2], lo[: n // 2] ^ 1, sketch[: n // 2]
+    sketch[n // 2 :, ::3] = rng.integers(0, 1 << 16, sketch[n // 2 :, ::3].shape)
+    compared, plain = [], simhash.distance
+
+    def distance(*x):
+        compared.append(np.broadcast(*x).size)
+        return plain(*x)
+
+    monkeypatch.setattr(simhash, "distance", distance)
+    edges = simhash.bucket_edges(np.zeros(n, np.int64), hi, lo, sketch, np.arange(n))
+    assert {(int(min(e)), int(max(e))) for e in edges} == {(k, k + n // 2) for k in range(n // 2)}
+    assert sum(compared) < 50 * n
+
+
 def test_equal_fingerprints_of_unlike_texts(spark):
     """A word that outweighs the rest gives unlike texts the same bits; only their copies are joined."""
     tail = lambda k, n=19: " ".join(f"t{k}x{j}" for j in range(n))

@@ -3,19 +3,22 @@
 Seeds are the terms whose labelled documents are toxic, or clean, far more often than
 chance. Two walks with restart start from them over the graph whose edge weights are
 positive pointwise mutual information of words within WINDOW places, counted over all
-documents. A walk pushes mass only from words that hold enough of it, so co-occurrences are
-counted for those words alone. A word's polarity compares the mass of both walks with each other
+documents and for all words of the vocabulary. A walk pushes mass from every word, until
+hardly any moves. A word's polarity compares the mass of both walks with each other
 and with its share of the corpus, and is scaled by its labelled documents' toxic share, as
 a rare word near a seed is no evidence; documents are scored by their words' polarity. Words
 with few labelled documents or none are judged once more, by all their documents: those
 without label count as what the words found so far make of them.
 
-Vocabulary, edges and mass are tables, and a step of the walks is a join with the edges; the
-driver holds the seeds, the words that push mass, and those of the least polarity.
+Vocabulary and edges are tables. A step of the walks multiplies the edges, where they are, by the words'
+mass, which goes to the tasks and comes back as a row a word; the driver holds hash, count and
+mass of each word of the vocabulary, some 50 bytes each, and the words of the least polarity.
 """
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +37,15 @@ LEAST_EDGE = 0.0
 #: Labelled documents, at most, from which seeds and the score's threshold are taken.
 SAMPLE = 20_000
 SEED_Z, SEED_ODDS = 3.5, 2.0
-RESTART, ROUNDS, LEAST_MASS = 0.4, 2, 1e-3
+#: The walks push mass from every word that holds any (no least mass), ROUNDS times: 0.05 % of it is then still moving, and stays where it is.
+RESTART, ROUNDS, LEAST_MASS = 0.4, 14, 0.0
 LEAST_POLARITY = 0.5
 #: A word's polarity is scaled by the toxic share of its labelled documents, with this many of average toxicity added; with fewer labelled ones, of all its documents.
 PRIOR = 6.0
 #: Pairs that a task holds before it hands on their counts.
-_PAIRS = 1 << 20
+_PAIRS = 1 << 22
+#: Pairs are counted in so many passes over the documents, each for a share of the words, as the disk holds not all of them at once.
+PASSES = 4
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -127,93 +133,207 @@ def seeds(t: np.ndarray, n: np.ndarray, C: int, T: int) -> tuple[np.ndarray, np.
     return bad, good[np.argsort(z[good], kind="stable")[: max(50, len(bad))]]
 
 
-def _count_pairs(known: np.ndarray, active: np.ndarray):  # noqa: ANN202
-    def together(codes: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-        code, inverse = np.unique(np.concatenate(codes), return_inverse=True)
-        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.bincount(inverse, np.concatenate(counts), len(code)).astype(np.int64))], ["code", "n"])
+def _together(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, sorted, and the sums of their counts."""
+    code, count = np.concatenate([np.zeros(0, np.int64), *codes]), np.concatenate([np.zeros(0, np.int64), *counts])
+    order = np.argsort(code, kind="stable")  # merges runs that are sorted
+    code, count = code[order], count[order]
+    at = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+    return code[at], np.add.reduceat(count, at) if len(at) else count
+
+
+def _count_pairs(known: np.ndarray, active: np.ndarray, once: bool = False):  # noqa: ANN202
+    """(code, n): how often the active word a and the word b are near each other, by a * len(known) + b; with `once` for a < b alone."""
+    n = len(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(known)
         is_active = np.zeros(n + 1, bool)
         is_active[active] = True
+        raw, size, codes, counts = [], 0, [], []
+
+        def fold() -> None:
+            code = np.concatenate(raw)
+            code.sort()
+            at = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            codes.append(code[at])
+            counts.append(np.diff(np.append(at, len(code))))
+            raw.clear()
+
         for batch in batches:
-            codes, counts, size = [], [], 0
             for _, _, _, w in _each(batch.column(0), X.SLICE_BYTES // 4):
-                place = _places(w.hash, known)
-                every = np.flatnonzero(is_active[place])
-                for k in range(0, len(every), 20_000):
-                    centre = every[k : k + 20_000]
-                    near = centre[:, None] + np.concatenate([np.arange(-WINDOW, 0), np.arange(1, WINDOW + 1)])[None, :]
-                    inside = (near >= w.first[w.doc[centre]][:, None]) & (near < w.first[w.doc[centre] + 1][:, None])
-                    a, b = np.broadcast_to(place[centre][:, None], near.shape)[inside], place[near[inside]]
-                    code, count = np.unique((a * n + b)[b >= 0], return_counts=True)
-                    codes.append(code)
-                    counts.append(count)
-                    size += len(code)
-                    if size > _PAIRS:
-                        yield together(codes, counts)
-                        codes, counts, size = [], [], 0
-            if size:
-                yield together(codes, counts)
+                if not len(w.hash):
+                    continue
+                place = np.full(len(w.hash) + WINDOW * (int(w.doc[-1]) + 1), -1, np.int32)  # no window reaches another text
+                place[np.arange(len(w.hash)) + WINDOW * w.doc] = _places(w.hash, known)
+                for shift in range(1, WINDOW + 1):
+                    a, b = place[:-shift], place[shift:]
+                    if once:
+                        a, b = np.minimum(a, b), np.maximum(a, b)
+                        own = np.flatnonzero(is_active[a] & (a < b))
+                        raw.append(a[own].astype(np.int64) * n + b[own])
+                        size += len(own)
+                    else:
+                        for x, y in ((a, b), (b, a)):
+                            own = np.flatnonzero(is_active[x] & (y >= 0))
+                            raw.append(x[own].astype(np.int64) * n + y[own])
+                            size += len(own)
+                if size > _PAIRS:
+                    fold()
+                    size = 0
+                    if sum(map(len, codes)) > 2 * _PAIRS:
+                        code, count = _together(codes, counts)
+                        codes, counts = [code], [count]
+                        if len(code) > _PAIRS:
+                            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(count)], ["code", "n"])
+                            codes, counts = [], []
+        if size:
+            fold()
+        if codes:
+            code, count = _together(codes, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(count)], ["code", "n"])
 
     return run
 
 
-def _count_neighbours(active: np.ndarray, usual: np.ndarray):  # noqa: ANN202
-    """(a, b, n): how often each word but the usual ones is near an active word, by hash; counted within the batch's own vocabulary."""
+def _pack(code: np.ndarray, count: np.ndarray) -> bytes:
+    """Sorted codes and counts, in some 3 bytes a pair."""
+    gap = np.diff(code, prepend=0)
+    wide, many = gap >= 0xFFFF, count >= 0xFF
+    head = np.array([len(code), wide.sum()], np.int64)
+    return b"".join(x.tobytes() for x in (head, gap[wide], count[many].astype(np.int64), np.where(wide, 0xFFFF, gap).astype(np.uint16), np.where(many, 0xFF, count).astype(np.uint8)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, wide = np.frombuffer(packed, np.int64, 2).tolist()
+    gap, count = np.frombuffer(packed, np.uint16, n, len(packed) - 3 * n).astype(np.int64), np.frombuffer(packed, np.uint8, n, len(packed) - n).astype(np.int64)
+    gap[gap == 0xFFFF] = np.frombuffer(packed, np.int64, wide, 16)
+    many = count == 0xFF
+    count[many] = np.frombuffer(packed, np.int64, int(many.sum()), 16 + 8 * wide)
+    return np.cumsum(gap), count
+
+
+def graph(docs: DataFrame, h: np.ndarray, n: np.ndarray, total: int) -> DataFrame:
+    """Packed (a * len(h) + b, occurrences) of every edge a < b: 3 or more occurrences and positive PMI. h (sorted) and n: the words and their counts."""
+    spark, size = docs.sparkSession, max(1, len(h))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = tasks * 8 if tasks <= 128 else tasks
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts, held = [], [], 0
         for batch in batches:
-            own = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(w.hash) for *_, w in _each(batch.column(0)))]))
-            own = np.setdiff1d(own, usual, assume_unique=True)
-            at = _places(active, own)
-            for found in _count_pairs(own, at[at >= 0])(iter([batch])):
-                code = found.column(0).to_numpy()
-                h = own.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h[code // max(1, len(own))]), pa.array(h[code % max(1, len(own))]), found.column(1)], ["a", "b", "n"])
+            for packed in batch.column(0).to_pylist():
+                code, count = _unpack(packed)
+                codes.append(code)
+                counts.append(count)
+                held += len(code)
+            if held > 4 * _PAIRS:
+                code, count = _together(codes, counts)
+                codes, counts, held = [code], [count], 0
+        code, count = _together(codes, counts)
+        good = count >= 3
+        code, count = code[good], count[good]
+        good = _ppmi(code, count, n, total) > 0
+        code, count = code[good], count[good]
+        if len(code):
+            yield pa.RecordBatch.from_arrays([pa.array([_pack(code[i : i + _PAIRS], count[i : i + _PAIRS]) for i in range(0, len(code), _PAIRS)], pa.binary())], ["edges"])
+
+    edges = None
+    for k in range(PASSES):
+        count_pairs = _count_pairs(h, np.arange(k, len(h), PASSES), once=True)
+
+        def send(batches: Iterator[pa.RecordBatch], count_pairs=count_pairs) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            for found in count_pairs(batches):
+                code, count = found.column(0).to_numpy(), found.column(1).to_numpy()
+                part = code // size // PASSES % parts
+                order = np.argsort(part, kind="stable")
+                part, code, count = part[order], code[order], count[order]
+                at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                packed = [_pack(code[i:j], count[i:j]) for i, j in zip(at, np.append(at[1:], len(part)), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(packed, pa.binary())], ["part", "pairs"])
+
+        found = _rows(docs).select("text").mapInArrow(send, "part long, pairs binary").repartition(tasks, "part")
+        own, _ = materialize(found.select("pairs").mapInArrow(keep, "edges binary"), "walk-edges")
+        edges = own if edges is None else edges.union(own)
+        del found
+        for _ in range(2):  # the pass' shuffle files go once the driver has collected what refers to them
+            gc.collect()
+            spark._jvm.System.gc()
+            time.sleep(0.5)
+    return edges
+
+
+def _ppmi(code: np.ndarray, count: np.ndarray, n: np.ndarray, total: int) -> np.ndarray:
+    size = max(1, len(n))
+    return np.log(count * float(total) / (n[code // size].astype(float) * n[code % size] * (2 * WINDOW)))
+
+
+def step(edges: DataFrame, n: np.ndarray, total: int, x: np.ndarray) -> np.ndarray:
+    """The graph's matrix of PPMI times x, (words, columns)."""
+    columns = [f"x{j}" for j in range(x.shape[1])]
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(x.shape)
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                code, count = _unpack(packed)
+                ppmi, a, b = _ppmi(code, count, n, total), code // len(n), code % len(n)
+                for j in range(x.shape[1]):
+                    out[:, j] += np.bincount(b, ppmi * x[a, j], len(n)) + np.bincount(a, ppmi * x[b, j], len(n))
+        have = np.flatnonzero(out.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(have), *(pa.array(out[have, j]) for j in range(x.shape[1]))], ["i", *columns])
+
+    few = edges.coalesce(edges.sparkSession.sparkContext.defaultParallelism)  # each task hands on a row a word
+    got = few.mapInArrow(run, ", ".join(["i long", *(f"{c} double" for c in columns)])).groupBy("i").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+    out = np.zeros(x.shape)
+    for j, c in enumerate(columns):
+        out[got["i"].to_numpy(), j] = got[c].to_numpy()
+    return out
 
 
 def _table(docs: DataFrame, columns: dict[str, np.ndarray], schema: str) -> DataFrame:
     return docs.sparkSession.createDataFrame(pa.table(columns), schema)
 
 
-def transitions(docs: DataFrame, known: DataFrame, usual: np.ndarray, total: int, active: DataFrame, hashes: np.ndarray) -> DataFrame:
-    """(a, b, p): the steps that leave the active words: PPMI, scaled to sum to one."""
-    found = _rows(docs).select("text").mapInArrow(_count_neighbours(hashes, usual), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("seen")).filter("seen >= 3 and a <> b")
-    counts = known.select("h", "n")
-    found = found.join(counts.select(F.col("h").alias("b"), F.col("n").alias("b_n")), "b")
-    found = found.join(F.broadcast(active.join(counts, "h").select(F.col("h").alias("a"), F.col("n").alias("a_n"))), "a")
-    ppmi = F.log(F.col("seen") * F.lit(float(total)) / (F.col("a_n").cast("double") * F.col("b_n") * F.lit(2 * WINDOW)))
-    edges, _ = materialize(found.select("a", "b", ppmi.alias("ppmi")).filter("ppmi > 0"), "walk-edges")
-    whole = edges.groupBy("a").agg(F.sum("ppmi").alias("whole"))  # a row for each active word
-    return edges.join(F.broadcast(whole), "a").select("a", "b", (F.col("ppmi") / F.col("whole")).alias("p"))
-
-
-def polarity(docs: DataFrame, known: DataFrame, usual: np.ndarray, total: int, bad: np.ndarray, good: np.ndarray) -> DataFrame:
-    """(h, word, polarity): -1 to 1 for each word that a walk reaches; bad and good are hashes."""
-    h = np.union1d(bad, good)
-    start = [np.isin(h, x) / max(1, len(x)) for x in (bad, good)]
-    moving = _table(docs, {"h": h.view(np.int64), "bad": start[0], "good": start[1]}, "h long, bad double, good double")
-    mass, edges, done = [moving.select("h", *(F.col(x) * RESTART for x in ("bad", "good")))], None, np.zeros(0, np.uint64)
-    moving = moving.select("h", *((F.col(x) * (1 - RESTART)).alias(x) for x in ("bad", "good")))
-    for round_ in range(ROUNDS):
-        active = moving.filter(F.greatest("bad", "good") >= (LEAST_MASS if round_ else 1e-12)).toArrow()  # all seeds, then at most 2 / LEAST_MASS words
-        new = np.setdiff1d(_hashes(active["h"]), done)
-        if len(new):
-            own = transitions(docs, known, usual, total, _table(docs, {"h": new.view(np.int64)}, "h long"), new)
-            edges, done = own if edges is None else edges.union(own), np.union1d(done, new)
-        active = docs.sparkSession.createDataFrame(active, moving.schema).withColumnRenamed("h", "a")
-        step = edges.join(F.broadcast(active), "a").groupBy(F.col("b").alias("h")).agg(*(F.sum(F.col(x) * F.col("p")).alias(x) for x in ("bad", "good")))
-        step, _ = materialize(step, "walk-mass")
-        mass.append(step.select("h", *(F.col(x) * RESTART for x in ("bad", "good"))))
-        moving = step.select("h", *((F.col(x) * (1 - RESTART)).alias(x) for x in ("bad", "good")))
-    every = moving
-    for part in mass:
-        every = every.union(part)
-    every = every.groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).join(known, "h")
-    return every.select("h", "word", ((F.col("bad") - F.col("good")) / (F.col("bad") + F.col("good") + F.col("n") / F.lit(float(max(1, total))))).alias("polarity"))
+def _words(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the graph's words: 16 bytes each."""
+    got = known.select("h", "n").toArrow()
+    h, n = got["h"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def transitions(docs: DataFrame, known: DataFrame, usual: np.ndarray, total: int, active: DataFrame, hashes: np.ndarray) -> DataFrame:  # noqa: ARG001
+    """(a, b, p): the walk's steps that leave the words of these hashes: PPMI, scaled to sum to one."""
+    h, n = _words(known)
+    edges = graph(docs, h, n, total)
+    whole, own = step(edges, n, total, np.ones((len(h), 1)))[:, 0], np.isin(h, hashes)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                code, count = _unpack(packed)
+                ppmi = _ppmi(code, count, n, total)
+                for a, b in ((code // len(h), code % len(h)), (code % len(h), code // len(h))):
+                    k = own[a]
+                    yield pa.RecordBatch.from_arrays([pa.array(h[a[k]].view(np.int64)), pa.array(h[b[k]].view(np.int64)), pa.array(ppmi[k] / whole[a[k]])], ["a", "b", "p"])
+
+    return edges.mapInArrow(rows, "a long, b long, p double")
+
+
+def polarity(docs: DataFrame, known: DataFrame, total: int, bad: np.ndarray, good: np.ndarray) -> DataFrame:
+    """(h, word, polarity) of the words of LEAST_POLARITY to 1; bad and good are hashes."""
+    h, n = _words(known)
+    edges = graph(docs, h, n, total)
+    whole = step(edges, n, total, np.ones((len(h), 1)))
+    moving = np.stack([np.isin(h, x) / max(1, len(x)) for x in (bad, good)], 1)
+    mass, moving = RESTART * moving, (1 - RESTART) * moving
+    for _ in range(ROUNDS):
+        new = step(edges, n, total, np.divide(moving, whole, out=np.zeros(moving.shape), where=whole > 0))
+        mass, moving = mass + RESTART * new, (1 - RESTART) * new
+    mass += moving
+    value = (mass[:, 0] - mass[:, 1]) / (mass.sum(1) + n / max(1, total))
+    own = value >= LEAST_POLARITY
+    return _table(docs, {"h": h[own].view(np.int64), "polarity": value[own]}, "h long, polarity double").join(known, "h").select("h", "word", "polarity")
 
 
 def threshold(toxic: np.ndarray, score: np.ndarray) -> float:
@@ -279,7 +399,7 @@ def _least(rows: DataFrame, known: np.ndarray, weight: np.ndarray) -> float:
 
 def lexicon(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, list[str], np.ndarray, float]:
     """Hashes (sorted), words and weights of the toxic words, and the least score of a toxic document."""
-    known, usual, total = vocabulary(docs)
+    known, _, total = vocabulary(docs)
     rows, (clean, toxic), words = labelled(docs, labels, known, most)
     h = words["h"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
@@ -287,7 +407,7 @@ def lexicon(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.
     bad, good = seeds(t, n, clean, toxic)
     if not len(bad):
         return h[:0], [], np.zeros(0), float("inf")
-    walked = polarity(docs, known, usual, total, h[bad], h[good]).filter(F.col("polarity") >= LEAST_POLARITY).toArrow()
+    walked = polarity(docs, known, total, h[bad], h[good]).toArrow()
     own = walked["h"].to_numpy().astype(np.int64).view(np.uint64)
     order, names, walk = np.argsort(own), walked["word"].to_pylist(), walked["polarity"].to_numpy()
     own, walk = own[order], walk[order]

@@ -412,6 +412,22 @@ def test_toxicity_of_words_without_labels(rude, spark):
     assert got[2000] and not got[2001]
 
 
+def test_toxicity_walks_beyond_the_seeds_neighbours(rude, spark):
+    """Three steps from the seeds: cthree is near btwo alone, which is near aone, which is near seeds."""
+    docs, labels, _ = rude
+    fill = lambda i, j: " ".join(f"u{i}x{j}x{k}" for k in range(30))
+    more = [(i, f"zorp blick vrull gnash aone {fill(i, 0)} aone btwo {fill(i, 1)} btwo cthree {fill(i, 2)}", "s") for i in range(1000, 1040)]
+    _, words, _, _ = toxicity.lexicon(docs.union(frame(spark, more)), labels)
+    assert {"aone", "btwo", "cthree"} <= set(words)
+
+
+def test_packed_pairs():
+    code = np.cumsum(np.array([0, 1, 65534, 65535, 1 << 40, 3]))
+    for n in (0, 6):
+        for x, y in zip(toxicity._unpack(toxicity._pack(code[:n], np.array([1, 254, 255, 1 << 33, 7, 300])[:n])), (code, np.array([1, 254, 255, 1 << 33, 7, 300]))):
+            assert x.tolist() == y[:n].tolist()
+
+
 def test_toxicity_keeps_rare_edges_of_frequent_words(spark):
     rng = random.Random(17)
     rows = []

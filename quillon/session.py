@@ -48,10 +48,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> tuple[DataFrame, str]:
     """Write df once as Parquet in the shared folder and read it back: lineage ends there."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

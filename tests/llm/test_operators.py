@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -454,6 +455,49 @@ def test_pair_counts():
     assert got == {place["a"] * 3 + place["b"]: 2, place["a"] * 3 + place["a"]: 2, place["a"] * 3 + place["c"]: 2}
 
 
+def test_toxicity_edges_are_all_pairs_near_each_other(spark):
+    """Counts over a byte, from several tasks, against counting by hand; windows end with their text."""
+    rng = random.Random(18)
+    texts = [" ".join(["often", "usual"] * 40 + [f"v{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(80))]) for _ in range(40)]
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate([*texts, *["alone"] * 100, None, ""])]).repartition(3)
+    known, _, total = toxicity.vocabulary(docs)
+    h, n = toxicity._words(known)
+    name = {r["h"]: r["word"].decode() for r in known.collect()}
+    name = [name[x] for x in h.view(np.int64).tolist()]
+    tokens, _ = toxicity.numbered(docs, spark.createDataFrame([(0, 1, 0)], LABELS), h)
+    edges, _ = toxicity.graph(tokens, n, total)
+    got = {}
+    for r in edges.collect():
+        code, count = toxicity._unpack(r["edges"])
+        got |= {(name[c // len(n)], name[c % len(n)]): k for c, k in zip(code.tolist(), count.tolist())}
+    place, want = {w: i for i, w in enumerate(name)}, {}
+    for t in texts:
+        words = t.split()
+        for i, x in enumerate(words):
+            for y in words[i + 1 : i + 1 + toxicity.WINDOW]:
+                if x != y and x in place and y in place:
+                    pair = (x, y) if place[x] > place[y] else (y, x)
+                    want[pair] = want.get(pair, 0) + 1
+    keep = lambda x, y, k: k >= 3 and np.log(k * total / (n[place[x]] * n[place[y]] * 2 * toxicity.WINDOW)) > 0
+    assert got == {(x, y): k for (x, y), k in want.items() if keep(x, y, k)} and max(got.values()) > 3 * 255
+
+
+def test_toxicity_moves_little(spark):
+    """What is shuffled stands on disk until the driver collects it: packed pairs, and a row for a range of words and not for each in a step."""
+    folder = "/root/testdata/sf0.01"
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages() -> dict[int, int]:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    last = max(stages(), default=-1)
+    toxicity.toxicity(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")).count()
+    moved = sum(n for k, n in stages().items() if k > last)
+    assert 0 < moved < 7 * Path(folder, "documents.parquet").stat().st_size
+
+
 def test_toxicity_odd(odd, empty, rude, no_labels):
     _, labels, _ = rude
     assert all(r["score"] == 0 and not r["toxic"] for r in toxicity.toxicity(odd, no_labels).collect())

@@ -495,20 +495,19 @@ def suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SUFFIX}, r AS (SELECT p_partkey, t, pos, rank + 1 AS row FROM sa UNION ALL SELECT p_partkey, t, strlen(t), 0 FROM p) SELECT p_partkey, row, CASE WHEN pos = 0 THEN -1 ELSE ascii(substr(t, pos, 1)) END::INT AS byte FROM r")
 def bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return succinct.bwt(table(spark, sf_dir, "part"), "p_partkey", "p_name")
+    return succinct.bwt(table(spark, sf_dir, "part").filter("p_name <> ''"), "p_partkey", "p_name")
 
 
 @query(f"""WITH {_SUFFIX}, r AS (SELECT p_partkey, t, pos, rank + 1 AS row FROM sa UNION ALL SELECT p_partkey, t, strlen(t), 0 FROM p),
 w AS (SELECT p_partkey, row, CASE WHEN pos = 0 THEN -1 ELSE ascii(substr(t, pos, 1)) END AS byte FROM r)
 SELECT p_partkey, row, ((SELECT count(*) FROM w v WHERE v.p_partkey = w.p_partkey AND v.byte < w.byte) + row_number() OVER (PARTITION BY p_partkey, byte ORDER BY row) - 1)::BIGINT AS lf FROM w""")
 def lf_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return succinct.lf_map(succinct.bwt(table(spark, sf_dir, "part"), "p_partkey", "p_name"), "p_partkey")
+    return succinct.lf_of(table(spark, sf_dir, "part").filter("p_name <> ''"), "p_partkey", "p_name")
 
 
 @query(f"WITH {_SUFFIX} SELECT p_partkey, min(rank) AS lo, max(rank) + 1 AS hi FROM sa WHERE starts_with(substr(t, pos + 1), 'in') GROUP BY p_partkey")
 def backward_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    return succinct.suffix_range(succinct.suffix_array(part, "p_partkey", "p_name"), part, "p_partkey", "p_name", "in")
+    return succinct.range_of(table(spark, sf_dir, "part"), "p_partkey", "p_name", "in")
 
 
 @query(f"WITH {_BYTES} SELECT p_partkey, idx::INT AS idx, byte, row_number() OVER (PARTITION BY p_partkey, byte ORDER BY idx) - 1 AS rank FROM b")
@@ -518,7 +517,7 @@ def wavelet_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_BYTES}, c AS (SELECT p_partkey, byte, count(*) AS n FROM b GROUP BY ALL) SELECT p_partkey, byte, coalesce(sum(n) OVER (PARTITION BY p_partkey ORDER BY byte ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM c")
 def wavelet_c_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return succinct.c_table(succinct.byte_rows(table(spark, sf_dir, "part"), "p_partkey", "p_name"), "p_partkey", "byte")
+    return succinct.c_table(table(spark, sf_dir, "part"), "p_partkey", "p_name")
 
 
 @query(f"WITH {_BYTES}, v AS (SELECT p_partkey, idx, byte % 2 = 1 AS bit FROM b) SELECT p_partkey, bit, row_number() OVER (PARTITION BY p_partkey, bit ORDER BY idx) AS k, idx::INT AS idx FROM v")

@@ -289,6 +289,38 @@ def test_succinct(spark):
     assert sel == {1: 0, 2: 3, 3: 5, 4: 7, 5: 10}
 
 
+def test_succinct_of_whole_texts(spark, monkeypatch):
+    """Each text's rows come from the task that reads it: no exchange, join or aggregate; several texts at once or one at a time give the same."""
+    rng = random.Random(5)
+    texts = {i: "".join(rng.choice("abé") for _ in range(rng.randrange(0, 40))) for i in range(60)} | {60: "", 61: "in" * 300, 62: None}
+    t = spark.createDataFrame(list(texts.items()), "k long, t string").coalesce(1)
+    made = [lambda: succinct.suffix_array(t, "k", "t"), lambda: succinct.bwt(t, "k", "t"), lambda: succinct.lf_of(t, "k", "t"), lambda: succinct.c_table(t, "k", "t"), lambda: succinct.range_of(t, "k", "t", "ba"), lambda: succinct.byte_rows(t, "k", "t")]
+    want = [set() for _ in made]
+    for k, s in texts.items():
+        if s is None:
+            continue
+        data = s.encode()
+        sa = sorted(range(len(data)), key=lambda i: data[i:])
+        want[0] |= {(k, r, p) for r, p in enumerate(sa)}
+        last = [data[p - 1] if p else -1 for p in [len(data), *sa]]
+        want[1] |= {(k, r, b) for r, b in enumerate(last)}
+        want[2] |= {(k, r, sum(x < b for x in last) + last[:r].count(b)) for r, b in enumerate(last)}
+        want[3] |= {(k, b, sum(x < b for x in data)) for b in data}
+        hits = [r for r, p in enumerate(sa) if data[p:].startswith(b"ba")]
+        want[4] |= {(k, hits[0], hits[-1] + 1)} if hits else set()
+        want[5] |= {(k, i, b) for i, b in enumerate(data)}
+    for most in (1 << 20, 50):
+        monkeypatch.setattr(succinct, "MOST_BYTES", most)
+        for f, rows in zip(made, want, strict=True):
+            got = [tuple(r) for r in f().collect()]
+            assert len(got) == len(rows) and set(got) == rows
+    for f in made:
+        plan = f()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan and "Aggregate" not in plan
+    lf = {tuple(r) for r in succinct.lf_map(succinct.bwt(t, "k", "t"), "k").collect()}
+    assert lf == want[2] and made[0]().schema.simpleString() == "struct<k:bigint,rank:bigint,pos:bigint>"
+
+
 def test_malformed_json_lines(spark):
     lines = ['{"id": 7, "title": "a \\"b\\"", "text": "cut off \\u00e9", "more": ', '{"id": "8", "text": "no brace"', 'nothing here', '{"text": "x", "id": 9,}', '{"id": 0, "text": "fine"}']
     rows = corpora.parse_json_lines(spark.createDataFrame(list(enumerate(lines)), "n int, value string"), "value", "n")

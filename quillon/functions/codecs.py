@@ -21,12 +21,13 @@ def varint_encode(values: np.ndarray) -> bytes:
     v = np.asarray(values, np.uint64)
     if not len(v):
         return b""
-    groups = (v[:, None] >> (np.arange(5, dtype=np.uint64) * np.uint64(7))) & np.uint64(127)
-    size = np.maximum(1, 5 - (groups[:, ::-1] != 0).argmax(1))
-    size[v == 0] = 1
-    used = np.arange(5)[None, :] < size[:, None]
-    more = np.arange(5)[None, :] < size[:, None] - 1
-    return (groups.astype(np.uint8) | more.astype(np.uint8) << 7)[used].tobytes()
+    size = varint_sizes(v)
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]), np.uint8)
+    for k in range(5):
+        own = slice(None) if k == 0 else np.flatnonzero(size > k)
+        out[(ends - size)[own] + k] = (v[own] >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8) | (size[own] > k + 1).astype(np.uint8) << 7
+    return out.tobytes()
 
 
 def varint_decode(data: bytes) -> np.ndarray:

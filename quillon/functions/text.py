@@ -39,7 +39,7 @@ def fold(text: Column) -> Column:
 
 
 def fold_py(text: str) -> str:
-    return text.translate(_TABLE)
+    return text.lower() if text.isascii() else text.translate(_TABLE)
 
 
 _TABLE = str.maketrans(UPPER, LOWER)

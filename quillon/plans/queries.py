@@ -219,7 +219,7 @@ def stored_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_base()} SELECT term, ord, (ord - coalesce(lag(ord) OVER (PARTITION BY term ORDER BY ord), 0))::BIGINT AS delta FROM postings")
 def posting_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_for(spark, sf_dir).postings.select("term", "ord", codecs.delta(F.col("ord"), "term").alias("delta"))
+    return index_for(spark, sf_dir).deltas()
 
 
 @query(f"{_base()} SELECT term, CASE WHEN max(ord) <= 0 THEN 0 ELSE length(bin(max(ord)::BIGINT)) END::INT AS width FROM postings GROUP BY term")

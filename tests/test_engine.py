@@ -182,6 +182,66 @@ def test_blocks_of_a_term_in_many_ranges(spark):
         assert got == [(k, c[0], c[-1], len(c)) for k, c in enumerate(cut)]
 
 
+def test_numbered_where_they_lie(spark, tmp_path):
+    """Files whose ids ascend are numbered without an exchange; others, and gaps, nulls and overlaps, give the same numbers."""
+    from quillon.plans.index import _in_place
+
+    rng = random.Random(6)
+    ids = sorted(rng.sample(range(10**6), 3000))
+    cut = [ids[k * 500 : (k + 1) * 500] for k in range(6)]
+    rng.shuffle(cut)
+    write = lambda path, parts: [spark.createDataFrame([(i, f"text {i}") for i in p], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(path)) for p in parts]
+    write(tmp_path / "a", cut)
+    docs = spark.read.parquet(str(tmp_path / "a"))
+    want = [(n, i, "", f"text {i}") for n, i in enumerate(ids)]
+    placed = corpus_of(docs)
+    assert "RangePartitioning" not in (plan := placed._jdf.queryExecution().toString()) and "rangepartitioning" not in plan and "ranges-" not in plan
+    assert sorted(tuple(r) for r in placed.collect()) == want
+    assert sorted(tuple(r)[:2] for r in corpus_of(docs.filter("doc_id % 3 <> 0")).collect()) == list(enumerate(i for i in ids if i % 3))
+    write(tmp_path / "b", [cut[0], cut[1], cut[2] + [None], cut[3], cut[4], cut[5] + [cut[5][-1]]])
+    other = spark.read.parquet(str(tmp_path / "b"))
+    assert _in_place(other.select("doc_id"), "doc_id", "n") is None and [r["ord"] for r in corpus_of(other).orderBy("ord").collect()] == list(range(3002))
+    write(tmp_path / "c", [ids[k::6] for k in range(6)])
+    assert sorted(tuple(r) for r in corpus_of(spark.read.parquet(str(tmp_path / "c"))).collect()) == want
+
+
+def test_postings_of_an_index(spark, monkeypatch):
+    """Packed and unpacked postings are the words' places, in any order of documents, with few words or ranges at once; deltas and blocks go on over ranges."""
+    from quillon.plans import index as module
+
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["common", "The", "of", "Ähnlich", "ähnlich", *(f"w{rng.randrange(300)}" for _ in range(3))]) for _ in range(rng.choice([0, 1, 5, 60]))) for _ in range(700)]
+    want = defaultdict(list)
+    for o, t in enumerate(texts):
+        for p, w in enumerate(t.lower().split()):
+            if w not in ("the", "of"):
+                want[w, o].append(p)
+    c = corpus(spark, [(i, "", t) for i, t in enumerate(texts)]).repartition(3)  # a text begins after the title and a blank
+    for most in (2_000_000, 40):
+        monkeypatch.setattr(module, "MOST_WORDS", most)
+        index = Index.build(c, stemming=False)
+        rows = index.postings.collect()
+        lengths = Counter()
+        for (_, o), p in want.items():
+            lengths[o] += len(p)
+        assert {(r["term"], r["ord"]): r["tf"] for r in rows}.keys() == want.keys() and len(rows) == len(want)
+        assert all([x - r["positions"][0] for x in r["positions"]] == [x - want[r["term"], r["ord"]][0] for x in want[r["term"], r["ord"]]] and r["tf"] == len(r["positions"]) and r["length"] == lengths[r["ord"]] for r in rows)
+        assert {r["ord"]: r["length"] for r in index.doc_stats.collect()} == {o: lengths[o] for o in range(700)}
+        before, steps = {}, {}
+        for w, o in sorted(want):
+            steps[w, o] = o - before.get(w, 0)
+            before[w] = o
+        plan = (deltas := index.deltas())._jdf.queryExecution().executedPlan().toString()
+        assert {(r["term"], r["ord"]): r["delta"] for r in deltas.collect()} == steps and "Window" not in plan and "hashpartitioning" not in plan
+        df = Counter(w for w, _ in want)
+        assert {r["term"]: r["doc_freq"] for r in index.lexicon.collect()} == df
+        of = defaultdict(list)
+        for w, o in sorted(want):
+            of[w].append(o)
+        blocks = {(r["term"], r["block_no"]): (r["min_ord"], r["max_ord"], r["num_docs"]) for r in index.blocks.collect()}
+        assert blocks == {(w, k // 128): (o[k], o[min(k + 127, len(o) - 1)], len(o[k : k + 128])) for w, o in of.items() for k in range(0, len(o), 128)}
+
+
 def test_pruning_loses_nothing(spark, monkeypatch):
     """Ties after rounding go by ord across blocks; cells of one and of many documents."""
     rng = random.Random(4)

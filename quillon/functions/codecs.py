@@ -70,6 +70,20 @@ def varint_sizes(values: np.ndarray) -> np.ndarray:
     return 1 + sum((np.asarray(values, np.uint64) >= np.uint64(1 << 7 * k)).astype(np.int64) for k in range(1, 5))
 
 
+def varint_rows(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Binaries, the k-th of values[first[k] : first[k + 1]]."""
+    ends = np.append(0, np.cumsum(varint_sizes(values)))[first].astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(varint_encode(values))]).cast(pa.binary())
+
+
+def varint_flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What varint_rows was given."""
+    data = column.cast(pa.large_binary())
+    at = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+    raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return varint_decode(raw.tobytes()).astype(np.int64), np.append(0, np.cumsum(raw < 128))[at - at[0]]
+
+
 def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of a list column and where each row's begin; null rows have none."""
     return column.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)))

@@ -7,9 +7,10 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import codecs
 from quillon.functions.porter import stem
 from quillon.functions.snippet import analyze
 from quillon.functions.text import fold_py
@@ -24,8 +25,8 @@ MOST_PUSHED = 500
 MOST_BLOCKS = 2_000_000
 #: Postings from which pruning is tried, and ranges of documents for which bounds are summed.
 LEAST_POSTINGS, CELLS = 1_000_000, 1 << 16
-#: Terms of a batch of queries up to which they are broadcast (some 100 bytes each).
-MOST_TERMS = 100_000
+#: Terms of a batch of queries up to which they are broadcast (some 100 bytes each), and documents that are scored together then.
+MOST_TERMS, CELL = 100_000, 1 << 14
 _TERMS = "query_id long, kind string, role string, slot int, place int, n int, raw string, stemmed string"
 _HITS = "query_id long, rank int, ord long, score double"
 
@@ -109,7 +110,7 @@ def evaluate_frame(index: Index, queries: DataFrame, k: int = 10, any_term: bool
     """As evaluate, for a table (query_id, query) of any length: parsed by its tasks, and joined.
 
     any_term takes a text's words, whatever its signs, and asks for any of them. Up to MOST_TERMS
-    terms are broadcast, more are shuffled. Null queries have no hits.
+    terms go to all tasks, which score queries of words by ranges of documents; more are shuffled. Null queries have no hits.
     """
     stemming, stopwords = index.stemming, index.stopwords
 
@@ -125,8 +126,94 @@ def evaluate_frame(index: Index, queries: DataFrame, k: int = 10, any_term: bool
     found, _ = materialize(found, "query-terms")
     kinds = {r[0] for r in found.select("kind").distinct().collect()}  # at most four
     small = found.limit(MOST_TERMS + 1).count() <= MOST_TERMS
-    found = _weighed(index, resolve(index, found, None, small), small)
-    return top_k(_without(index, _scored(index, found, False, None, kinds, small), found, None, small), k)
+    best = []
+    if small:
+        best.append(_best_by_words(index, found.filter("kind in ('or', 'and')").collect(), k))  # at most MOST_TERMS rows
+        found, kinds = found.filter("kind = 'phrase'"), kinds & {"phrase"}
+    if kinds:
+        found = _weighed(index, resolve(index, found, None, small), small)
+        best.append(top_k(_without(index, _scored(index, found, False, None, kinds, small), found, None, small), k))
+    return best[0] if len(best) == 1 else best[0].unionByName(best[1])
+
+
+def _packed_cells(width: int):  # noqa: ANN202
+    """Postings (no, ord, tf, length) as a row for each stretch of one term in one cell of `width` documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            no, ord_, tf, length = (c.to_numpy().astype(np.int64) for c in batch.columns)
+            cell = ord_ // width
+            first = np.flatnonzero(np.append(True, (no[1:] != no[:-1]) | (cell[1:] != cell[:-1]) | (ord_[1:] <= ord_[:-1]))) if len(no) else np.zeros(0, np.int64)
+            step = np.append(0, np.diff(ord_))[: len(no)]
+            step[first] = ord_[first] - cell[first] * width
+            yield pa.RecordBatch.from_arrays([pa.array(cell[first]), pa.array(no[first].astype(np.int32)), codecs.varint_rows(np.stack([step, tf, length], 1).ravel(), np.append(first, len(no)) * 3)], ["cell", "no", "postings"])
+
+    return run
+
+
+def _best_by_words(index: Index, terms: Sequence[Row], k: int) -> DataFrame:
+    """top_k of the queries that ask for any or all of their words: a posting is moved once, however many queries have its term.
+
+    The postings of the queries' terms are brought together by cells of CELL documents; there all
+    queries are scored, and the best k of each and whatever rounding may lift to them go on.
+    """
+    spark = index.corpus.sparkSession
+    names = {t for r in terms for t in ((r["raw"], r["stemmed"]) if index.stemming else (r["raw"],))}
+    asked = spark.createDataFrame([(t,) for t in sorted(names)], "term string")
+    got = {r["term"]: r["idf"] for r in index.lexicon.join(F.broadcast(asked), "term").select("term", "idf").collect()}  # at most the queries' terms
+    number = {t: n for n, t in enumerate(sorted(got))}
+    queries: dict[tuple, tuple[list[int], list[int]]] = {}
+    for r in terms:
+        t = r["raw"] if r["raw"] in got else r["stemmed"] if index.stemming else None
+        if t in got:
+            queries.setdefault((r["query_id"], r["kind"], r["n"] if r["role"] == "+" else None), ([], []))[r["role"] == "-"].append(number[t])
+    without = {(q, kind): out for (q, kind, n), (_, out) in queries.items() if n is None}
+    wanted = [(q, n if kind == "and" else 1, own, without.get((q, kind), [])) for (q, kind, n), (own, _) in queries.items() if n is not None]
+    weight = np.array([got[t] for t in number])
+    k1, b, average, width = index.k1, index.b, index.average, CELL
+
+    def best(table: pa.Table) -> pa.Table:
+        values, at = codecs.varint_flat(table["postings"].combine_chunks())
+        step, tf, length = values.reshape(-1, 3).T
+        first = at // 3
+        total = np.append(0, np.cumsum(step))
+        size = np.diff(first)
+        doc = total[1:] - np.repeat(total[first[:-1]], size)
+        no = table["no"].to_numpy()
+        part = tf + k1 * (1 - b + b * (length / average if average > 0 else 1.0))
+        score = weight[np.repeat(no, size)] * (tf * (k1 + 1)) / np.where(part > 0, part, 1.0)
+        lists: dict[int, list[slice]] = {}
+        for n, a, z in zip(no.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+            lists.setdefault(n, []).append(slice(a, z))
+        out: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for q, need, own, minus in wanted:
+            sums, have = np.zeros(width), np.zeros(width, np.int32)
+            for t in own:
+                for s in lists.get(t, ()):
+                    sums[doc[s]] += score[s]
+                    have[doc[s]] += 1
+            for t in minus:
+                for s in lists.get(t, ()):
+                    have[doc[s]] = 0
+            hit = np.flatnonzero(have >= need)
+            unit = sums[hit] * 10.0**DIGITS + 0.5
+            near = np.abs(unit - np.rint(unit)) < 1e-3  # Spark may round it otherwise
+            whole = np.floor(unit)
+            sure = np.flatnonzero(~near)
+            sure = sure[np.argsort(-whole[sure], kind="stable")[:k]]
+            low = whole[sure[-1]] - 1 if len(sure) == k else -1.0
+            hit = hit[np.concatenate([sure, np.flatnonzero(near & (whole >= low))])]
+            out.append((q, hit, sums[hit]))
+        start = table["cell"][0].as_py() * width
+        sizes = [len(h) for _, h, _ in out]
+        return pa.table({"query_id": np.repeat(np.array([q for q, *_ in out], np.int64), sizes), "ord": np.concatenate([h for _, h, _ in out]) + start, "score": np.concatenate([x for *_, x in out])})
+
+    if not wanted or k <= 0:
+        return spark.createDataFrame([], _HITS)
+    numbers = F.broadcast(spark.createDataFrame(list(number.items()), "term string, no int"))  # the queries' terms
+    cells = _only(index.postings, set(got)).join(numbers, "term").select("no", "ord", "tf", "length").mapInArrow(_packed_cells(CELL), "cell long, no int, postings binary")
+    hits = cells.groupBy("cell").applyInArrow(best, "query_id long, ord long, score double")
+    return top_k(hits.select("query_id", "ord", F.round("score", DIGITS).alias("score")), k)
 
 
 def _weighed(index: Index, terms: DataFrame, small: bool) -> DataFrame:

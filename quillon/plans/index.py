@@ -125,20 +125,6 @@ class _Codes(dict):
         return code
 
 
-def _binaries(values: np.ndarray, first: np.ndarray) -> pa.Array:
-    """The varints of values[first[k] : first[k + 1]] as the k-th of an array of binaries."""
-    ends = np.append(0, np.cumsum(codecs.varint_sizes(values)))[first].astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(codecs.varint_encode(values))]).cast(pa.binary())
-
-
-def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """What _binaries was given."""
-    data = column.cast(pa.large_binary())
-    at = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
-    raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
-    return codecs.varint_decode(raw.tobytes()).astype(np.int64), np.append(0, np.cumsum(raw < 128))[at - at[0]]
-
-
 def _pieces(docs: list[tuple], words: list[np.ndarray], known: _Codes) -> Iterator[pa.RecordBatch]:
     """A row for each term and BLOCK of its postings among some documents, and one of the documents' statistics."""
     ord_, ext, size = (np.array([d[k] for d in docs], np.int64) for k in range(3))
@@ -166,7 +152,7 @@ def _pieces(docs: list[tuple], words: list[np.ndarray], known: _Codes) -> Iterat
     gap[first] = pos[first]
     name = pa.array(list(known.terms), pa.string()).take(pa.array(code[first[cut]]))
     rows = np.stack([delta, tf, length[doc[first]]], 1).ravel()
-    yield pa.RecordBatch.from_arrays([name, pa.array(o[cut]), _binaries(rows, np.append(cut, len(first)) * 3), _binaries(gap, np.append(first[cut], len(doc))), pa.nulls(len(cut), pa.binary())], _PIECE)
+    yield pa.RecordBatch.from_arrays([name, pa.array(o[cut]), codecs.varint_rows(rows, np.append(cut, len(first)) * 3), codecs.varint_rows(gap, np.append(first[cut], len(doc))), pa.nulls(len(cut), pa.binary())], _PIECE)
     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array(ord_[:1]), *[pa.nulls(1, pa.binary())] * 2, pa.array([np.stack([ord_, ext, length, size], 1).tobytes()], pa.binary())], _PIECE)
 
 
@@ -202,13 +188,13 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
             continue
-        rows, at = _values(batch.column(2))
+        rows, at = codecs.varint_flat(batch.column(2))
         delta, tf, length = rows.reshape(-1, 3).T
         n = np.diff(at) // 3
         first = np.cumsum(n) - n
         total = np.cumsum(delta)
         ord_ = total - np.repeat(total[first] - batch.column(1).to_numpy(), n)
-        gap, _ = _values(batch.column(3))
+        gap, _ = codecs.varint_flat(batch.column(3))
         ends = np.append(0, np.cumsum(tf))
         whole = np.append(0, np.cumsum(gap))
         pos = whole[1:] - np.repeat(whole[ends[:-1]], tf)

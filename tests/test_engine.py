@@ -268,6 +268,24 @@ def test_table_of_queries(spark, tiny, monkeypatch):
     assert [[tuple(r)[1:] for r in free if r[0] == i] for i in (1, 2)] == [[tuple(r)[1:] for r in either]] * 2
 
 
+@pytest.mark.parametrize("width", [1 << 14, 64, 1])
+def test_batch_by_cells(rand, spark, monkeypatch, width):
+    """A batch gives what each query gives alone, with ties, in cells of any size; what is shuffled are packed postings, not pairs of query and document."""
+    rows, index = rand
+    rng = random.Random(8)
+    asked = [(i, (" OR " if i % 2 else " ").join(f"term{rng.randrange(52)}" for _ in range(rng.randrange(1, 5))) + (" -term3" if i % 3 == 0 else "")) for i in range(30)]
+    asked += [(30, '"term1 term2"'), (31, "nosuch"), (32, "term1 OR nosuch"), (33, "term1 nosuch")]
+    want = sorted(tuple(r) for i, q in asked for r in rank.evaluate(index, [(i, q)], 7).select(F.lit(i).cast("long"), "rank", "ord", "score").collect()) if width == 64 else None
+    monkeypatch.setattr(rank, "CELL", width)
+    words = rank.evaluate_frame(index, spark.createDataFrame([a for a in asked if a[0] != 30], "query_id long, query string"), 7)
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(cell" in plan and "hashpartitioning(query_id#" in plan and ", ord#" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+    got = sorted(tuple(r) for r in rank.evaluate_frame(index, spark.createDataFrame(asked, "query_id long, query string"), 7).collect())
+    assert got and (want is None or got == want) and len({r[0] for r in got}) > 20
+    monkeypatch.setattr(rank, "MOST_TERMS", 0)
+    assert got == sorted(tuple(r) for r in rank.evaluate_frame(index, spark.createDataFrame(asked, "query_id long, query string"), 7).collect())
+
+
 def test_prefix_order_and_suggest(spark):
     terms = ["an", "ant", "ants", "any", "b", "anz", "ané"]
     lexicon = spark.createDataFrame([(t, k + 1) for k, t in enumerate(terms)], "term string, doc_freq long")

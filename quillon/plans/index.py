@@ -43,12 +43,17 @@ def ranged(df: DataFrame, *by: str, runs: int | None = None) -> DataFrame:
     return cut.withColumns({"run": F.spark_partition_id(), "row": F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_RUN))})
 
 
-def numbered(df: DataFrame, by: str, name: str, runs: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, by: str, name: str, runs: int | None = None, costly: bool = False) -> DataFrame:
     """df with its 0-based rank by a column: a row's place in its range and the rows of the ranges before.
 
     The ranges are written, so that a task that runs again finds the same; no task sees more than one. Equal
-    values are numbered in any order. Nulls come first; an empty table stays empty.
+    values are numbered in any order. Nulls come first; an empty table stays empty. costly: df takes time to make, so it
+    is written once before; ranges make it twice, to cut them and to fill them. Where that is in order it is numbered there.
     """
+    if costly:
+        df, _ = materialize(df, "rows")
+        if (placed := _in_place(df, by, name)) is not None:
+            return placed
     rows, _ = materialize(ranged(df, by, runs=runs), "ranges")
     sizes = rows.groupBy("run").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("run")) - F.col("n")  # a row for each range
@@ -81,6 +86,8 @@ def _in_place(rows: DataFrame, by: str, name: str) -> DataFrame | None:
 
     Nothing is moved or written. None where that isn't so, and where there are fewer stretches than cores: then ranges spread the work.
     """
+    if dict(rows.dtypes)[by] != "bigint" or " parquet" not in rows._jdf.queryExecution().analyzed().toString():
+        return None
     try:
         marked = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
     except AnalysisException:

@@ -23,7 +23,7 @@ def parse_json_lines(lines: DataFrame, value: str, order: str) -> DataFrame:
     held = lines.filter(F.trim(F.col(value)) != "").select(order, value, read.alias("j"))
     field = lambda name: F.coalesce(F.when(F.col("j.bad").isNotNull(), _found(F.col(value), name)).otherwise(F.col(f"j.{name}")), F.lit("")).alias(name)
     held = held.select(order, field("id"), field("title"), field("text"))
-    rows = numbered(held.filter("id <> '' or text <> ''"), order, "ord")
+    rows = numbered(held.filter("id <> '' or text <> ''"), order, "ord", costly=True)
     given = F.expr("try_cast(nullif(regexp_extract(id, '^[0-9]+', 0), '') as bigint)")
     return rows.select(F.col("ord").cast("long").alias("ord"), F.coalesce(F.nullif(given, F.lit(0)), F.col("ord") + 1).cast("long").alias("ext_id"), "title", "text")
 
@@ -96,7 +96,7 @@ def wiki_articles(pages: DataFrame, most: int | None = None, order: str = "page_
     """
     kept = pages.filter((F.col("ns") == "0") & F.col("redirect").isNull() & ~F.col("title").rlike("^(Category|Template|File|Wikipedia):"))
     kept = kept.select(order, "title", clean_wikitext(F.col("text")).alias("text")).filter(F.length("text") >= 80)
-    rows = numbered(kept, order, "n").select((F.col("n") + 1).alias("id"), "title", "text")
+    rows = numbered(kept, order, "n", costly=True).select((F.col("n") + 1).alias("id"), "title", "text")
     return rows.filter(F.col("id") <= most) if most is not None else rows
 
 

@@ -286,6 +286,24 @@ def test_batch_by_cells(rand, spark, monkeypatch, width):
     assert got == sorted(tuple(r) for r in rank.evaluate_frame(index, spark.createDataFrame(asked, "query_id long, query string"), 7).collect())
 
 
+def test_costly_rows_are_made_once(spark):
+    """Pages that are parsed and cleaned, and lines of JSON, are numbered without making them again to cut ranges."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, "0", None, f"Page {i}", "word " * 30) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_no long, ns string, redirect string, title string, text string").repartition(5, "page_no")
+    got = corpora.wiki_articles(pages.mapInArrow(count, pages.schema))
+    assert sorted((r["id"], r["title"]) for r in got.collect()) == [(i + 1, f"Page {i}") for i in range(300)] and made.value == 300
+    lines = spark.createDataFrame([(i, json.dumps({"id": i + 5, "text": "x"})) for i in range(200)], "n long, value string")
+    got = corpora.parse_json_lines(lines.mapInArrow(count, lines.schema), "value", "n")
+    assert sorted((r["ord"], r["ext_id"]) for r in got.collect()) == [(i, i + 5) for i in range(200)] and made.value == 500
+
+
 def test_prefix_order_and_suggest(spark):
     terms = ["an", "ant", "ants", "any", "b", "anz", "ané"]
     lexicon = spark.createDataFrame([(t, k + 1) for k, t in enumerate(terms)], "term string, doc_freq long")

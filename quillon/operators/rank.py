@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -322,26 +325,30 @@ def simple_bm25(corpus: DataFrame, query: str, k: int = 15, k1: float = 0.9, b:
     """(ord, score): the plain engine: OR only, repeated query words count again.
 
     fuzzy: a word that no document has stands for the first word of the corpus, in order of
-    documents and places, within an edit distance of 2.
+    documents and places, within an edit distance of 2. A document's row holds all it needs, so
+    rows of words are neither made, sorted nor shuffled.
     """
     import re
 
-    words, spark = re.findall("[a-z0-9]+", query.lower()), corpus.sparkSession
-    asked = F.broadcast(spark.createDataFrame([(w, float(words.count(w))) for w in dict.fromkeys(words)], "asked string, times double"))  # the query's words
-    tokens = simple_tokens(corpus)
-    if fuzzy:
-        each = tokens.select("ord", F.posexplode("w").alias("pos", "term"))
-        near = each.join(asked, F.levenshtein("term", "asked", 2) >= 0)
-        first = near.groupBy("asked", "times").agg(F.min(F.struct((F.col("term") != F.col("asked")).alias("other"), "ord", "pos", "term")).alias("f"))
-        asked = F.broadcast(first.groupBy(F.col("f.term").alias("term")).agg(F.sum("times").alias("times")))  # the query's words
-    else:
-        asked = asked.withColumnRenamed("asked", "term")
-    stats = tokens.agg(F.count("*").alias("total_docs"), F.avg(F.size("w")).alias("avg_doc_len"))
-    found = tokens.select("ord", F.size("w").alias("length"), F.explode("w").alias("term")).join(F.broadcast(asked), "term").groupBy("ord", "length", "term", "times").agg(F.count("*").alias("tf"))  # the query's words
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    scored = found.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # the query's words; one row
-    part = F.col("times") * bm25(F.col("tf"), F.col("length"), F.col("avg_doc_len"), idf(F.col("df"), F.col("total_docs")), k1, b)
-    return scored.groupBy("ord").agg(F.round(F.sum(part), DIGITS).alias("score")).orderBy(F.desc("score"), "ord").limit(k)
+    words = re.findall("[a-z0-9]+", query.lower())
+    times = {w: float(words.count(w)) for w in words}
+    tokens, among = simple_tokens(corpus), lambda test: F.filter("w", test)
+    if fuzzy and times:
+        first = {w: F.when(F.array_contains("w", w), F.lit(w)).otherwise(F.get(among(lambda x: F.levenshtein(x, F.lit(w), 2) >= 0), F.lit(0))) for w in times}
+        nearest = tokens.agg(*(F.min(F.when(f.isNotNull(), F.struct((f != w).alias("other"), "ord", f.alias("term")))) for w, f in first.items())).first()  # one row
+        found = Counter()
+        for n, near in zip(times.values(), nearest, strict=True):
+            if near:
+                found[near["term"]] += n
+        times = dict(found)
+    if not times:
+        return corpus.sparkSession.createDataFrame([], "ord long, score double")
+    has = [F.array_contains("w", t) for t in times]
+    total, average, *df = tokens.agg(F.count("*"), F.avg(F.size("w")), *(F.count_if(h) for h in has)).first()
+    tf = [F.size(among(lambda x: x == t)).alias(f"tf{n}") for n, t in enumerate(times)]
+    held = tokens.filter(F.arrays_overlap("w", F.array(*map(F.lit, times)))).select("ord", F.size("w").alias("length"), *tf)
+    parts = [F.when(F.col(f"tf{n}") > 0, x * bm25(F.col(f"tf{n}"), F.col("length"), F.lit(average), idf(F.lit(df[n]), F.lit(total)), k1, b)).otherwise(0.0) for n, x in enumerate(times.values())]
+    return held.select("ord", F.round(reduce(add, parts), DIGITS).alias("score")).orderBy(F.desc("score"), "ord").limit(k)
 
 
 def simple_suggest(corpus: DataFrame, prefix: str, k: int = 8) -> DataFrame:

@@ -286,6 +286,35 @@ def test_batch_by_cells(rand, spark, monkeypatch, width):
     assert got == sorted(tuple(r) for r in rank.evaluate_frame(index, spark.createDataFrame(asked, "query_id long, query string"), 7).collect())
 
 
+def test_simple_engine_keeps_rows_whole(spark, tmp_path):
+    """The plain engine's scores, exact and by near words, against plain Python; words are neither sorted nor shuffled."""
+    rng = random.Random(9)
+    near = lambda a, b: a == b or any(a[:i] + c + a[i + d :] == b for i in range(len(a) + 1) for c in ("", *"abcx") for d in (0, 1))
+    within = lambda a, b: any(near(a[:i] + c + a[i + d :], b) for i in range(len(a) + 1) for c in ("", *"abcx") for d in (0, 1))
+    texts = [" ".join("".join(rng.choice("abc") for _ in range(rng.choice([1, 2, 4, 6, 9]))) for _ in range(rng.randrange(0, 30))) for _ in range(60)]
+    docs = [t.split() for t in texts]
+    corpus(spark, [(i, "", t) for i, t in enumerate(texts)]).write.parquet(str(tmp_path / "c"))
+    c = spark.read.parquet(str(tmp_path / "c"))
+    for query, fuzzy in (("ab c ab zzzzzzz", False), ("abcabx xxxxxxxx ab abcabcabc", True), ("", True), ("qqqqqq", True)):
+        times = Counter(query.split())
+        if fuzzy:
+            found = Counter()
+            for w, n in times.items():
+                all_ = [x for d in docs for x in d]
+                best = w if w in all_ else next((x for x in all_ if within(x, w)), None)
+                if best:
+                    found[best] += n
+            times = found
+        df = {w: sum(w in d for d in docs) for w in times}
+        avg = sum(map(len, docs)) / len(docs)
+        score = lambda d: sum(n * math.log(1 + (60 - df[w] + 0.5) / (df[w] + 0.5)) * d.count(w) * 1.9 / (d.count(w) + 0.9 * (0.6 + 0.4 * len(d) / avg)) for w, n in times.items() if w in d)  # noqa: B023, E731
+        want = sorted((-round(score(d), 6), o) for o, d in enumerate(docs) if any(w in d for w in times))[:15]
+        got = rank.simple_bm25(c, query, fuzzy=fuzzy)
+        assert [(r["ord"], r["score"]) for r in got.collect()] == [(o, -s) for s, o in want]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "hashpartitioning" not in plan and "Aggregate" not in plan
+
+
 def test_costly_rows_are_made_once(spark):
     """Pages that are parsed and cleaned, and lines of JSON, are numbered without making them again to cut ranges."""
     made = spark.sparkContext.accumulator(0)
